@@ -70,11 +70,13 @@ def snapshot_writer(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()  # read by all three tables
         current = capture(batch, interval_scope(batch), granularity)
         before = restore_from if batch_id == 0 else version(path, batch_id - 1)
         if before is not None:
             current = merged(load(spark, before, granularity), current)
         save(current, version(path, batch_id))
+        batch.unpersist()
 
     return write
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -81,16 +82,14 @@ def delta_stream(
     outputs = ["read_no", "interval", *(f"d_{c}" for c in counters)]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("read_no", kind="stable")[tracked]
+        rows = pd.concat(list(batches)).sort_values("read_no", kind="stable")[tracked].to_numpy(dtype="int64")
         if state.exists:
-            rows = pd.concat([pd.DataFrame([state.get], columns=tracked), rows])
-        rows = rows.reset_index(drop=True)
-        state.update(tuple(int(v) for v in rows.iloc[-1]))
-        grown = rows.diff().iloc[1:]
-        out = grown.rename(columns={"snaptime": "interval", **{c: f"d_{c}" for c in counters}})
-        consecutive = grown["read_no"] == 1
-        out["read_no"] = rows["read_no"].iloc[1:]
-        out = out[consecutive].astype("int64")
+            rows = np.vstack([np.array(state.get, dtype="int64"), rows])
+        state.update(tuple(int(v) for v in rows[-1]))
+        grown = np.diff(rows, axis=0)
+        consecutive = grown[:, 0] == 1
+        out = pd.DataFrame(grown[consecutive], columns=outputs)
+        out["read_no"] = rows[1:, 0][consecutive]
         for name, value in zip(keys, key):
             out.insert(0, name, value)
         yield out[[*keys, *outputs]]
