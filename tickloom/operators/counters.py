@@ -31,11 +31,15 @@ def record_key() -> Column:
 
 
 def pair_reads(
-    snapshots: DataFrame, keys: Sequence[str], read_no: str = "read_no", reads: int = READS_PER_SLICE
+    snapshots: DataFrame,
+    keys: Sequence[str],
+    read_no: str = "read_no",
+    reads: int = READS_PER_SLICE,
+    carry: Sequence[str] = ("read_no", "snaptime", "data"),
 ) -> DataFrame:
     """Each snapshot with the same record's snapshot of the directly preceding read.
 
-    Adds ``prev``, a struct of all columns.  Records missing from the previous
+    Adds ``prev``, a struct of the ``carry`` columns.  Records missing from the previous
     read are left out.  Reads are numbered, so the rows of one record are cut
     every ``reads`` reads and the last read of a slice is sent to the next one
     as well: a single shuffle, and no record needs one task.
@@ -46,13 +50,20 @@ def pair_reads(
     rows = snapshots.withColumn(SLICE, F.explode(F.when(is_last, F.array(own, own + 1)).otherwise(F.array(own))))
     w = Window.partitionBy(*keys, SLICE).orderBy(read_no)
     rows = rows.withColumn(HALO, F.col(SLICE) != own).withColumn(
-        PREV, F.lag(F.struct(*columns)).over(w)
+        PREV, F.lag(F.struct(*carry)).over(w)
     )
     return rows.filter(~F.col(HALO) & (F.col(f"{PREV}.{read_no}") == F.col(read_no) - 1)).select(
         *columns, F.col(PREV).alias("prev")
     )
 
 
+def slim(snapshots: DataFrame, counters: Sequence[str]) -> DataFrame:
+    """``data`` cut down to the counters in use, before anything is shuffled."""
+    if not counters:
+        return snapshots.drop("data").withColumn("data", F.struct(F.lit(None).cast("double").alias("none")))
+    return snapshots.withColumn("data", F.struct(*(F.col("data")[c].alias(c) for c in counters)))
+
+
 def now(counter: str) -> Column:
     return F.col("data")[counter]
 

@@ -19,6 +19,7 @@ from ..operators import counters as k
 from .spec import FieldDef, Metric
 
 Expr = Callable[[], Column]
+RECORD = ["hostname", "module", "instance", "class", "name"]
 
 
 @dataclass(frozen=True)
@@ -41,14 +42,18 @@ class CounterMetric:
             rows = rows.filter(F.col("error").isNull())
         if self.keep is not None:
             rows = rows.filter(self.keep())
-        paired = k.pair_reads(rows, ["hostname", "module", "instance", "class", "name"])
+        dims = {n: e for n, e in self.discrete.items() if n in names}
+        dims |= {n: e for n, (e, _) in self.numeric.items() if n in names}
+        values = [self.value] if self.modes is None else list(self.modes[1].values())
+        used = dict.fromkeys(c for e in [*values, *dims.values()] for c in getattr(e, "counters", ()))
+        kept = ["t", "read_no", "snaptime", "data", *RECORD, *(["zonename"] if "zonename" in names else [])]
+        paired = k.pair_reads(k.slim(rows, list(used)).select(*kept), RECORD)
         if self.modes is not None:
             paired = k.unpivot(paired, self.modes[0], {n: e() for n, e in self.modes[1].items()})
         else:
             paired = paired.withColumn("value", self.value().cast("double"))
-        built = {**self.discrete, **{n: e for n, (e, _) in self.numeric.items()}}
-        dims = [built[n]().alias(n) if n in built else F.col(n) for n in names]
-        return paired.filter(F.col("value").isNotNull()).select("t", *dims, "value")
+        columns = [dims[n]().alias(n) if n in dims else F.col(n) for n in names]
+        return paired.filter(F.col("value").isNotNull()).select("t", *columns, "value")
 
     def metric(self) -> Metric:
         fields = {"hostname": FieldDef()}
@@ -71,20 +76,34 @@ def _numbered(prefix: str) -> Expr:
     return lambda: F.concat(F.lit(prefix), F.col("instance").cast("string"))
 
 
+def _uses(expr: Expr, *counters: str) -> Expr:
+    """Note the counters an expression reads, so that the rest can be left out."""
+    expr.counters = counters
+    return expr
+
+
 def _delta(*names: str) -> Expr:
-    return lambda: k.delta(*names)
+    return _uses(lambda: k.delta(*names), *names)
 
 
 def _rate(*names: str) -> Expr:
-    return lambda: k.percent_rate(*names)
+    return _uses(lambda: k.percent_rate(*names), *names)
 
 
 def _gauge(name: str) -> Expr:
-    return lambda: k.now(name)
+    return _uses(lambda: k.now(name), name)
 
 
 def _limit(name: str) -> Expr:
-    return lambda: k.limit(name)
+    return _uses(lambda: k.limit(name), name)
+
+
+def _load(name: str) -> Expr:
+    return _uses(lambda: k.load_average(name), name)
+
+
+def _rest(whole: str, *parts: str) -> Expr:
+    return _uses(lambda: k.residual(whole, *parts), whole, *parts)
 
 
 ONE: Expr = lambda: F.lit(1)
@@ -134,7 +153,7 @@ COUNTER_METRICS = [
     ),
     CounterMetric("cpu", "waittime", ZONES, _delta("nsec_waitrq"), discrete=ZONE),
     CounterMetric(
-        "cpu", "loadavg1", ZONES, lambda: k.load_average("avenrun_1min"), discrete=ZONE, scope="point"
+        "cpu", "loadavg1", ZONES, _load("avenrun_1min"), discrete=ZONE, scope="point"
     ),
     CounterMetric(
         "nic", "nics", LINKS, ONE, keep=k.is_nic, discrete={"nic": _name}, scope="point",
@@ -182,7 +201,7 @@ COUNTER_METRICS = [
         "vm", "exits", {"module": "kvm", "class": "misc"}, keep=k.is_vcpu, discrete={**ZONE, "vcpuid": _name},
         modes=(
             "vleavereason",
-            {**{n: _delta(c) for n, c in VM_EXITS.items()}, "other": lambda: k.residual("exits", *VM_EXITS.values())},
+            {**{n: _delta(c) for n, c in VM_EXITS.items()}, "other": _rest("exits", *VM_EXITS.values())},
         ),
     ),
     CounterMetric(

@@ -1 +1,10 @@
-"""To follow."""
+"""ST01-ST08."""
+
+from __future__ import annotations
+
+
+def event_stream(t):
+    """``events`` as a file stream."""
+    spark = t.spark
+    path = f"{t.dir}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
