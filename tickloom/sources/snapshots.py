@@ -59,9 +59,15 @@ def save(snapshot: Snapshot, path: str) -> None:
         )
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """The table with ``inst_id`` as text; inference would turn "007" into 7."""
+    schema = spark.read.parquet(path).schema
+    names = [f"`{f.name}` {'string' if f.name == 'inst_id' else f.dataType.simpleString()}" for f in schema]
+    return spark.read.schema(", ".join(names)).parquet(path)
+
+
 def load(spark: SparkSession, path: str, granularity: int) -> Snapshot:
-    parts = {n: spark.read.parquet(f"{path}/{n}") for n in ("slots", "reporting", "meta")}
-    parts = {n: df.withColumn("inst_id", F.col("inst_id").cast("string")) for n, df in parts.items()}
+    parts = {n: _read(spark, f"{path}/{n}") for n in ("slots", "reporting", "meta")}
     bad = (F.col("vers_major") != VERSION[0]) | (F.col("granularity") != granularity)
     wrong = parts["meta"].filter(bad).limit(1).collect()
     if wrong:
