@@ -31,8 +31,8 @@ def decompose(
 ) -> DataFrame:
     """Sum of ``value`` by one discrete key and/or one bucketed numeric field.
 
-    ``by`` adds outer dimensions such as the slot.  ``hi`` is a function of
-    ``lo`` and is not a grouping key.
+    ``by`` adds outer dimensions such as the slot.  ``hi`` follows from ``lo``
+    and is added to the groups, not to the rows.
     """
     dims = list(by)
     if key is not None:
@@ -41,9 +41,8 @@ def decompose(
         if not dims:
             return total(df.select((F.col(value) if isinstance(value, str) else value).alias("value")))
         return df.groupBy(*dims).agg(F.sum(value).alias("value"))
-    return (
-        df.groupBy(*dims, rng.lo.alias("lo")).agg(F.max(rng.hi).alias("hi"), F.sum(value).alias("value"))
-    )
+    sums = df.groupBy(*dims, rng.lo.alias("lo")).agg(F.sum(value).alias("value"))
+    return sums.select(*sums.columns[:-2], "lo", rng.hi_of(F.col("lo")).alias("hi"), "value")
 
 
 def merge(df: DataFrame, dims: Sequence[str]) -> DataFrame:

@@ -229,20 +229,22 @@ def check_pixel(x: int, y: int, conf: Heatmap) -> None:
 def cell_details(dist: DataFrame, cells: DataFrame, by: Sequence[str] = ("cell_id",)) -> DataFrame:
     """Whole-number contribution of each key to each cell.
 
-    ``cells`` holds ``by..., bucket_time, bucket_ymin, bucket_ymax``.  Non-zero
-    shares count at least 1.  Without keys there is one row per cell, and the
-    total of a cell is the sum of its rows.
+    ``cells`` holds ``by..., bucket_time, bucket_ymin, bucket_ymax``; equal
+    cells are looked up once.  Non-zero shares count at least 1.  Without keys
+    there is one row per cell, and the total of a cell is the sum of its rows.
     """
     keyed = ["key"] if "key" in dist.columns else []
-    hit = dist.withColumnRenamed("slot", "bucket_time").join(cells, "bucket_time")
+    place = ["bucket_time", "bucket_ymin", "bucket_ymax"]
+    hit = dist.withColumnRenamed("slot", "bucket_time").join(cells.select(*place).distinct(), "bucket_time")
     overlap = F.least(F.col("hi") + 1, F.col("bucket_ymax")) - F.greatest(F.col("lo"), F.col("bucket_ymin"))
     share = F.when(overlap > 0, F.col("value") * overlap / (F.col("hi") + 1 - F.col("lo"))).otherwise(0.0)
-    return (
-        hit.groupBy(*by, *keyed)
+    found = (
+        hit.groupBy(*place, *keyed)
         .agg(F.sum(share).alias("share"))
         .filter(F.col("share") != 0)
-        .select(*by, *keyed, F.greatest(F.lit(1).cast("bigint"), half_up(F.col("share"))).alias("value"))
+        .select(*place, *keyed, F.greatest(F.lit(1).cast("bigint"), half_up(F.col("share"))).alias("value"))
     )
+    return cells.join(found, place).select(*by, *keyed, "value")
 
 
 def detail_totals(details: DataFrame, cells: DataFrame, by: Sequence[str] = ("cell_id",)) -> DataFrame:

@@ -71,24 +71,30 @@ def apply(values: DataFrame, transformation: Transformation) -> DataFrame:
         return spark.createDataFrame([], "key string, value string")
 
 
+OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+DOTTED_QUAD = rf"^{OCTET}(\.{OCTET}){{3}}$"
+# Private and loopback networks: 10/8, 127/8, 172.16/12, 192.168/16.
+PRIVATE = [
+    (10 << 24, (11 << 24) - 1),
+    (127 << 24, (128 << 24) - 1),
+    ((172 << 24) + (16 << 16), (172 << 24) + (32 << 16) - 1),
+    ((192 << 24) + (168 << 16), (192 << 24) + (169 << 16) - 1),
+]
+
+
 def ipv4_number(ip: Column) -> Column:
     """Dotted quad to BIGINT, NULL for anything else."""
-    quad = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
-    parts = [F.regexp_extract(ip, quad, i).cast("bigint") for i in (1, 2, 3, 4)]
-    ok = ip.rlike(quad)
-    for part in parts:
-        ok = ok & (part < 256)
-    number = parts[0] * (1 << 24) + parts[1] * (1 << 16) + parts[2] * (1 << 8) + parts[3]
-    return F.when(ok, number)
+    digits = F.aggregate(
+        F.split(ip, r"\."), F.lit(0).cast("bigint"), lambda n, part: n * 256 + part.try_cast("bigint")
+    )
+    return F.when(ip.rlike(DOTTED_QUAD), digits)
 
 
 def is_private(n: Column) -> Column:
-    """10/8, 172.16/12, 192.168/16 and 127/8."""
-    block = lambda first, bits: F.shiftright(n, 32 - bits) == F.lit(first >> (32 - bits))
-    return (
-        block(10 << 24, 8) | block((172 << 24) + (16 << 16), 12)
-        | block((192 << 24) + (168 << 16), 16) | block(127 << 24, 8)
-    )
+    out = F.lit(False)
+    for first, last in PRIVATE:
+        out = out | n.between(first, last)
+    return out
 
 
 def geolocate(networks: DataFrame) -> Callable[[DataFrame], DataFrame]:

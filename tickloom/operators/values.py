@@ -6,6 +6,8 @@ ndatapoints)`` with NULL for what was left out, so one job answers many.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,18 +94,70 @@ def data_points(requests: DataFrame, g: int | Column) -> DataFrame:
     )
 
 
-def slots_of(points: DataFrame, g: int, scope: str = "interval") -> DataFrame:
-    """A row per slot of each data point (at most MAX_DURATION / g): the range
+INTERVAL = ("inst_id", "start", "width")
+
+
+def intervals(points: DataFrame) -> DataFrame:
+    """Distinct intervals: many requests ask for the same, each is read once."""
+    return points.select(*INTERVAL).distinct()
+
+
+def slots_of(spans: DataFrame, g: int, scope: str = "interval") -> DataFrame:
+    """A row per slot of each interval (at most MAX_DURATION / g): the range
     condition ``slot in [start, end)`` becomes an equi-join on the slot."""
     last = F.col("start") + F.col("width") - g if scope == "interval" else F.col("start")
-    return points.withColumn("slot", F.explode(F.sequence("start", last, F.lit(g))))
+    return spans.withColumn("slot", F.explode(F.sequence("start", last, F.lit(g).cast("bigint"))))
+
+
+def interval_values(spans: DataFrame, slots: DataFrame, g: int, scope: str = "interval") -> DataFrame:
+    """Long-form value of each distinct interval."""
+    dims = [c for c in ("key", "lo", "hi") if c in slots.columns]
+    hit = slots_of(spans, g, scope).join(slots, ["inst_id", "slot"])
+    return merge(hit, [*INTERVAL, *dims])
 
 
 def values(points: DataFrame, slots: DataFrame, g: int, scope: str = "interval") -> DataFrame:
     """Long-form value of every data point."""
-    dims = [c for c in ("key", "lo", "hi") if c in slots.columns]
-    hit = slots_of(points, g, scope).select("request_id", "inst_id", "point", "slot").join(slots, ["inst_id", "slot"])
-    return merge(hit, ["request_id", "point", *dims])
+    found = interval_values(intervals(points), slots, g, scope)
+    return points.select("request_id", "point", *INTERVAL).join(found, list(INTERVAL)).drop(*INTERVAL)
+
+
+def packed_values(
+    points: DataFrame,
+    slots: DataFrame,
+    g: int,
+    scope: str = "interval",
+    render: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Nested value of every data point, packed (and rendered) once per interval."""
+    packed = pack(interval_values(intervals(points), slots, g, scope), INTERVAL)
+    if render is not None:
+        packed = packed.withColumn("value", render(F.col("value")))
+    return points.select("request_id", "point", *INTERVAL).join(packed, list(INTERVAL)).drop(*INTERVAL)
+
+
+def _completeness(points: DataFrame, counts: DataFrame, g: int, nsources: DataFrame | None) -> DataFrame:
+    """``minreporting`` and ``nsources`` of each distinct interval."""
+    cells = slots_of(intervals(points), g).join(counts, ["inst_id", "slot"], "left")
+    out = cells.groupBy(*INTERVAL).agg(F.min(F.coalesce("reporting", F.lit(0))).alias("minreporting"))
+    if nsources is None:
+        return out.withColumn("nsources", F.lit(0).cast("bigint"))
+    return out.join(nsources, "inst_id", "left").withColumn("nsources", F.coalesce("nsources", F.lit(0)))
+
+
+def _envelope_columns() -> list[Column]:
+    return [
+        F.col("request_id"),
+        F.col("point"),
+        F.col("start").alias("start_time"),
+        F.col("width").alias("duration"),
+        (F.col("start") + F.col("width")).alias("end_time"),
+        F.col("requested_start").alias("requested_start_time"),
+        F.col("requested_duration"),
+        F.col("requested_end").alias("requested_end_time"),
+        F.col("nsources"),
+        F.col("minreporting"),
+    ]
 
 
 def envelope(points: DataFrame, counts: DataFrame, g: int, nsources: DataFrame | None = None) -> DataFrame:
@@ -112,32 +166,13 @@ def envelope(points: DataFrame, counts: DataFrame, g: int, nsources: DataFrame |
     ``counts`` is :func:`slots.reporting`, ``nsources`` holds ``(inst_id,
     nsources)``; unknown means 0.
     """
-    cells = slots_of(points, g).join(counts, ["inst_id", "slot"], "left")
-    fixed = ["start", "width", "requested_start", "requested_duration", "requested_end"]
-    out = cells.groupBy("request_id", "inst_id", "point", *fixed).agg(
-        F.min(F.coalesce("reporting", F.lit(0))).alias("minreporting")
-    )
-    if nsources is not None:
-        out = out.join(nsources, "inst_id", "left")
-    else:
-        out = out.withColumn("nsources", F.lit(None).cast("bigint"))
-    return out.select(
-        "request_id",
-        "point",
-        F.col("start").alias("start_time"),
-        F.col("width").alias("duration"),
-        (F.col("start") + F.col("width")).alias("end_time"),
-        F.col("requested_start").alias("requested_start_time"),
-        "requested_duration",
-        F.col("requested_end").alias("requested_end_time"),
-        F.coalesce("nsources", F.lit(0)).alias("nsources"),
-        "minreporting",
-    )
+    return points.join(_completeness(points, counts, g, nsources), list(INTERVAL)).select(*_envelope_columns())
 
 
 def answer(
     points: DataFrame, slots: DataFrame, counts: DataFrame, g: int, scope: str = "interval", nsources=None
 ) -> DataFrame:
     """Envelope and packed value of every data point; NULL value = zero."""
-    packed = pack(values(points, slots, g, scope), ["request_id", "point"])
-    return envelope(points, counts, g, nsources).join(packed, ["request_id", "point"], "left")
+    packed = pack(interval_values(intervals(points), slots, g, scope), INTERVAL)
+    known = _completeness(points, counts, g, nsources).join(packed, list(INTERVAL), "left")
+    return points.join(known, list(INTERVAL)).select(*_envelope_columns(), "value")

@@ -99,9 +99,7 @@ FROM (SELECT request_id, point, lo, CAST(sum(n) AS BIGINT) AS n FROM pts
       JOIN dist d ON d.inst_id = pts.inst_id AND d.slot >= pts.start AND d.slot < pts.start + pts.width GROUP BY 1, 2, 3)
 GROUP BY 1, 2""", TYPE_SLOTS, REQUESTS, INFERRED, POINTS))
 def v03(t):
-    found = v.values(v.data_points(valid(t), G), type_slots(t), G)
-    packed = a.pack(found, ["request_id", "point"])
-    return packed.select("request_id", F.col("point").cast("bigint").alias("point"), printed("value").alias("value"))
+    return as_bigint(v.packed_values(v.data_points(valid(t), G), type_slots(t), G, render=printed), "point")
 
 
 ENVELOPE = """env AS (
@@ -122,6 +120,14 @@ def as_bigint(df, *names):
     return df.withColumns({n: F.col(n).cast("bigint") for n in names})
 
 
+@query("v03_raw_rows", with_p(
+    """SELECT request_id, point, lo, max(hi) AS hi, CAST(sum(n) AS DOUBLE) AS value
+FROM pts JOIN dist d ON d.inst_id = pts.inst_id AND d.slot >= pts.start AND d.slot < pts.start + pts.width GROUP BY 1, 2, 3""",
+    TYPE_SLOTS, REQUESTS, INFERRED, POINTS))
+def v03_rows(t):
+    return as_bigint(v.values(v.data_points(valid(t), G), type_slots(t), G), "point")
+
+
 @query("v04_envelope", with_p("SELECT * FROM env", COUNTS, REQUESTS, INFERRED, POINTS, ENVELOPE))
 def v04(t):
     out = v.envelope(v.data_points(valid(t), G), s.reporting(t.reports), G, sources_per_type(t))
