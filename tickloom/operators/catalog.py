@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 METRIC = ("module", "stat")
@@ -26,12 +26,16 @@ BUILT_IN_TYPE = "string"
 def current_of_hosts(announcements: DataFrame) -> DataFrame:
     """Latest set of each host: a new announcement replaces the earlier one.
 
-    ``announcements``: ``host, announced, module, stat, field``.
+    ``announcements``: ``host, announced, module, stat, field``.  Repeats are
+    folded before a host's rows meet.
     """
-    latest = announcements.groupBy("host").agg(F.max("announced").alias("announced"))
-    return announcements.join(latest, ["host", "announced"], "left_semi").select(
-        "host", *METRIC, "field"
-    ).distinct()
+    latest = announcements.groupBy("host", *METRIC, "field").agg(F.max("announced").alias("announced"))
+    newest = F.max("announced").over(Window.partitionBy("host"))
+    return (
+        latest.withColumn("__newest", newest)
+        .filter(F.col("announced") == F.col("__newest"))
+        .select("host", *METRIC, "field")
+    )
 
 
 def union_of_hosts(announcements: DataFrame) -> DataFrame:

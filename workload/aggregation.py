@@ -8,6 +8,7 @@ from tickloom.functions.buckets import linear, log_linear
 from tickloom.operators import aggregate as a
 from tickloom.operators.catalog import merge_names
 from tickloom.operators.slots import down
+from tickloom.sources import wire
 from tickloom.plans.spec import FieldDef, Instrumentation, Metric, instrument
 
 from .base import G, LL_HI, LL_LO, query, with_p
@@ -214,6 +215,22 @@ def a14_unpack(t):
     return a.unpack(a.pack(slots_both(t), ["slot"]))
 
 
+@query("a14_wire_round_trip", with_p(
+    f"SELECT slot, optype AS key, {LL_LO} AS lo, max({LL_HI}) AS hi, CAST(count(*) AS DOUBLE) AS value FROM p GROUP BY 1, 2, 3"))
+def a14_wire(t):
+    """Values written as message text and read back."""
+    text = wire.encode(a.pack(slots_both(t), ["slot"]), wire.KEYED_DISTRIBUTION)
+    return wire.decode(text, wire.KEYED_DISTRIBUTION)
+
+
+@query("a14_wire_text", with_p("""
+SELECT slot, '{' || string_agg('"' || key || '":' || n, ',' ORDER BY key) || '}' AS value
+FROM (SELECT slot, optype AS key, count(*) AS n FROM p GROUP BY 1, 2) GROUP BY 1"""))
+def a14_wire_text(t):
+    slots = a.decompose(t.points, key=F.col("optype"), by=[slot()])
+    return wire.encode(a.pack(slots, ["slot"]), wire.KEYED)
+
+
 FLAGSHIP_SQL = with_p(f"""
 SELECT slot, optype AS key, {LL_LO} AS lo, max({LL_HI}) AS hi, CAST(count(*) AS DOUBLE) AS value
 FROM p WHERE latency >= 5 AND optype <> 'error' GROUP BY 1, 2, 3""")
