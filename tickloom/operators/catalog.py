@@ -50,17 +50,20 @@ def base_metrics(metric_set: DataFrame) -> DataFrame:
 
 
 def supports(metric_set: DataFrame, requested: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Requests answered with ``supported``: all fields are in the set.
+    """Requests answered with ``supported``: the metric is known with all fields.
 
-    ``requested``: ``request_id, module, stat, field``.  ``by=("host",)`` asks
-    each request of one host.
+    ``requested``: ``request_id, module, stat, field``; a request without
+    fields is one row with a NULL field.  ``by=("host",)`` asks one host each.
     """
-    keys = [*by, *METRIC, "field"]
-    known = metric_set.select(*keys).distinct().withColumn("__known", F.lit(1))
+    keys = [*by, *METRIC]
+    known = metric_set.select(*keys, "field").distinct().withColumn("__known", F.lit(1))
+    metrics = metric_set.select(*keys).distinct().withColumn("__metric", F.lit(True))
     return (
-        requested.join(known, keys, "left")
-        .groupBy("request_id", *by, *METRIC)
-        .agg((F.count("*") == F.count("__known")).alias("supported"))
+        requested.join(known, [*keys, "field"], "left")
+        .groupBy("request_id", *keys)
+        .agg((F.count("field") == F.count("__known")).alias("__all"))
+        .join(metrics, keys, "left")
+        .select("request_id", *keys, (F.col("__all") & F.coalesce("__metric", F.lit(False))).alias("supported"))
     )
 
 

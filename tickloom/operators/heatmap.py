@@ -156,6 +156,8 @@ def series_hues(cells: DataFrame, conf: Heatmap) -> DataFrame:
         return ranked.select("series", hue_of(F.col("pos")).cast("int").alias("hue"))
     chosen = list(conf.hues) if conf.hues is not None else hues(len(conf.selected), conf.isolate)
     names = list(conf.selected) if conf.isolate else [TOTAL, *conf.selected]
+    if not names:  # an isolated image without selection is empty
+        return cells.select("series").distinct().withColumn("hue", F.lit(0))
     table = F.create_map(*(F.lit(v) for pair in zip(names, chosen) for v in pair))
     return cells.select("series").distinct().withColumn("hue", table[F.col("series")])
 
