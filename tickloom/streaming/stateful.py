@@ -29,7 +29,9 @@ def pair_stream(
 
     ``events``: keys, ``kind`` ("start"/"done"), ``ts_ns``, ``vts_ns``, ``seq``.
     Gives keys, ``ts_ns``, ``latency``, ``cputime`` per paired done.  Starts
-    without a done are forgotten after ``orphan_ms`` of processing time.
+    without a done are forgotten after ``orphan_ms`` of processing time; that
+    needs a running trigger, as an ``availableNow`` query would wait for timeouts
+    for ever.
     """
     keys = list(keys)
     timeout = GroupStateTimeout.NoTimeout if orphan_ms is None else GroupStateTimeout.ProcessingTimeTimeout
