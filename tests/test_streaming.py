@@ -6,7 +6,7 @@ from tickloom.operators import pairing, slots
 from tickloom.operators.aggregate import merge
 from tickloom.sources import tables, wire
 from tickloom.sources.snapshots import capture, load, save
-from tickloom.sources.workdir import SETTING, new_dir
+from tickloom.sources.workdir import SETTING, new_dir, shared_dir
 from tickloom.streaming import sinks
 from tickloom.streaming import slots as st
 from tickloom.streaming.stateful import delta_stream, pair_stream
@@ -145,16 +145,9 @@ def test_messages_as_a_stream(spark, tmp_path):
     assert merge(wire.decode(batch, wire.KEYED), ["key"]).count() == 2
 
 
-def test_work_folder(spark, tmp_path):
-    before = spark.conf.get(SETTING, None)
-    try:
-        spark.conf.set(SETTING, str(tmp_path))
-        one, two = new_dir(spark, "x"), new_dir(spark, "x")
-        assert one != two and one.startswith(str(tmp_path))
-    finally:
-        if before is None:
-            spark.conf.unset(SETTING)
-        else:
-            spark.conf.set(SETTING, before)
-
-
+def test_work_folder(spark):
+    """The session's folder is used, and each run gets its own part of it."""
+    one, two = new_dir(spark, "x"), new_dir(spark, "x")
+    assert one != two and one.startswith(shared_dir(spark))
+    setting = spark.conf.get(SETTING, None)
+    assert setting is None or shared_dir(spark) == setting

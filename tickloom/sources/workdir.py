@@ -16,12 +16,12 @@ def shared_dir(spark: SparkSession) -> str:
     Only a session whose executors are threads of this machine may fall back
     to a temporary folder.
     """
-    base = spark.conf.get(SETTING, None)
+    base = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {SETTING} to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set(SETTING, base)
+        spark.sparkContext.setCheckpointDir(base)
     return base
 
 
