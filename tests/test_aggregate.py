@@ -43,31 +43,42 @@ LOG_LINEAR = {
 def test_log_linear(spark):
     df = spark.createDataFrame([(float(v),) for v in LOG_LINEAR], "v double")
     rng = b.log_linear(10, 0, 11, 100)(F.col("v"))
-    got = {r["v"]: (r["lo"], r["hi"]) for r in df.select("v", rng.lo.alias("lo"), rng.hi.alias("hi")).collect()}
+    got = {r["v"]: (r["lo"], r["hi"]) for r in df.select("v", rng.lo.alias("lo")).withColumn("hi", rng.hi_of(F.col("lo"))).collect()}
     for v, (lo, hi) in LOG_LINEAR.items():
         assert got[v] == (lo, pytest.approx(hi, rel=1e-15)), v
 
 
 def test_powers_are_exact(spark):
-    """Every exactly representable power starts its own bucket, also past 64 bits."""
+    """Every exactly representable power starts its own bucket, also past the expected range."""
     for base in (2, 10):
         powers = [float(base) ** e for e in range(23 if base == 10 else 200)]
         df = spark.createDataFrame([(x,) for x in powers], "v double")
-        got = df.select(b.log_floor(F.col("v"), base).alias("k"), b.magnitude(F.col("v"), base).alias("m"), "v").collect()
+        lo = b.log_linear(base, 0, 11, 4 * base)(F.col("v")).lo
+        got = df.select(b.log_floor(F.col("v"), base).alias("k"), lo.alias("lo"), "v").collect()
         assert [int(r["k"]) for r in got] == list(range(len(powers)))
-        assert all(r["m"] == r["v"] for r in got)
+        assert all(r["lo"] == r["v"] for r in got)
+
+
+def test_values_past_the_expected_range(spark):
+    """The ladder and the general rule agree."""
+    rows = [(float(v),) for v in (5, 99, 100, 12_345, 999_999, 7.5e8, 3.3e11, 9.99e14)]
+    df = spark.createDataFrame(rows, "v double")
+    short, long = (b.log_linear(10, 0, high, 100)(F.col("v")) for high in (1, 16))
+    got = df.select(short.lo.alias("a"), long.lo.alias("b")).withColumns({"c": short.hi_of(F.col("a")), "d": long.hi_of(F.col("b"))})
+    for r in got.collect():
+        assert r["a"] == r["b"] and r["c"] == pytest.approx(r["d"], rel=1e-15)
 
 
 def test_event_quantizers(spark):
     df = spark.createDataFrame([(v,) for v in (53_210, 819_999, 25_000_001, 999, 10**12, 1_000)], "v bigint")
     rng = b.event_log_linear(10, 3, 11, 100)(F.col("v"))
-    got = [(r["lo"], r["hi"]) for r in df.select(rng.lo.alias("lo"), rng.hi.alias("hi")).collect()]
+    got = [(r["lo"], r["hi"]) for r in df.select(rng.lo.alias("lo")).withColumn("hi", rng.hi_of(F.col("lo"))).collect()]
     assert got == [
         (53_000, 53_999), (810_000, 819_999), (25_000_000, 25_999_999), (0, 999), (10**12, b.HIGHEST), (1_000, 1_099)
     ]
     lin = b.event_linear(0, 1000, 10)(F.col("v"))
     df = spark.createDataFrame([(v,) for v in (-1, 0, 235, 999, 1000)], "v bigint")
-    got = [(r["lo"], r["hi"]) for r in df.select(lin.lo.alias("lo"), lin.hi.alias("hi")).collect()]
+    got = [(r["lo"], r["hi"]) for r in df.select(lin.lo.alias("lo")).withColumn("hi", lin.hi_of(F.col("lo"))).collect()]
     assert got == [(b.LOWEST, -1), (0, 9), (230, 239), (990, 999), (1000, b.HIGHEST)]
 
 

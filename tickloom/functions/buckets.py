@@ -29,13 +29,15 @@ class Bucketizer:
 
 @dataclass(frozen=True)
 class Range:
+    """``lo`` of a value; apply ``hi_of`` to a *column* that holds it.
+
+    Nesting the whole ``lo`` expression in ``hi_of`` would repeat it in each of
+    its comparisons.
+    """
+
     lo: Column
     hi_of: Callable[[Column], Column]
 
-    @property
-    def hi(self) -> Column:
-        return self.hi_of(self.lo)
-
 
 def _powers(base: int) -> list[tuple[int, float]]:
     """Exponents and powers up to the first one above all 64-bit numbers."""
@@ -68,15 +70,6 @@ def log_floor(v: Column, base: int) -> Column:
     return out.otherwise(_log_guess(v, base))
 
 
-def magnitude(v: Column, base: int) -> Column:
-    """``base ** log_floor(v)``."""
-    out = None
-    for _, power in _powers(base):
-        item, limit = F.lit(power), F.lit(power * base)
-        out = F.when(v < limit, item) if out is None else out.when(v < limit, item)
-    return out.otherwise(F.pow(F.lit(float(base)), _log_guess(v, base)))
-
-
 def linear(step: float) -> Bucketizer:
     """``[floor(v/step)*step, +step-1]``."""
     width = float(step)
@@ -86,29 +79,44 @@ def linear(step: float) -> Bucketizer:
     )
 
 
-def _stepped(v: Column, order: Column, step: Column) -> Column:
-    return order + F.floor((v - order) / step).cast("double") * step
+def _by_power(v: Column, first: Column, base: int, low: int, high: int, arm: Callable[[float], Column]) -> Column:
+    """``first`` below ``base**low``, then ``arm(base**k)`` per power up to ``high``.
+
+    One comparison per power with everything else literal: several ladders in
+    one expression would outgrow what the JVM compiles to native code.
+    """
+    out = F.when(v < F.lit(float(base) ** low), first)
+    for k in range(low, high + 1):
+        out = out.when(v < F.lit(float(base) ** (k + 1)), arm(float(base) ** k))
+    return out
 
 
 def log_linear(base: int, low: int, high: int, n: int) -> Bucketizer:
     """``n`` equal steps per power of ``base``; one bucket under ``base**low``.
 
-    ``high`` is part of a metric's definition but does not limit the buckets.
+    ``high`` is the largest power expected; larger values get their bucket too.
     """
-    del high
     smallest = float(base) ** low
 
-    def step_of(order: Column) -> Column:
-        return order * F.lit(float(base)) / F.lit(float(n))
+    def start(v: Column, order: float) -> Column:
+        step = F.lit(order * base / n)
+        return F.lit(order) + F.floor((v - F.lit(order)) / step).cast("double") * step
 
     def lo(v: Column) -> Column:
         v = v.cast("double")
-        order = magnitude(v, base)
-        return F.when(v < F.lit(smallest), F.lit(0.0)).otherwise(_stepped(v, order, step_of(order)))
+        order = F.pow(F.lit(float(base)), _log_guess(v, base))
+        step = order * F.lit(float(base)) / F.lit(float(n))
+        above = order + F.floor((v - order) / step).cast("double") * step
+        return _by_power(v, F.lit(0.0), base, low, high, lambda order: start(v, order)).otherwise(above)
 
     def hi(lo: Column) -> Column:
-        step = step_of(magnitude(lo, base))
-        return F.when(lo < F.lit(smallest), F.lit(smallest)).otherwise(lo + step - step / F.lit(float(base)))
+        def end(order: float) -> Column:
+            step = order * base / n
+            return lo + F.lit(step) - F.lit(step / base)
+
+        step = F.pow(F.lit(float(base)), _log_guess(lo, base)) * F.lit(float(base)) / F.lit(float(n))
+        above = lo + step - step / F.lit(float(base))
+        return _by_power(lo, F.lit(smallest), base, low, high, end).otherwise(above)
 
     return Bucketizer(lo, hi)
 
@@ -120,24 +128,20 @@ def event_log_linear(base: int, low: int, high: int, n: int) -> Bucketizer:
     """
     smallest, ceiling = float(base**low), float(base ** (high + 1))
 
-    def step_of(order: Column) -> Column:
-        return F.greatest(F.lit(1.0), order * F.lit(float(base)) / F.lit(float(n)))
+    def step_of(order: float) -> float:
+        return max(1.0, order * base / n)
+
+    def start(v: Column, order: float) -> Column:
+        step = F.lit(step_of(order))
+        return F.lit(order) + F.floor((v - F.lit(order)) / step).cast("double") * step
 
     def lo(v: Column) -> Column:
         v = v.cast("double")
-        order = magnitude(v, base)
-        return (
-            F.when(v < F.lit(smallest), F.lit(0.0))
-            .when(v >= F.lit(ceiling), F.lit(ceiling))
-            .otherwise(_stepped(v, order, step_of(order)))
-        )
+        return _by_power(v, F.lit(0.0), base, low, high, lambda order: start(v, order)).otherwise(F.lit(ceiling))
 
     def hi(lo: Column) -> Column:
-        return (
-            F.when(lo < F.lit(smallest), F.lit(smallest - 1))
-            .when(lo >= F.lit(ceiling), F.lit(HIGHEST))
-            .otherwise(lo + step_of(magnitude(lo, base)) - 1)
-        )
+        end = lambda order: lo + F.lit(step_of(order)) - 1
+        return _by_power(lo, F.lit(smallest - 1), base, low, high, end).otherwise(F.lit(HIGHEST))
 
     return Bucketizer(lo, hi)
 
