@@ -74,27 +74,19 @@ def apply(values: DataFrame, transformation: Transformation) -> DataFrame:
 OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 DOTTED_QUAD = rf"^{OCTET}(\.{OCTET}){{3}}$"
 # Private and loopback networks: 10/8, 127/8, 172.16/12, 192.168/16.
-PRIVATE = [
-    (10 << 24, (11 << 24) - 1),
-    (127 << 24, (128 << 24) - 1),
-    ((172 << 24) + (16 << 16), (172 << 24) + (32 << 16) - 1),
-    ((192 << 24) + (168 << 16), (192 << 24) + (169 << 16) - 1),
-]
+PRIVATE = r"^(10|127|172\.(1[6-9]|2[0-9]|3[01])|192\.168)\."
 
 
-def ipv4_number(ip: Column) -> Column:
-    """Dotted quad to BIGINT, NULL for anything else."""
-    digits = F.aggregate(
-        F.split(ip, r"\."), F.lit(0).cast("bigint"), lambda n, part: n * 256 + part.try_cast("bigint")
-    )
-    return F.when(ip.rlike(DOTTED_QUAD), digits)
+def is_public_ipv4(ip: Column) -> Column:
+    """Dotted quad outside the private networks, decided on the text."""
+    return ip.rlike(DOTTED_QUAD) & ~ip.rlike(PRIVATE)
 
 
-def is_private(n: Column) -> Column:
-    out = F.lit(False)
-    for first, last in PRIVATE:
-        out = out | n.between(first, last)
-    return out
+def ipv4_number(ip: Column) -> Column:
+    """Dotted quad to BIGINT; NULL where a part is no number."""
+    parts = F.split(ip, r"\.")
+    octet = lambda i: F.get(parts, F.lit(i)).try_cast("bigint")
+    return octet(0) * (1 << 24) + octet(1) * (1 << 16) + octet(2) * (1 << 8) + octet(3)
 
 
 def geolocate(networks: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -110,8 +102,7 @@ def geolocate(networks: DataFrame) -> Callable[[DataFrame], DataFrame]:
     cut = networks.withColumn("prefix", F.explode(prefixes))
 
     def transform(keys: DataFrame) -> DataFrame:
-        n = ipv4_number(F.col("key"))
-        ips = keys.select("key", n.alias("ip")).filter(F.col("ip").isNotNull() & ~is_private(F.col("ip")))
+        ips = keys.filter(is_public_ipv4(F.col("key"))).select("key", ipv4_number(F.col("key")).alias("ip"))
         hit = ips.withColumn("prefix", F.shiftright("ip", PREFIX_BITS)).join(cut, "prefix")
         return hit.filter((F.col("ip") >= F.col("start_ip")) & (F.col("ip") <= F.col("end_ip"))).select(
             "key", F.struct(*record).alias("value")
