@@ -102,7 +102,10 @@ def geolocate(networks: DataFrame) -> Callable[[DataFrame], DataFrame]:
     cut = networks.withColumn("prefix", F.explode(prefixes))
 
     def transform(keys: DataFrame) -> DataFrame:
-        ips = keys.filter(is_public_ipv4(F.col("key"))).select("key", ipv4_number(F.col("key")).alias("ip"))
+        # Never NULL after the filter; saying so spares the join its NULL checks,
+        # which would be pushed down with the whole expression.
+        number = F.coalesce(ipv4_number(F.col("key")), F.lit(-1))
+        ips = keys.filter(is_public_ipv4(F.col("key"))).select("key", number.alias("ip"))
         hit = ips.withColumn("prefix", F.shiftright("ip", PREFIX_BITS)).join(cut, "prefix")
         return hit.filter((F.col("ip") >= F.col("start_ip")) & (F.col("ip") <= F.col("end_ip"))).select(
             "key", F.struct(*record).alias("value")
