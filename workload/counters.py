@@ -13,7 +13,7 @@ from tickloom.plans.counter_metrics import COUNTER_METRICS, VM_EXITS
 from tickloom.plans.snapshot_metrics import COLLECTOR_METRICS, PROCESSES, STORAGE_METRICS
 from tickloom.plans.spec import Instrumentation, instrument
 
-from .base import DAY, _num, query, sql_log_linear, with_p
+from .base import DAY, query, sql_log_linear, with_p
 
 # Counters of a user's record: running sums of what its events measure.
 BASES = ["cents", "ks", "views", "clicks", "purchases", "signups", "errors", "events"]
