@@ -6,15 +6,14 @@ weighs the passages, and a logistic unit scores the weighted representation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from .sample import Adam, fit_in_one_task, labelled_sample, run_firsts, sigmoid, sum_by
-from .words import BLANK_SEPARATED, LOWER, column_bytes, hash_spans, slices, spans
+from .words import BLANK_SEPARATED, LOWER, append_columns, column_bytes, hash_spans, spans
 
 PASSAGE = 64
 HIDDEN, GATE = 16, 8
@@ -158,24 +157,24 @@ def train(
     return fit_in_one_task(labelled_sample(docs, labels, "quality", learnable, rows, most_bytes), described, fit)
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``score`` (chance of good quality), the number of passages and the one that weighed most.
+def score(
+    docs: DataFrame, model: dict[str, np.ndarray], kept: Sequence[str] = ("doc_id",), text_col: str = "text"
+) -> DataFrame:
+    """The columns ``kept`` of each row with ``score`` (chance of good quality), the number of passages and
+    the one that weighed most.
 
     Whole texts are scored. A null or empty text, or one without words, is a
-    document with one empty passage; repeated rows and null ids stay; the id
-    keeps its type; other columns are left out. The model has a fixed size.
+    document with one empty passage; repeated rows and null ids stay; kept
+    columns called like the added ones are replaced. The model has a fixed size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for whole in batches for s in slices(whole, "text")):
-            x, firsts = passages(batch.column("text"))
-            f = forward(shared.value, x, firsts)
-            top = np.lexsort((np.arange(len(x)), -f["attention"], f["bag"]))[firsts[:-1]]
-            columns = [f["p"], np.diff(firsts), top - firsts[:-1]]
-            names = ["doc_id", "score", "n_passages", "top_passage"]
-            yield pa.record_batch([batch.column("id"), *map(pa.array, columns)], names=names)
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scored, f"doc_id {kind}, score double, n_passages long, top_passage long")
+
+    def scored(texts: pa.Array) -> list[pa.Array]:
+        x, firsts = passages(texts)
+        if not len(x):
+            return [pa.array([], pa.float64()), pa.array([], pa.int64()), pa.array([], pa.int64())]
+        f = forward(shared.value, x, firsts)
+        top = np.lexsort((np.arange(len(x)), -f["attention"], f["bag"]))[firsts[:-1]]
+        return [pa.array(f["p"]), pa.array(np.diff(firsts)), pa.array(top - firsts[:-1])]
+
+    return append_columns(docs, text_col, kept, scored, "score double;n_passages long;top_passage long")

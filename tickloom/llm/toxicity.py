@@ -8,15 +8,14 @@ itself which sentences offend, and these are reported.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from .sample import Adam, fit_in_one_task, labelled_sample, run_firsts, sigmoid, sum_by
-from .words import ALPHANUMERIC, LOWER, column_bytes, hash_spans, slices, spans
+from .words import ALPHANUMERIC, LOWER, append_columns, column_bytes, hash_spans, spans
 
 BITS = 18
 #: A word counts by itself and by its first bytes, which stand for its stem.
@@ -105,40 +104,31 @@ def train(
 
 
 def score(
-    docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", bound: float = 0.5
+    docs: DataFrame,
+    model: dict[str, np.ndarray],
+    kept: Sequence[str] = ("doc_id",),
+    text_col: str = "text",
+    bound: float = 0.5,
 ) -> DataFrame:
-    """One row per document: ``score`` and ``offending``, the sentences whose own chance reaches ``bound``
-    (first and last byte within the UTF-8 text, chance).
+    """The columns ``kept`` of each row with ``score`` and ``offending``, the sentences whose own chance
+    reaches ``bound`` (first and last byte within the UTF-8 text, chance).
 
     Whole texts are scored. Null and empty texts and texts without words have
-    score 0 and offend nowhere; repeated rows and null ids stay; the id keeps
-    its type; other columns are left out. The model has a fixed size.
+    score 0 and offend nowhere; repeated rows and null ids stay; kept columns
+    called ``score`` or ``offending`` are replaced. The model has a fixed size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = shared.value["w"], float(shared.value["b"][0])
-        spot = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
-        for batch in (s for whole in batches for s in slices(whole, "text")):
-            places, words, firsts, begins, ends = sentences(batch.column("text"))
-            z = sum_by(w[places].sum(axis=1, dtype=np.float64), words) + b
-            own = sigmoid(z)
-            found = np.flatnonzero(own >= bound)
-            spots = pa.StructArray.from_arrays(
-                [pa.array(begins[found]), pa.array(ends[found]), pa.array(own[found])], fields=list(spot)
-            )
-            offsets = np.searchsorted(found, firsts).astype(np.int32)
-            yield pa.record_batch(
-                [
-                    batch.column("id"),
-                    pa.array(-np.expm1(-noisy_or(z, firsts))),
-                    pa.ListArray.from_arrays(pa.array(offsets), spots),
-                ],
-                names=["doc_id", "score", "offending"],
-            )
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(
-        scored, f"doc_id {kind}, score double, offending array<struct<start:long,end:long,score:double>>"
-    )
+    spot = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
+
+    def scored(texts: pa.Array) -> list[pa.Array]:
+        places, words, firsts, begins, ends = sentences(texts)
+        z = sum_by(shared.value["w"][places].sum(axis=1, dtype=np.float64), words) + shared.value["b"][0]
+        own = sigmoid(z)
+        found = np.flatnonzero(own >= bound)
+        columns = [pa.array(begins[found]), pa.array(ends[found]), pa.array(own[found])]
+        spots = pa.StructArray.from_arrays(columns, fields=list(spot))
+        offsets = np.searchsorted(found, firsts).astype(np.int32)
+        return [pa.array(-np.expm1(-noisy_or(z, firsts))), pa.ListArray.from_arrays(pa.array(offsets), spots)]
+
+    added = "score double;offending array<struct<start:long,end:long,score:double>>"
+    return append_columns(docs, text_col, kept, scored, added)

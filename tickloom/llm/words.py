@@ -6,11 +6,13 @@ is a small multiple of one piece, whatever the length of a text or a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PIECE = 1 << 18
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -162,3 +164,28 @@ def word_hashes(texts: pa.Array, in_word: np.ndarray) -> tuple[np.ndarray, np.nd
     data = LOWER[data]
     starts, ends, firsts = spans(data, offsets, in_word)
     return hash_spans(data, starts, ends), firsts
+
+
+def append_columns(
+    docs: DataFrame, text_col: str, kept: Sequence[str], describe: Callable[[pa.Array], list[pa.Array]], added: str
+) -> DataFrame:
+    """The columns ``kept`` and those that ``describe`` makes of the texts; ``added`` is their schema.
+
+    Kept columns travel under names of their own, so they may be called what
+    they like; one that is called like an added column is replaced by it.
+    """
+    new = [part.strip().split(" ", 1)[0] for part in added.split(";")]
+    kept = [c for c in kept if c not in new]
+    names = ["text" if c == text_col else f"c{i}" for i, c in enumerate(kept)]
+    others = [(c, n) for c, n in zip(kept, names, strict=True) if c != text_col]
+    rows = docs.select(docs[text_col].alias("text"), *[docs[c].alias(n) for c, n in others])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), *added.split(";")])
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            columns = [*(batch.column(n) for n in names), *describe(batch.column("text"))]
+            yield pa.record_batch(columns, names=[*names, *new])
+
+    out = rows.mapInArrow(described, schema)
+    return out.select(*[out[n].alias(c) for c, n in zip(kept, names, strict=True)], *new)
