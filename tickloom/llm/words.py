@@ -63,12 +63,12 @@ ALPHANUMERIC = byte_class(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(
 
 
 def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and n + 1 offsets of a string column; null is empty."""
+    """Bytes and n + 1 offsets of a string or binary column; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    texts = texts.cast(pa.large_binary())
     if texts.null_count:
-        texts = texts.fill_null("")
-    texts = texts.cast(pa.large_string())
+        texts = texts.fill_null(b"")
     _, offsets, data = texts.buffers()
     ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if data is None or not len(texts):
