@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, quality, shards, toxicity, urls
+from tickloom.sources.workdir import new_dir
+
+from . import bpe, decontaminate, jaccard, licenses, quality, shards, topk, toxicity, urls, warc
 from .sample import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +40,16 @@ URL_RULES = (
 SHARDS = 24
 
 
+def _crc_entry(n: int) -> int:
+    for _ in range(8):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+#: The checksum's table for the SQL, made from its polynomial.
+CRC_TABLE = "[" + ", ".join(f"{_crc_entry(n)}::BIGINT" for n in range(256)) + "]"
+
+
 def held_out(fold: tuple[int, int]):
     return F.coalesce(remainder(F.col("doc_id"), fold[0]) == fold[1], F.lit(False))
 
@@ -54,11 +66,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(toxicity.score(docs, model), TOXIC_HELD_OUT, F.size("offending").alias("n_offending"))
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_dir(spark, "warc")
+    listed = warc.write_archives(read(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(listed, folder).drop("url", "html")
+
+
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,6 +100,27 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def as_files(docs: DataFrame) -> DataFrame:
+    """Documents as files of a tree: source/lang/thousand/hundred/id.txt.
+
+    Ids that end in 0 lie a level higher, those that end in 00 two levels.
+    """
+    n = F.col("doc_id")
+    thousand, hundred = (F.concat(F.floor(n / k).cast("string"), F.lit("/")) for k in (1000, 100))
+    below = F.when(n % 100 == 0, "").when(n % 10 == 0, thousand).otherwise(F.concat(thousand, hundred))
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/"), below, n.cast("string"), F.lit(".txt"))
+    return docs.select("doc_id", "text", path.alias("path"))
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that open with a notice are the licence files of their directories."""
+    opening = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    return licenses.scan(
+        as_files(read(spark, sf_dir, "documents")), opening.rlike(licenses.HINT), kept=("doc_id", "path")
+    )
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -88,6 +133,55 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(read(spark, sf_dir, "documents"), SHARDS)
 
 
+ORACLE["op2_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (
+  SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS hex,
+    max(page_id) OVER (PARTITION BY payload) AS original FROM p),
+bits AS (
+  SELECT *, list_reduce(list_transform(string_split(hex, ''), lambda x:
+    substr('0000000100100011010001010110011110001001101010111100110111101111',
+      4 * (strpos('0123456789abcdef', x) - 1) + 1, 4)), lambda a, b: a || b) AS b FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * CAST(substr(b, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(b, 5 * i + 2, 1) AS INT)
+    + 4 * CAST(substr(b, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(b, 5 * i + 4, 1) AS INT)
+    + CAST(substr(b, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to
+FROM bits
+"""
+
+ORACLE["op4_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.x, d.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+ORACLE["op10_shards"] = f"""
+WITH t AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h
+  FROM documents),
+crc AS (
+  SELECT doc_id, size, CAST(xor(list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS BIGINT))),
+    lambda c, b: xor(c >> 8, ({CRC_TABLE})[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS BIGINT) AS text_crc32 FROM t),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total FROM crc),
+cut AS (
+  SELECT *, CAST(least((2 * before + size) * {SHARDS} // (2 * total), {SHARDS} - 1) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cut
+"""
+
 ORACLE["op3_ngram_jaccard"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
