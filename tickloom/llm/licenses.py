@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,10 @@ def _literal(values: Mapping[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)])
 
 
+def _add(values: Column, so_far: Column, token: Column) -> Column:
+    return so_far + F.coalesce(F.element_at(values, token), F.lit(0.0))
+
+
 def line_tokens(line: Column) -> Column:
     """Runs of ASCII letters and digits, in small letters."""
     return F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda t: t != "")
@@ -81,7 +86,7 @@ def best_template(line: Column, weights: Weights) -> Column:
     scores = []
     for name, vector in weights.vectors.items():
         product = _literal({t: v * weights.idf[t] for t, v in vector.items()})
-        dot = F.aggregate(tokens, F.lit(0.0), lambda s, t, m=product: s + F.coalesce(F.element_at(m, t), F.lit(0.0)))
+        dot = F.aggregate(tokens, F.lit(0.0), partial(_add, product))
         cosine = F.when(squares > 0, F.round(dot / F.sqrt(squares), 6)).otherwise(0.0)
         scores.append(F.struct((-cosine).alias("loss"), F.lit(name).alias("license")))
     best = F.array_min(F.array(*scores)) if len(scores) > 1 else scores[0]

@@ -114,10 +114,11 @@ def as_files(docs: DataFrame) -> DataFrame:
 
 @query
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that open with a notice are the licence files of their directories."""
-    opening = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    """Documents that open or close with a notice are the licence files of their directories."""
+    text = F.coalesce("text", F.lit(""))
+    ends = F.concat_ws("\n", F.substring_index(text, "\n", 1), F.substring_index(text, "\n", -1))
     return licenses.scan(
-        as_files(read(spark, sf_dir, "documents")), opening.rlike(licenses.HINT), kept=("doc_id", "path")
+        as_files(read(spark, sf_dir, "documents")), ends.rlike(licenses.HINT), kept=("doc_id", "path")
     )
 
 
