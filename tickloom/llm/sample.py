@@ -72,7 +72,7 @@ def fit_in_one_task(
 
     parts = sample.mapInArrow(described, "first long, part binary")
     model = parts.repartition(1).sortWithinPartitions("first").mapInArrow(fitted, "model binary").first()
-    return unpack(model["model"])
+    return unpack(model["model"]) if model else fit([])  # an empty sample may have no task at all
 
 
 def sum_by(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:

@@ -94,23 +94,22 @@ class Writer:
 
     def open(self) -> None:
         self.path = f"{self.folder}/{uuid.uuid4().hex}.warc.zst"
-        self.out, self.size, self.records = self.files.open_output_stream(self.path, compression=None), 0, 0
+        self.out, self.records = self.files.open_output_stream(self.path, compression=None), 0
         made = dictionary(self.waiting)
         content = made.as_bytes()
-        self.write(struct.pack("<II", SKIPPABLE, len(content)) + content)
+        self.out.write(struct.pack("<II", SKIPPABLE, len(content)) + content)
+        self.size = 0  # of the records
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=made, write_content_size=True)
         waiting, self.waiting, self.waiting_bytes = self.waiting, [], 0
         for data in waiting:
             self.put(data)
 
-    def write(self, data: bytes) -> None:
-        self.out.write(data)
-        self.size += len(data)
-
     def put(self, data: bytes) -> None:
         if self.out is None:  # the archive was full
             return self.add(data)
-        self.write(self.compressor.compress(data))
+        frame = self.compressor.compress(data)
+        self.out.write(frame)
+        self.size += len(frame)
         self.records += 1
         if self.size >= self.most:
             self.close()
@@ -121,8 +120,8 @@ class Writer:
         self.out = None
 
     def finish(self) -> list[tuple[str, int, int]]:
-        """(path, records, bytes) of each archive."""
-        if self.waiting:
+        """(path, records, bytes of the records) of each archive."""
+        while self.waiting:  # the first ones may fill an archive
             self.open()
         if self.out is not None:
             self.close()
