@@ -102,7 +102,8 @@ def headers(text: Column) -> Column:
 
 def directory(path: Column) -> Column:
     """What is before the last slash; the top directory is the empty string."""
-    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+    above = F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+    return F.when(path.isNotNull(), above)
 
 
 def ancestors(folder: Column) -> Column:

@@ -86,7 +86,7 @@ def lexical(urls: DataFrame, url: str = "url") -> DataFrame:
             "path_length": F.length("path").cast("double"),
             "depth": count_of(F.col("path"), "/"),
             "labels": count_of(F.col("host"), "."),
-            "digits": F.coalesce(digits / F.length(text), F.lit(0.0)),
+            "digits": digits / F.greatest(F.length(text), F.lit(1)),
             "entropy": entropy(text),
             "parameters": F.when(query == "", 0.0).otherwise(count_of(query, "&") + 1),
             "fragment": F.contains(text, F.lit("#")).cast("double"),
