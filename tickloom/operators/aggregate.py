@@ -134,14 +134,20 @@ def unpack(df: DataFrame) -> DataFrame:
     return df
 
 
+def _never(_: Column, __: Column) -> Column:
+    return F.lit(False)
+
+
 def add_keyed(a: Column, b: Column) -> Column:
-    """Sum of two packed ``MAP<key, number>``; a missing key counts as 0."""
+    """Sum of two packed ``MAP<key, number>``; a missing key counts as 0, a NULL side as empty."""
     zero = F.lit(0.0)
+    a, b = F.coalesce(a, F.map_filter(b, _never)), F.coalesce(b, F.map_filter(a, _never))
     return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, zero) + F.coalesce(y, zero))
 
 
 def add_distributions(a: Column, b: Column) -> Column:
-    """Sum of two packed distributions, sorted by ``lo``."""
+    """Sum of two packed distributions, sorted by ``lo``; a NULL side counts as empty."""
+    a, b = F.coalesce(a, F.slice(b, 1, 0)), F.coalesce(b, F.slice(a, 1, 0))
     as_map = lambda d: F.map_from_entries(
         F.transform(d, lambda e: F.struct(F.struct(e["lo"].alias("lo"), e["hi"].alias("hi")), e["value"]))
     )

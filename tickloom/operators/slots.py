@@ -49,33 +49,36 @@ def _present(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [n for n in names if n in df.columns]
 
 
-def interval_scope(reports: DataFrame) -> DataFrame:
+def interval_scope(reports: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add up all reports of a slot."""
-    return merge(
-        reports.filter(F.col("value").isNotNull()), _present(reports, ("inst_id", "slot", *VALUE_DIMS))
-    )
+    dims = dict.fromkeys([*by, *_present(reports, ("inst_id", "slot", *VALUE_DIMS))])
+    return merge(reports.filter(F.col("value").isNotNull()), list(dims))
 
 
-def point_scope(reports: DataFrame, order: Sequence[str] = ("t", "seq")) -> DataFrame:
+def point_scope(reports: DataFrame, order: Sequence[str] = ("t", "seq"), by: Sequence[str] = ()) -> DataFrame:
     """Count a source's first report of a slot only, then add up the sources.
 
     A dimension belongs to the first report when its earliest order equals the
     source's earliest.  The first aggregation is per dimension and combines
     map-side, so a source with many reports shrinks before the shuffle; the
-    window then sees one row per dimension.
+    window then sees one row per dimension.  ``by`` names further columns that
+    the result keeps apart; they don't decide which report is the first.
     """
-    dims, values = _present(reports, REPORT_DIMS), _present(reports, VALUE_DIMS)
+    dims = _present(reports, REPORT_DIMS)
+    values = [n for n in dict.fromkeys([*by, *_present(reports, VALUE_DIMS)]) if n not in dims]
     rank = F.struct(*order)
     first = reports.groupBy(*dims, *values).agg(
         F.min(rank).alias("__first"), F.min_by("value", rank).alias("value")
     )
     earliest = F.min("__first").over(Window.partitionBy(*dims))
     kept = first.withColumn("__earliest", earliest).filter(F.col("__first") == F.col("__earliest"))
-    return interval_scope(kept.drop("__first", "__earliest"))
+    return interval_scope(kept.drop("__first", "__earliest"), by)
 
 
-def accumulate(reports: DataFrame, scope: str, order: Sequence[str] = ("t", "seq")) -> DataFrame:
-    return point_scope(reports, order) if scope == "point" else interval_scope(reports)
+def accumulate(
+    reports: DataFrame, scope: str, order: Sequence[str] = ("t", "seq"), by: Sequence[str] = ()
+) -> DataFrame:
+    return point_scope(reports, order, by) if scope == "point" else interval_scope(reports, by)
 
 
 def rollup(slots: DataFrame, start: int, duration: int, scope: str = "interval") -> DataFrame:

@@ -42,7 +42,6 @@ PROCESSES = Metric(
         "nthreads": FieldDef(log_linear(10, 1, 6, 1000)),
     },
     _process_points,
-    "point",
     source="processes",
 )
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.buckets import Bucketizer
 from ..operators import predicates
 from ..operators.aggregate import decompose
-from ..operators.slots import MAX_SLOTS, SLOWEST, down
+from ..operators.slots import MAX_SLOTS, SLOWEST, accumulate, down
 
 # --- fixed values: defaults and limits of an instrumentation --------------------
 DEFAULT_RETENTION = 600
@@ -42,7 +42,12 @@ class FieldDef:
 
 @dataclass(frozen=True)
 class Metric:
-    """``points(source, fields)`` gives ``t, value`` and the named dimensions."""
+    """``points(source, fields)`` gives ``t, value`` and the named dimensions.
+
+    With ``scope="point"`` the values are readings: of the reports that a
+    source (the field ``reporter``) makes in a slot only the first one counts.
+    The points of one source and second are a report.
+    """
 
     module: str
     stat: str
@@ -50,6 +55,7 @@ class Metric:
     points: Callable[[DataFrame, Sequence[str]], DataFrame]
     scope: str = "interval"
     source: str = "events"
+    reporter: str = "hostname"
 
     @property
     def arities(self) -> dict[str, str]:
@@ -108,13 +114,19 @@ def collection_granularity(granularity: int) -> int:
 def instrument(source: DataFrame, metric: Metric, spec: Instrumentation, by: Sequence[str] = ()) -> DataFrame:
     """Long-form slots ``by..., slot, [key], [lo, hi], value`` of a spec.
 
-    ``by`` keeps further point columns, e.g. the reporting source.
+    ``by`` keeps further point columns, e.g. the reporting source.  Metrics of
+    point scope are summed per source and second first (map-side combining) and
+    give the first report of each source and slot; a report in which the
+    predicate leaves nothing isn't seen.
     """
     spec.validate(metric.arities)
     pred = spec.predicate
     if spec.zones:
         pred = predicates.zone_scope(list(spec.zones), pred)
-    points = predicates.apply(metric.points(source, spec.fields()), pred)
+    fields = spec.fields()
+    if metric.scope == "point":
+        fields = list(dict.fromkeys([*fields, metric.reporter, *by]))
+    points = predicates.apply(metric.points(source, fields), pred)
     key = rng = None
     for name in ordered_decomposition(spec, metric.arities):
         definition = metric.fields[name]
@@ -123,4 +135,10 @@ def instrument(source: DataFrame, metric: Metric, spec: Instrumentation, by: Seq
         else:
             rng = definition.bucket(F.col(name))
     slot: Column = down(F.col("t"), spec.granularity).alias("slot")
-    return decompose(points, key=key, rng=rng, by=[*by, slot])
+    if metric.scope != "point":
+        return decompose(points, key=key, rng=rng, by=[*by, slot])
+    kept = [n for n in by if n != "source"]
+    reports = decompose(points, key=key, rng=rng, by=[*kept, slot, F.col(metric.reporter).alias("source"), "t"])
+    sums = accumulate(reports, "point", ["t"], by)
+    dims = [c for c in ("key", "lo", "hi") if c in sums.columns]
+    return sums.select(*by, "slot", *dims, "value")

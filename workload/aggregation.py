@@ -104,18 +104,22 @@ def a06(t):
     return a.merge(by_source_key(t), ["slot", "key"])
 
 
-@query("a06_merge_packed", with_p("""
-SELECT slot, optype AS key, CAST(count(*) AS DOUBLE) AS value FROM p
-WHERE slot IN (SELECT slot FROM p WHERE source = 'host0') AND slot IN (SELECT slot FROM p WHERE source = 'host1')
-  AND source IN ('host0', 'host1') GROUP BY 1, 2"""))
+@query("a06_merge_packed", with_p(
+    "SELECT slot, optype AS key, CAST(count(*) AS DOUBLE) AS value FROM p GROUP BY 1, 2"))
 def a06_packed(t):
-    """The packed form: two sources' maps per slot added as maps."""
-    packed = a.pack(by_source_key(t), ["source", "slot"])
-    one, two = (
-        packed.filter(F.col("source") == s).select("slot", F.col("value").alias(s)) for s in ("host0", "host1")
-    )
-    both = one.join(two, "slot").select("slot", a.add_keyed(F.col("host0"), F.col("host1")).alias("value"))
-    return a.unpack(both)
+    """The packed form: the maps of two halves of the sources added as maps, slots of one half only included."""
+    return a.unpack(halves_added(a.pack(halved(by_source_key(t), "key"), ["half", "slot"]), a.add_keyed))
+
+
+def halved(values, *dims):
+    """What even and odd sources report."""
+    half = (F.substring("source", 5, 10).cast("int") % 2).alias("half")
+    return a.merge(values.withColumn("half", half), ["half", "slot", *dims])
+
+
+def halves_added(packed, add):
+    even, odd = (packed.filter(F.col("half") == h).select("slot", F.col("value").alias(f"v{h}")) for h in (0, 1))
+    return even.join(odd, "slot", "full").select("slot", add(F.col("v0"), F.col("v1")).alias("value"))
 
 
 @query("a07_merge_distributions", with_p(
@@ -124,17 +128,10 @@ def a07(t):
     return a.merge(by_source_range(t), ["slot", "lo", "hi"])
 
 
-@query("a07_merge_packed", with_p(f"""
-SELECT slot, {LL_LO} AS lo, max({LL_HI}) AS hi, CAST(count(*) AS DOUBLE) AS value FROM p
-WHERE slot IN (SELECT slot FROM p WHERE source = 'host0') AND slot IN (SELECT slot FROM p WHERE source = 'host1')
-  AND source IN ('host0', 'host1') GROUP BY 1, 2"""))
+@query("a07_merge_packed", with_p(
+    f"SELECT slot, {LL_LO} AS lo, max({LL_HI}) AS hi, CAST(count(*) AS DOUBLE) AS value FROM p GROUP BY 1, 2"))
 def a07_packed(t):
-    packed = a.pack(by_source_range(t), ["source", "slot"])
-    one, two = (
-        packed.filter(F.col("source") == s).select("slot", F.col("value").alias(s)) for s in ("host0", "host1")
-    )
-    both = one.join(two, "slot").select("slot", a.add_distributions(F.col("host0"), F.col("host1")).alias("value"))
-    return a.unpack(both)
+    return a.unpack(halves_added(a.pack(halved(by_source_range(t), "lo", "hi"), ["half", "slot"]), a.add_distributions))
 
 
 @query("a07_range_conflicts", with_p("SELECT lo, min(hi) AS min_hi, max(hi) AS max_hi FROM (" + f"SELECT {LL_LO} AS lo, {LL_HI} AS hi FROM p" + ") GROUP BY 1 HAVING min(hi) <> max(hi)"))
@@ -251,6 +248,33 @@ def a15_zones(t):
     return instrument(t.points, EVENTS, spec)
 
 
+GAUGE_METRIC = Metric(
+    "app", "load", {"hostname": FieldDef(), "optype": FieldDef(), "latency": FieldDef(LATENCY)},
+    lambda source, names: source.select("t", *names, F.col("k").cast("double").alias("value")), scope="point",
+)
+# Each host reads its gauge every quarter of an hour: four reports an hour, the first of them counts.
+READINGS = "r AS (SELECT t - t % 900 AS t, source AS hostname, optype, latency, slot, CAST(k AS DOUBLE) AS value FROM p)"
+FIRST = "f AS (SELECT * FROM (SELECT *, min(t) OVER (PARTITION BY slot, hostname) AS first_t FROM r) WHERE t = first_t)"
+
+
+def readings(t):
+    return t.points.withColumns({"t": F.col("t") - F.col("t") % 900, "hostname": F.col("source")})
+
+
+@query("a15_instrument_point", with_p("SELECT slot, sum(value) AS value FROM f GROUP BY 1", READINGS, FIRST))
+def a15_point(t):
+    """A reading is not added up over time: the first report of each host and slot counts."""
+    return instrument(readings(t), GAUGE_METRIC, Instrumentation("app", "load", granularity=G, retention=0))
+
+
+@query("a15_instrument_point_keyed", with_p(
+    f"SELECT slot, optype AS key, {LL_LO} AS lo, max({LL_HI}) AS hi, sum(value) AS value FROM f GROUP BY 1, 2, 3",
+    READINGS, FIRST))
+def a15_point_keyed(t):
+    spec = Instrumentation("app", "load", decomposition=("optype", "latency"), granularity=G, retention=0)
+    return instrument(readings(t), GAUGE_METRIC, spec)
+
+
 @query("q01_union_sources", """
 WITH u AS (
   SELECT 'order' AS origin, CAST(o_orderstatus AS VARCHAR) AS key FROM orders

@@ -262,6 +262,31 @@ METRIC_SQL = {
 KEY_SQL = {"cpu": "'cpu' || user_id", "nic": "name", "disk": "name", "zonename": "zonename"}
 
 
+def first_reports(rows: str, width: int = DAY) -> str:
+    """Of rows with t and hostname those of each host's first second in a slot; no other one counts for a reading."""
+    slot = f"t - t % {width}"
+    return (
+        f"SELECT * FROM (SELECT *, {slot} AS slot, min(t) OVER (PARTITION BY hostname, {slot}) AS first_t FROM ({rows}))"
+        " WHERE t = first_t"
+    )
+
+
+def point_metric_sql(dims, where, value, numeric) -> str:
+    modes = value if isinstance(value, dict) else {None: value}
+    rows = " UNION ALL ".join(
+        f"SELECT t, hostname, {repr(mode) if mode else KEY_SQL[dims[0]]} AS key, CAST({v} AS DOUBLE) AS value,"
+        f" {f'CAST({numeric[0]} AS DOUBLE)' if numeric else 'NULL'} AS v FROM pairs WHERE {where}"
+        for mode, v in modes.items()
+    )
+    first = first_reports(f"SELECT * FROM ({rows}) WHERE value IS NOT NULL")
+    if numeric is None:
+        return sql(f"SELECT slot, key, sum(value) AS value FROM ({first}) GROUP BY 1, 2")
+    low = numeric[1]
+    lo = "floor(v)" if low is None else sql_log_linear("v", low)
+    hi = "floor(v)" if low is None else sql_log_linear("v", low, hi=True)
+    return sql(f"SELECT slot, key, {lo} AS lo, max({hi}) AS hi, sum(value) AS value FROM ({first}) GROUP BY 1, 2, 3")
+
+
 def metric_sql(dims, where, value, numeric) -> str:
     modes = value if isinstance(value, dict) else None
     if modes:
@@ -296,7 +321,9 @@ def _register(definition):
     name = f"{definition.module}.{definition.stat}"
     dims, where, value, numeric = METRIC_SQL[name]
 
-    @query("m_" + name.replace(".", "_") + "_counters", metric_sql(dims, where, value, numeric))
+    text = (point_metric_sql if definition.scope == "point" else metric_sql)(dims, where, value, numeric)
+
+    @query("m_" + name.replace(".", "_") + "_counters", text)
     def _(t):
         metric = definition.metric()
         return instrument(as_records(snapshots(t), definition.record), metric, daily_spec(metric, dims))
@@ -318,8 +345,10 @@ STORAGE_SQL = {
 def _register_storage(metric):
     value, where = STORAGE_SQL[metric.stat]
 
+    rows = f"SELECT t, hostname, CAST({value} AS DOUBLE) AS value FROM st WHERE {where}"
+
     @query(f"m_zfs_{metric.stat}", "WITH " + STORAGE + f"""
-SELECT t - t % 86400 AS slot, hostname AS key, CAST(sum({value}) AS DOUBLE) AS value FROM st WHERE {where} GROUP BY 1, 2""")
+SELECT slot, hostname AS key, sum(value) AS value FROM ({first_reports(rows)}) GROUP BY 1, 2""")
     def _(t):
         return instrument(storage(t), metric, daily_spec(metric, ("hostname",)))
 
