@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import itertools
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,31 +15,39 @@ from tickloom.operators import transforms as u
 from tickloom.operators import values as v
 
 REQUEST = "request_id bigint, inst_id string, start_time bigint, duration bigint, end_time bigint, ndatapoints bigint"
-NOW, WHEN = 1234567890, 12345
-# (start, duration, end), default duration, granularity -> (start, duration)
-INTERVALS = [
-    ((None, None, None), 1, 1, (NOW - 2, 1)), ((None, None, None), 60, 10, (NOW - 70, 60)),
-    ((None, None, None), 60, 1, (NOW - 61, 60)), ((None, None, None), 5, 5, (NOW - 10, 5)),
-    ((WHEN, None, None), 1, 1, (WHEN, 1)), ((WHEN, None, None), 30, 5, (WHEN, 30)),
-    ((None, 10, None), 1, 1, (NOW - 11, 10)), ((None, 20, None), 60, 5, (NOW - 25, 20)),
-    ((None, None, WHEN), 1, 1, (WHEN - 1, 1)), ((None, None, WHEN), 60, 5, (WHEN - 60, 60)),
-    ((WHEN, 10, None), 60, 5, (WHEN, 10)), ((None, 10, WHEN), 1, 1, (WHEN - 10, 10)),
-    ((WHEN, None, WHEN + 1), 1, 1, (WHEN, 1)), ((WHEN, None, WHEN + 10), 60, 5, (WHEN, 10)),
-    ((WHEN, 10, WHEN + 10), 60, 5, (WHEN, 10)),
-    ((WHEN, 10, WHEN + 1), 1, 1, "must equal"), ((WHEN, None, WHEN - 1), 1, 1, "must be later"),
-    ((WHEN, None, WHEN), 1, 1, "must be later"), ((None, 11, 10), 1, 1, "cannot exceed"),
-    ((WHEN, 0, None), 1, 1, "must be positive"),
-]
+NOW = 1_700_000_003
+
+
+def by_rule(start, duration, end, default, g):
+    """Two of the three times fix the third; without both ends the newest full interval is meant."""
+    if duration is not None and duration < 1:
+        return "positive"
+    if start is None and end is None:
+        length = default if duration is None else duration
+        return NOW - length - g, length
+    if start is None:
+        length = default if duration is None else duration
+        return "exceed" if length > end else (end - length, length)
+    if end is None:
+        return start, default if duration is None else duration
+    if duration is None:
+        return (start, end - start) if end > start else "later"
+    return (start, duration) if start + duration == end else "equal"
 
 
 def test_intervals(spark):
-    for (start, duration, end), default, g, want in INTERVALS:
-        req = spark.createDataFrame([(1, "i", start, duration, end, None)], REQUEST)
-        row = v.infer_interval(req, NOW, default, g).collect()[0]
-        if isinstance(want, str):
-            assert want in row["error"] and row["start_time"] is None
-        else:
-            assert row["error"] is None and (row["start_time"], row["duration"]) == want
+    times = [None, 8, 500, 530]
+    cases = list(itertools.product(times, [None, 0, 8, 22, 30], times, [(1, 1), (60, 10)]))
+    for default, g in {c[3] for c in cases}:
+        mine = [c for c in cases if c[3] == (default, g)]
+        req = spark.createDataFrame([(i, "i", a_, d, e, None) for i, (a_, d, e, _) in enumerate(mine)], REQUEST)
+        for row in v.infer_interval(req, NOW, default, g).collect():
+            start, duration, end, _ = mine[row["request_id"]]
+            want = by_rule(start, duration, end, default, g)
+            if isinstance(want, str):
+                assert row["error"] is not None and row["start_time"] is None, mine[row["request_id"]]
+            else:
+                assert row["error"] is None and (row["start_time"], row["duration"]) == want
 
 
 def asked(spark, *requests, g=1):
@@ -55,29 +67,31 @@ def test_unaligned_data_points(spark):
     assert (one["start_time"], one["end_time"], one["requested_end_time"]) == (12350, 12360, 12359)
 
 
-SHAPES = {
-    "scalar": ([(12345, 10), (12346, 15), (12348, 7)], {(12345, 1): 10, (12346, 2): 15, (12346, 3): 22}),
-    "keyed": ([(12345, {"selma": 10}), (12347, {"selma": 3, "patty": 15})], {(12345, 1): {"selma": 10}, (12345, 3): {"selma": 13, "patty": 15}}),
-    "distribution": (
-        [(12345, [[[10, 20], 5], [[30, 40], 3]]), (12346, [[[0, 10], 7], [[10, 20], 2]]), (12348, [[[10, 20], 100]])],
-        {(12345, 1): [[[10, 20], 5], [[30, 40], 3]], (12346, 3): [[[0, 10], 7], [[10, 20], 102]]},
-    ),
-    "both": (
-        [(12345, {"selma": [[[10, 20], 5], [[30, 40], 3]]}), (12347, {"selma": [[[0, 10], 7], [[10, 20], 2]], "patty": [[[10, 20], 100]]})],
-        {(12345, 1): {"selma": [[[10, 20], 5], [[30, 40], 3]]},
-         (12345, 10): {"selma": [[[0, 10], 7], [[10, 20], 7], [[30, 40], 3]], "patty": [[[10, 20], 100]]}},
-    ),
-}
-
-
-@pytest.mark.parametrize("shape", SHAPES)
-def test_raw_values(spark, shape):
-    updates, wanted = SHAPES[shape]
-    slots = s.interval_scope(reports(spark, [("source", t, value) for t, value in updates]))
-    points = asked(spark, *((start, d, None, None) for start, d in wanted))
-    rows = v.values(points, slots, 1)
-    for i, want in enumerate(wanted.values()):
-        assert nested(rows.filter(F.col("request_id") == i)) == want
+def random_value(rnd, keyed, ranged):
+    dist = lambda: [[[k, k + 9], rnd.randrange(1, 9)] for k in sorted(rnd.sample(range(0, 50, 10), 2))]
+    one = dist if ranged else lambda: rnd.randrange(1, 9)
+    return {k: one() for k in rnd.sample(["ore", "tin", "zinc"], 2)} if keyed else one()
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+@pytest.mark.parametrize("ranged", [False, True])
+def test_raw_values(spark, keyed, ranged):
+    """The sum of what was reported inside each interval."""
+    rnd = random.Random(10 * keyed + ranged)
+    told = [(t, random_value(rnd, keyed, ranged)) for t in rnd.sample(range(800, 830), 12)]
+    slots = s.interval_scope(reports(spark, [("source", t, value) for t, value in told]))
+    asked_for = [(start, d) for start in (795, 800, 811, 840) for d in (1, 4, 40)]
+    points = asked(spark, *((start, d, None, None) for start, d in asked_for))
+    found = {}
+    for r in v.values(points, slots, 1).collect():
+        place = (r.asDict().get("key"), r.asDict().get("lo"), r.asDict().get("hi"))
+        found.setdefault(r["request_id"], {})[place] = r["value"]
+    for i, (start, d) in enumerate(asked_for):
+        want = Counter()
+        for t, value in told:
+            if start <= t < start + d:
+                want.update({row[:3]: row[3] for row in flat(value)})
+        assert found.get(i, {}) == want
 
 
 def test_request_limits(spark):
