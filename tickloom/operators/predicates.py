@@ -7,7 +7,7 @@ comparisons, or ``{"and"|"or": [predicate, predicate, ...]}``.
 from __future__ import annotations
 
 import operator
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -68,6 +68,22 @@ def contains(pred: Mapping, field: str) -> bool:
     return field in fields_of(pred)
 
 
+def comparison_error(field: Column, op: Column, is_text: Column, arities: Mapping[str, str]) -> Column:
+    """Why a comparison given row by row is refused; NULL if it is fine.
+
+    The rules are those of :func:`validate` for one comparison with ``{field: arity}``.
+    """
+    kind = F.lit(None).cast("string")
+    for name, arity in arities.items():
+        kind = F.when(field == name, arity).otherwise(kind)
+    return (
+        F.when(~F.coalesce(op.isin(*COMPARISONS), F.lit(False)), "unknown operator")
+        .when(kind.isNull(), "unknown field")
+        .when(op.isin(*ORDERING) & (kind != "numeric"), "discrete field")
+        .when((kind == "numeric") == is_text, "constant does not fit")
+    )
+
+
 def validate(pred: Mapping, arities: Mapping[str, str] | None = None) -> None:
     """Raise unless ``pred`` is well formed and fits ``{field: arity}``."""
     op, args = _split(pred)
@@ -101,6 +117,15 @@ def substitute(pred: Mapping, names: Mapping[str, str]) -> dict:
     return {op: [names.get(args[0], args[0]), args[1]]}
 
 
+def part_on(pred: Mapping, fields: Collection[str]) -> dict:
+    """What must hold of ``fields`` alone for ``pred`` to hold: the conjuncts that name no other field."""
+    op, args = _split(pred)
+    if op == "and":
+        parts = [part for child in args if (part := part_on(child, fields))]
+        return {"and": parts} if len(parts) > 1 else parts[0] if parts else {}
+    return dict(pred) if op is not None and set(fields_of(pred)) <= set(fields) else {}
+
+
 def to_column(pred: Mapping, columns: Mapping[str, Column] | None = None) -> Column:
     """Compile to a boolean column; ``columns`` maps fields to expressions."""
     op, args = _split(pred)

@@ -61,7 +61,8 @@ class CounterMetric:
         if self.modes:
             fields[self.modes[0]] = FieldDef()
         fields |= {n: FieldDef(b) for n, (_, b) in self.numeric.items()}
-        return Metric(self.module, self.stat, fields, self.points, self.scope, source="counters")
+        early = {"hostname": "hostname"} | {n: EARLY[e] for n, e in self.discrete.items() if e in EARLY}
+        return Metric(self.module, self.stat, fields, self.points, self.scope, source="counters", early=early)
 
 
 def _zone() -> Column:
@@ -72,6 +73,10 @@ def _name() -> Column:
     return F.col("name")
 
 
+# A record keeps its name and its zone from one reading to the next.
+EARLY = {_zone: "zonename", _name: "name"}
+
+
 def _numbered(prefix: str) -> Expr:
     return lambda: F.concat(F.lit(prefix), F.col("instance").cast("string"))
 

@@ -67,7 +67,8 @@ def arg(name: str) -> Column:
 
 
 def number(name: str) -> Column:
-    return arg(name).cast("bigint")
+    """NULL for an argument that is no whole number: one bad event must not end the job."""
+    return arg(name).try_cast("bigint")
 
 
 def at_done(*names: str) -> dict[str, Dim]:
@@ -107,7 +108,9 @@ READ_WRITE = derived("optype", lambda: F.when(number("direction") != 1, "read").
 
 def matches(patterns: Sequence[str]) -> Column:
     """Probe name in a list; ``*`` stands for the provider's instance."""
-    return reduce(lambda a, b: a | b, [F.col("probe").like(p.replace("*", "%")) for p in patterns])
+    exact = [p for p in patterns if "*" not in p]
+    globs = [p.replace("_", r"\_").replace("*", "%") for p in patterns if "*" in p]
+    return reduce(lambda a, b: a | b, [*([F.col("probe").isin(exact)] if exact else []), *map(F.col("probe").like, globs)])
 
 
 @dataclass(frozen=True)
@@ -161,7 +164,11 @@ class EventMetric:
 
     def metric(self) -> Metric:
         fields = {n: FieldDef() for n in self.context} | {n: FieldDef(d.bucket) for n, d in self.dims.items()}
-        return Metric(self.module, self.stat, fields, self.points, source="events")
+        # a thread, request or buffer stays on its host; a derived zone is known at the end only
+        early = {"hostname": "host"}
+        if "zonename" not in self.dims and self.key == THREAD:
+            early["zonename"] = "zonename"
+        return Metric(self.module, self.stat, fields, self.points, source="events", early=early)
 
 
 def _query_phases(events: DataFrame, key: Sequence[str], gather: Mapping[str, Expr]) -> DataFrame:

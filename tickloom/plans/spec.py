@@ -47,6 +47,10 @@ class Metric:
     With ``scope="point"`` the values are readings: of the reports that a
     source (the field ``reporter``) makes in a slot only the first one counts.
     The points of one source and second are a report.
+
+    ``early`` maps fields to columns of the source table that have the same
+    value in all rows that are brought together into a point: a condition on
+    them is checked before rows are paired and shuffled.
     """
 
     module: str
@@ -56,6 +60,7 @@ class Metric:
     scope: str = "interval"
     source: str = "events"
     reporter: str = "hostname"
+    early: Mapping[str, str] = field(default_factory=dict)
 
     @property
     def arities(self) -> dict[str, str]:
@@ -106,6 +111,17 @@ def value_arity(spec: Instrumentation, arities: Mapping[str, str]) -> tuple[str,
     return kind, len(spec.decomposition) + 1
 
 
+def value_arities(fields: Column, arities: Mapping[str, str]) -> tuple[Column, Column]:
+    """The same for decompositions given row by row as arrays of field names."""
+    numeric = F.array(*[F.lit(n) for n, kind in arities.items() if kind == "numeric"]).cast("array<string>")
+    kind = (
+        F.when(F.size(fields) == 0, "scalar")
+        .when(F.arrays_overlap(fields, numeric), "numeric-decomposition")
+        .otherwise("discrete-decomposition")
+    )
+    return kind, F.size(fields) + 1
+
+
 def collection_granularity(granularity: int) -> int:
     """How often a source reports: once per slot, but at least every 5 s."""
     return min(granularity, SLOWEST)
@@ -126,6 +142,8 @@ def instrument(source: DataFrame, metric: Metric, spec: Instrumentation, by: Seq
     fields = spec.fields()
     if metric.scope == "point":
         fields = list(dict.fromkeys([*fields, metric.reporter, *by]))
+    early = predicates.part_on(pred, [n for n, column in metric.early.items() if column in source.columns])
+    source = predicates.apply(source, predicates.substitute(early, metric.early))
     points = predicates.apply(metric.points(source, fields), pred)
     key = rng = None
     for name in ordered_decomposition(spec, metric.arities):
