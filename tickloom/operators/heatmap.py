@@ -66,6 +66,19 @@ class Heatmap:
                 raise ValueError(f"need {needed} hues")
 
 
+def settings_error(width: Column, height: Column, nbuckets: Column, ymin: Column, ymax: Column) -> Column:
+    """Which limit an image asked for row by row violates; NULL if none (``ymax`` may be NULL)."""
+    outside = lambda c, low, high: ~c.between(low, high)
+    return (
+        F.when(outside(width, *SIDE), "width")
+        .when(outside(height, *SIDE), "height")
+        .when(outside(nbuckets, *BUCKETS), "nbuckets")
+        .when(outside(ymin, 0, MAX_VALUE), "ymin")
+        .when(outside(ymax, 0, MAX_VALUE), "ymax")
+        .when(ymin >= ymax, "scale")
+    )
+
+
 def percentile_argument(p: float) -> float:
     if not 0 <= p <= 1:
         raise ValueError('"percentile" must be in 0..1')
@@ -181,19 +194,26 @@ def normalize_linear(cells: DataFrame) -> DataFrame:
     return cells.withColumn("saturation", F.lit(MAX_SATURATION) * F.col("value") / top)
 
 
+def significant(value: Column, digits: int) -> Column:
+    """A positive number rounded to its first ``digits`` digits."""
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(value)))
+    return F.rint(value * scale) / scale
+
+
 def normalize_rank(cells: DataFrame, digits: int = 9) -> DataFrame:
     """Saturation by rank among the distinct non-zero cell values.
 
-    Values equal to ``digits`` decimals share a rank.  The running count is cut
-    by magnitude, so no task ranks all values.
+    Values equal in their first ``digits`` digits share a rank, however small
+    they are.  The running count is cut by magnitude into slices of 1/1024
+    octave, in which there are at most about 10^digits / 1400 levels.
     """
-    v = F.round("value", digits)
+    v = F.when(F.col("value") > 0, significant(F.col("value"), digits))
     levels = (
         cells.select(v.alias("level")).filter(F.col("level") > 0).distinct()
         .withColumn("magnitude", F.log2("level"))
         .withColumn("all", F.lit(1))
     )
-    ranked = running(levels, Timeline(["all"], ["magnitude", "level"], 0.25), {"rank": ("sum", F.lit(1))})
+    ranked = running(levels, Timeline(["all"], ["magnitude", "level"], 1 / 1024), {"rank": ("sum", F.lit(1))})
     count = levels.agg(F.count("*").alias("n")).scalar()
     return cells.withColumn("level", v).join(ranked.select("level", "rank"), "level", "left").select(
         *cells.columns,

@@ -129,9 +129,28 @@ def reporting_range(counts: DataFrame, width: int, g: int) -> DataFrame:
     )
 
 
+def dense(counts: DataFrame, g: int, chunk: int = 4096) -> DataFrame:
+    """A row for every slot from an instrumentation's first to its last, 0 where nobody reported.
+
+    Long series are laid out in chunks of slots, so no row holds them all.
+    """
+    by = _present(counts, ("inst_id",))
+    ends = counts.groupBy(*by).agg(F.min("slot").alias("__low"), F.max("slot").alias("__high"))
+    parts = ends.filter("__low is not null").withColumn(
+        "__from", F.explode(F.sequence("__low", "__high", F.lit(chunk * g).cast("bigint")))
+    )
+    upto = F.least(F.col("__from") + (chunk - 1) * g, F.col("__high"))
+    grid = parts.select(*by, F.explode(F.sequence("__from", upto, F.lit(g).cast("bigint"))).alias("slot"))
+    return grid.join(counts, [*by, "slot"], "left").select(
+        *by, "slot", F.coalesce("reporting", F.lit(0)).cast("bigint").alias("reporting")
+    )
+
+
 def expected(counts: DataFrame, g: int, chunk: int = 4096) -> DataFrame:
     """Sources to expect at each slot: the most seen in the settled window.
 
+    A slot in which nobody reported has a row as well (see :func:`dense`).
+
     The window starts at ``down(t - SETTLE - WINDOW)`` and is ``up(WINDOW)``
     long.  It only reaches back a few slots, so long series are cut into
     chunks of slots that each repeat the last slots of the chunk before.
@@ -142,7 +161,7 @@ def expected(counts: DataFrame, g: int, chunk: int = 4096) -> DataFrame:
     width = max(chunk * g, back)
     own = F.floor(F.col("slot") / width)
     homes = F.when(F.col("slot") >= (own + 1) * width - back, F.array(own, own + 1)).otherwise(F.array(own))
-    rows = counts.withColumn("__chunk", F.explode(homes))
+    rows = dense(counts, g, chunk).withColumn("__chunk", F.explode(homes))
     w = Window.partitionBy(*by, "__chunk").orderBy("slot").rangeBetween(-back, -back + length - g)
     return (
         rows.withColumn("expected", F.coalesce(F.max("reporting").over(w), F.lit(0)))

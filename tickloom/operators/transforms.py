@@ -47,6 +47,14 @@ class Registry:
     def applicable(self, decomposition: Sequence[str]) -> list[str]:
         return [n for n in self.names() if set(self._by_name[n].fields) & set(decomposition)]
 
+    def applicable_to(self, specs: DataFrame) -> DataFrame:
+        """``(spec_id, transformation)`` of specs with ``spec_id`` and ``fields``, an array."""
+        offered = self.table(specs.sparkSession).select(
+            F.col("name").alias("transformation"), F.explode("fields").alias("field")
+        )
+        asked = specs.select("spec_id", F.explode("fields").alias("field"))
+        return asked.join(offered, "field").select("spec_id", "transformation").distinct()
+
     def check(self, names: Sequence[str], decomposition: Sequence[str]) -> None:
         unknown = [n for n in names if n not in self._by_name]
         if unknown:
@@ -73,8 +81,8 @@ def apply(values: DataFrame, transformation: Transformation) -> DataFrame:
 
 OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 DOTTED_QUAD = rf"^{OCTET}(\.{OCTET}){{3}}$"
-# Private and loopback networks: 10/8, 127/8, 172.16/12, 192.168/16.
-PRIVATE = r"^(10|127|172\.(1[6-9]|2[0-9]|3[01])|192\.168)\."
+# Private, loopback and link-local networks: 10/8, 127/8, 169.254/16, 172.16/12, 192.168/16.
+PRIVATE = r"^(10|127|169\.254|172\.(1[6-9]|2[0-9]|3[01])|192\.168)\."
 
 
 def is_public_ipv4(ip: Column) -> Column:

@@ -43,7 +43,8 @@ def _latest_end(g: int | Column) -> Column:
 def infer_interval(requests: DataFrame, now: int | Column, default_duration: int, g: int | Column = 1) -> DataFrame:
     """Complete ``start_time`` and ``duration`` from any two of the three times.
 
-    Adds ``error``; a request with an error keeps NULL start and duration.
+    Adds ``error``; a request with an error keeps NULL start and duration.  An
+    error that is there already, e.g. of :func:`limit_errors`, stands.
     """
     start, length, end = F.col("start_time"), F.col("duration"), F.col("end_time")
     no_start, no_length, no_end = start.isNull(), length.isNull(), end.isNull()
@@ -58,6 +59,8 @@ def infer_interval(requests: DataFrame, now: int | Column, default_duration: int
         )
         .when(d < 1, '"duration" must be positive')
     )
+    if "error" in requests.columns:
+        error = F.coalesce(F.col("error"), error)
     out = requests.select(
         *[c for c in requests.columns if c not in ("start_time", "duration", "end_time", "error")],
         s.cast("bigint").alias("start_time"),
@@ -78,7 +81,7 @@ def data_points(requests: DataFrame, g: int | Column) -> DataFrame:
     """
     gc = g if isinstance(g, Column) else F.lit(g)
     n = F.coalesce(F.col("ndatapoints"), F.lit(1))
-    rows = requests.filter(F.col("start_time").isNotNull()).withColumn(
+    rows = requests.filter(F.col("start_time").isNotNull() & (n >= 1)).withColumn(
         "point", F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
     )
     width = up(F.col("duration"), gc)
@@ -94,6 +97,13 @@ def data_points(requests: DataFrame, g: int | Column) -> DataFrame:
     )
 
 
+def checked(
+    requests: DataFrame, now: int | Column, default_duration: int, g: int | Column = 1, timeout: int = SETTLE
+) -> DataFrame:
+    """Requests with their interval or the first limit or rule that they violate."""
+    return infer_interval(limit_errors(requests, now, timeout, g), now, default_duration, g)
+
+
 INTERVAL = ("inst_id", "start", "width")
 
 

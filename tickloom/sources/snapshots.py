@@ -31,7 +31,8 @@ class Snapshot:
 def capture(reports: DataFrame, slots: DataFrame, granularity: int, nsources: DataFrame | None = None) -> Snapshot:
     """Snapshot of reports (``inst_id, slot, source, t``) and their slots."""
     reporting = reports.groupBy("inst_id", "slot", "source").agg(F.max("t").alias("last_seen"))
-    ids = slots.select("inst_id").distinct()
+    # an instrumentation of which only undefined data came in has no slot but is there
+    ids = reporting.select("inst_id").distinct()
     counted = (
         ids.withColumn("nsources", F.lit(0).cast("bigint"))
         if nsources is None

@@ -92,12 +92,19 @@ def storage_list(spark: SparkSession, path: str, columns: Sequence[str], text: S
     """Tab-separated listing; the first column names the object.
 
     ``-`` reads as 0.  Columns are whole numbers unless named in ``text``; a
-    value that is no number reads as NULL.
+    value that is no number reads as NULL there and is kept in ``other``, a map
+    from column to text (NULL if there is none).
     """
     schema = ", ".join(f"`{c}` string" for c in columns)
     raw = spark.read.csv(path, sep="\t", schema=schema)
     name, *rest = columns
-    return raw.select(F.col(name).alias("name"), *(_storage_value(c, c in text) for c in rest))
+    numbers = [c for c in rest if c not in text]
+    kept = F.map_filter(
+        F.create_map(*[x for c in numbers for x in (F.lit(c), F.col(c))]) if numbers else F.create_map(),
+        lambda _, value: (value != STORAGE_NONE) & value.try_cast("bigint").isNull(),
+    ).cast("map<string, string>")
+    other = F.when(F.size(kept) > 0, kept).alias("other")
+    return raw.select(F.col(name).alias("name"), *(_storage_value(c, c in text) for c in rest), other)
 
 
 def _storage_value(column: str, is_text: bool) -> Column:

@@ -21,7 +21,7 @@ def _ranges(text: Column) -> Column:
     return F.transform(
         pairs,
         lambda p: F.struct(
-            bounds(p)[0].alias("lo"), bounds(p)[1].alias("hi"), p[1].cast("double").alias("value")
+            bounds(p)[0].alias("lo"), bounds(p)[1].alias("hi"), p[1].try_cast("double").alias("value")
         ),
     )
 
@@ -30,12 +30,13 @@ def decode(messages: DataFrame, shape: str, column: str = "value") -> DataFrame:
     """Long rows of JSON values.
 
     A message without a value, or with an empty one, keeps one row with a NULL
-    value, so that its source still counts as reporting.
+    value, so that its source still counts as reporting.  What is no number is
+    NULL; :func:`malformed` finds such messages.
     """
     rest = [c for c in messages.columns if c != column]
     text = F.col(column)
     if shape == SCALAR:
-        return messages.select(*rest, text.cast("double").alias("value"))
+        return messages.select(*rest, text.try_cast("double").alias("value"))
     if shape == KEYED:
         parsed = F.from_json(text, "map<string, double>")
         return messages.select(*rest, F.explode_outer(parsed).alias("key", "value"))
@@ -46,6 +47,15 @@ def decode(messages: DataFrame, shape: str, column: str = "value") -> DataFrame:
     return keyed.select(*rest, "key", F.inline_outer(_ranges(F.col("__dist"))))
 
 
+def malformed(messages: DataFrame, shape: str, column: str = "value") -> DataFrame:
+    """Messages whose value is given but can't be read in this shape."""
+    text = F.col(column)
+    kinds = {SCALAR: None, KEYED: "map<string, double>", DISTRIBUTION: "array<array<string>>"}
+    kind = kinds.get(shape, "map<string, string>")
+    read = text.try_cast("double") if kind is None else F.from_json(text, kind)
+    return messages.filter(text.isNotNull() & read.isNull())
+
+
 def _number(c: Column) -> Column:
     """Whole numbers without a decimal point."""
     return F.when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(c.cast("string"))

@@ -304,25 +304,38 @@ def registry(t):
     return r
 
 
-@query("u01_registry", with_p("""
-SELECT optype AS key, count(*) AS n, 'geolocate,reversedns' AS transformations FROM p GROUP BY 1"""))
+SPECS = """specs AS (
+  SELECT o_orderkey AS spec_id, ['raddr', 'http_origin', 'zonename'][1 + o_custkey % 3] AS a, ['latency', 'raddr'][1 + o_orderkey % 2] AS b FROM orders),
+fit AS (
+  SELECT spec_id, 'geolocate' AS transformation FROM specs WHERE a IN ('raddr', 'http_origin') OR b = 'raddr'
+  UNION ALL SELECT spec_id, 'reversedns' FROM specs WHERE a = 'raddr' OR b = 'raddr')"""
+
+
+def specs(t):
+    """Decompositions, one an order."""
+    pick = lambda names, by: F.get(F.array(*map(F.lit, names)), (F.col(by) % len(names)).cast("int"))
+    fields = F.array(pick(["raddr", "http_origin", "zonename"], "o_custkey"), pick(["latency", "raddr"], "o_orderkey"))
+    return t.orders.select(F.col("o_orderkey").alias("spec_id"), fields.alias("fields"))
+
+
+@query("u01_registry", "WITH " + SPECS + """
+SELECT transformation, CASE transformation WHEN 'geolocate' THEN 'geolocate IP addresses' ELSE 'host names of IP addresses' END AS label,
+       count(*) AS specs FROM fit GROUP BY 1""")
 def u01(t):
-    """The registered transformations next to a keyed value."""
-    names = ",".join(registry(t).names())
-    return t.points.groupBy(F.col("optype").alias("key")).agg(F.count("*").alias("n"), F.lit(names).alias("transformations"))
+    """The registered transformations and how many specs may use them."""
+    r = registry(t)
+    used = r.applicable_to(specs(t)).groupBy(F.col("transformation").alias("name")).agg(F.count("*").alias("specs"))
+    return r.table(t.spark).join(used, "name").select(F.col("name").alias("transformation"), "label", "specs")
 
 
-@query("u02_applicable", with_p("""
-SELECT optype AS key, count(*) AS n, 'geolocate' AS for_origin, 'geolocate,reversedns' AS for_peer, '' AS for_zone FROM p GROUP BY 1"""))
+@query("u02_applicable", "WITH " + SPECS + "SELECT * FROM fit")
 def u02(t):
-    r = registry(t)
-    allowed = {n: F.lit(",".join(r.applicable([f]))) for n, f in (("for_origin", "http_origin"), ("for_peer", "raddr"), ("for_zone", "zonename"))}
-    return t.points.groupBy(F.col("optype").alias("key")).agg(F.count("*").alias("n"), *(v.alias(n) for n, v in allowed.items()))
+    return registry(t).applicable_to(specs(t))
 
 
 LOCATED = """located AS (
   SELECT ip AS key, country, region FROM ips JOIN nets ON n BETWEEN start_ip AND end_ip
-  WHERE NOT (n // 16777216 IN (10, 127) OR n // 1048576 = 172 * 16 + 1 OR n // 65536 = 192 * 256 + 168))"""
+  WHERE NOT (n // 16777216 IN (10, 127) OR n // 65536 = 169 * 256 + 254 OR n // 1048576 = 172 * 16 + 1 OR n // 65536 = 192 * 256 + 168))"""
 
 
 @query("u03_apply", "WITH " + IPS + "," + NETS + "," + LOCATED + """

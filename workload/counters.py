@@ -332,6 +332,19 @@ def _register(definition):
 for _definition in COUNTER_METRICS:
     _register(_definition)
 
+SCOPED = {"and": [{"eq": ["zonename", "zone7"]}, {"ne": ["hostname", "host3"]}]}
+
+
+@query("m_cpu_waittime_counters_scoped", sql(f"""
+SELECT t - t % 86400 AS slot, sum(CAST({d('nsec_waitrq')} AS DOUBLE)) AS value FROM pairs
+WHERE zonename = 'zone7' AND hostname <> 'host3' GROUP BY 1"""))
+def waittime_scoped(t):
+    """Conditions on a record's zone and host are checked before its readings are paired."""
+    definition = next(m for m in COUNTER_METRICS if (m.module, m.stat) == ("cpu", "waittime"))
+    spec = Instrumentation("cpu", "waittime", SCOPED, granularity=DAY, retention=0)
+    return instrument(as_records(snapshots(t), definition.record), definition.metric(), spec)
+
+
 STORAGE_SQL = {
     "dataset_unused_quota": ("quota - used", "quota <> 0"),
     "dataset_used": ("used - usedbychildren", "true"),

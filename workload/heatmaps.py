@@ -112,10 +112,10 @@ def h10(t):
 
 @query("h11_normalize_rank", with_p(f"""
 SELECT {NORMAL} FROM (
-  SELECT *, 0.9::DOUBLE * dense_rank() OVER (ORDER BY level) / (SELECT count(DISTINCT round(value, 6)) FROM cells) AS saturation
-  FROM (SELECT *, round(value, 6) AS level FROM cells))""", DIST, f"cells AS ({cells_sql()})"))
+  SELECT *, 0.9::DOUBLE * dense_rank() OVER (ORDER BY level) / (SELECT count(DISTINCT level) FROM cells) AS saturation FROM cells)""",
+    DIST, f"cells AS (SELECT *, round(value * pow(10, 7 - floor(log10(value)))) / pow(10, 7 - floor(log10(value))) AS level FROM ({cells_sql()}))"))
 def h11(t):
-    cells = h.normalize_rank(h.grid(total(t), CONF), digits=6)
+    cells = h.normalize_rank(h.grid(total(t), CONF), digits=8)
     return tidy(cells).withColumn("saturation", F.round("saturation", 6))
 
 
@@ -176,22 +176,21 @@ def h15(t):
     return h.column_percentile(total(t), CONF, 0.95).withColumn("percentile", F.round("percentile", 6))
 
 
-@query("h16_limits", with_p("SELECT optype AS key, count(*) AS points, CAST(9 AS INTEGER) AS rejected FROM p GROUP BY 1"))
+@query("h16_limits", """
+SELECT o_orderkey AS image_id, CASE WHEN width NOT BETWEEN 10 AND 1000 THEN 'width' WHEN height NOT BETWEEN 10 AND 1000 THEN 'height'
+  WHEN nbuckets NOT BETWEEN 1 AND 100 THEN 'nbuckets' WHEN ymin NOT BETWEEN 0 AND 1e12::DOUBLE THEN 'ymin'
+  WHEN ymax NOT BETWEEN 0 AND 1e12::DOUBLE THEN 'ymax' WHEN ymin >= ymax THEN 'scale' END AS error
+FROM (
+  SELECT o_orderkey, o_custkey % 1100 AS width, o_orderkey % 1050 AS height, o_orderkey % 107 AS nbuckets,
+         CAST(o_custkey % 40 - 2 AS DOUBLE) AS ymin,
+         CASE WHEN o_custkey % 3 = 0 THEN NULL WHEN o_custkey % 17 = 0 THEN 1e13::DOUBLE ELSE CAST(o_orderkey % 90 AS DOUBLE) END AS ymax
+  FROM orders)""")
 def h16(t):
-    """Settings outside the limits are refused before any data is read."""
-    bad = [
-        {"height": 9}, {"width": 1001}, {"nbuckets": 0}, {"nbuckets": 101}, {"ymin": -1}, {"ymin": 5, "ymax": 5},
-        {"ymax": 1e13}, {"isolate": True, "exclude": True}, {"hues": [360]},
-    ]
-    rejected = 0
-    for settings in bad:
-        try:
-            h.Heatmap(**settings)
-        except ValueError:
-            rejected += 1
-    return t.points.groupBy(F.col("optype").alias("key")).agg(
-        F.count("*").alias("points"), F.lit(rejected).alias("rejected")
-    )
+    """Images asked for, one an order: which limit refuses them."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    ymax = F.when(cust % 3 == 0, None).when(cust % 17 == 0, 1e13).otherwise((key % 90).cast("double"))
+    error = h.settings_error(cust % 1100, key % 1050, key % 107, (cust % 40 - 2).cast("double"), ymax)
+    return t.orders.select(key.alias("image_id"), error.alias("error"))
 
 
 @query("h_image", with_p(f"""

@@ -45,23 +45,24 @@ _register(
 )
 
 
-@query("p10_pred_validation", with_p("SELECT count(*) AS points, CAST(5 AS BIGINT) AS rejected FROM p"))
+@query("p10_pred_validation", """
+SELECT o_orderkey AS pred_id, CASE
+    WHEN op NOT IN ('lt', 'le', 'gt', 'ge', 'eq', 'ne') THEN 'unknown operator'
+    WHEN field NOT IN ('latency', 'k', 'optype', 'source', 'zonename') THEN 'unknown field'
+    WHEN op IN ('lt', 'le', 'gt', 'ge') AND field NOT IN ('latency', 'k') THEN 'discrete field'
+    WHEN (field IN ('latency', 'k')) = is_text THEN 'constant does not fit' END AS error
+FROM (
+  SELECT o_orderkey, ['lt', 'le', 'gt', 'ge', 'eq', 'ne', 'near'][1 + o_orderkey % 7] AS op,
+         ['latency', 'k', 'optype', 'source', 'zonename', 'nosuch'][1 + o_custkey % 6] AS field, o_custkey % 5 < 2 AS is_text FROM orders)""")
 def p10(t):
-    """Malformed predicates and constants of the wrong kind never reach a plan."""
-    bad = [
-        {"lt": ["optype", "a"]},
-        {"eq": ["latency", "fast"]},
-        {"eq": ["nosuch", 1]},
-        {"and": [{"eq": ["k", 1]}]},
-        {"near": ["k", 1]},
-    ]
-    rejected = 0
-    for pred in bad:
-        try:
-            p.validate(pred, ARITIES)
-        except p.PredicateError:
-            rejected += 1
-    return t.points.agg(F.count("*").alias("points"), F.lit(rejected).cast("bigint").alias("rejected"))
+    """Comparisons asked for, one an order: which of them are refused, and why."""
+    ops = F.array(*map(F.lit, ("lt", "le", "gt", "ge", "eq", "ne", "near")))
+    fields = F.array(*map(F.lit, ("latency", "k", "optype", "source", "zonename", "nosuch")))
+    op = F.get(ops, (F.col("o_orderkey") % 7).cast("int"))
+    field = F.get(fields, (F.col("o_custkey") % 6).cast("int"))
+    kinds = {"latency": "numeric", "k": "numeric", "optype": "discrete", "source": "discrete", "zonename": "discrete"}
+    error = p.comparison_error(field, op, F.col("o_custkey") % 5 < 2, kinds)
+    return t.orders.select(F.col("o_orderkey").alias("pred_id"), error.alias("error"))
 
 
 NESTED = {"or": [{"and": [{"gt": ["latency", 60]}, {"eq": ["source", "host2"]}]}, {"lt": ["latency", 2]}]}

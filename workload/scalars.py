@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import buckets as b
 from tickloom.functions import scalars as s
-from tickloom.plans.spec import Instrumentation, ordered_decomposition, value_arity
+from tickloom.plans.spec import Instrumentation, ordered_decomposition, value_arities
 
 from .base import _num, query, sql_event_log_linear, sql_log_linear, with_p
 
@@ -183,16 +183,23 @@ def x16(t):
     )
 
 
-@query("x17_spec_arity", with_p("""
-SELECT optype AS key, count(*) AS n, 'numeric-decomposition' AS value_arity, CAST(3 AS INTEGER) AS dimension FROM p GROUP BY 1"""))
+@query("x17_spec_arity", """
+SELECT o_orderkey AS spec_id, CASE WHEN len(fields) = 0 THEN 'scalar'
+    WHEN list_has_any(fields, ['latency', 'k']) THEN 'numeric-decomposition' ELSE 'discrete-decomposition' END AS value_arity,
+  CAST(len(fields) + 1 AS INTEGER) AS dimension
+FROM (
+  SELECT o_orderkey, list_filter([CASE WHEN o_orderkey % 3 > 0 THEN ['source', 'zonename', 'optype'][1 + o_custkey % 3] END,
+    CASE WHEN o_orderkey % 5 > 1 THEN ['latency', 'k'][1 + o_custkey % 2] END], lambda f: f IS NOT NULL) AS fields FROM orders)""")
 def x17(t):
-    """The arity of a spec next to the rows it describes."""
-    from .aggregation import EVENTS, FLAGSHIP
+    """Kind and dimension of the values of specs, one an order."""
+    from .aggregation import EVENTS
 
-    kind, dimension = value_arity(FLAGSHIP, EVENTS.arities)
-    return t.points.groupBy(F.col("optype").alias("key")).agg(
-        F.count("*").alias("n"), F.lit(kind).alias("value_arity"), F.lit(dimension).alias("dimension")
-    )
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda names: F.get(F.array(*map(F.lit, names)), (cust % len(names)).cast("int"))
+    discrete = F.when(key % 3 > 0, pick(["source", "zonename", "optype"]))
+    numeric = F.when(key % 5 > 1, pick(["latency", "k"]))
+    kind, dimension = value_arities(F.array_compact(F.array(discrete, numeric)), EVENTS.arities)
+    return t.orders.select(key.alias("spec_id"), kind.alias("value_arity"), dimension.alias("dimension"))
 
 
 @query("x18_decomposition_order", with_p(f"""

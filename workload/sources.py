@@ -67,7 +67,8 @@ def s04(t):
 
 @query("s05_storage_list", """
 SELECT 'zones/' || c_name AS name, CASE WHEN c_acctbal > 0 THEN CAST(round(c_acctbal * 100) AS BIGINT) ELSE 0 END AS quota,
-       CASE WHEN c_custkey % 9 <> 0 THEN c_custkey END AS used, CASE WHEN c_custkey % 5 = 0 THEN '0' ELSE c_mktsegment END AS mountpoint
+       CASE WHEN c_custkey % 9 <> 0 THEN c_custkey END AS used, CASE WHEN c_custkey % 5 = 0 THEN '0' ELSE c_mktsegment END AS mountpoint,
+       CASE WHEN c_custkey % 9 = 0 THEN 'unlimited' END AS used_text
 FROM customer""")
 def s05(t):
     """A listing written as tab-separated text and read back."""
@@ -79,7 +80,8 @@ def s05(t):
         F.when(key % 9 == 0, "unlimited").otherwise(key.cast("string")),
         F.when(key % 5 == 0, "-").otherwise(F.col("c_mktsegment")),
     ).write.csv(path, sep="\t")
-    return src.storage_list(t.spark, path, ["name", "quota", "used", "mountpoint"], text=["mountpoint"])
+    listed = src.storage_list(t.spark, path, ["name", "quota", "used", "mountpoint"], text=["mountpoint"])
+    return src.require_unique(listed).withColumn("used_text", F.col("other")["used"]).drop("other")
 
 
 @query("s05_duplicates", "SELECT p_name AS name, count(*) AS count FROM part GROUP BY 1 HAVING count(*) > 1")

@@ -24,12 +24,19 @@ def event_stream(t):
     return spark.readStream.schema(schema).parquet(f"{t.dir}/events.parque[t]")
 
 
-def landed(t, df, name, *steps):
-    """``df`` written in steps, one after the other, and streamed in that order."""
+FILES = 4
+
+
+def landed(t, df, name, keys, *steps):
+    """``df`` written in steps, one after the other, and streamed in that order.
+
+    A step is dealt over files by its keys, so that a key's rows of a step lie
+    in one file and its rows of different steps come in order.
+    """
     path = new_dir(t.spark, name)
     for step in steps:
-        df.filter(step).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.filter(step).repartition(FILES, *keys).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def report_stream(t, name, *steps):
@@ -38,7 +45,7 @@ def report_stream(t, name, *steps):
         F.col("event_id").alias("seq"), "k", (F.col("t") - F.col("t") % G).alias("slot"),
         F.round(F.col("latency") * 100).alias("value"),
     )
-    return st.with_event_time(landed(t, reports, name, *steps))
+    return st.with_event_time(landed(t, reports, name, ["inst_id", "source"], *steps))
 
 
 
@@ -82,7 +89,11 @@ def st02(t):
     return run_revised(t, st.tumbling(report_stream(t, "st02-in", *late()), G, MONTH), "st02", ["inst_id", "slot"])
 
 
-COMPLETE = """counts AS (SELECT optype AS inst_id, slot, count(DISTINCT source) AS reporting FROM p GROUP BY 1, 2)"""
+COMPLETE = """told AS (SELECT optype AS inst_id, slot, count(DISTINCT source) AS reporting FROM p GROUP BY 1, 2),
+counts AS (
+  SELECT g.inst_id, g.slot, coalesce(n.reporting, 0) AS reporting FROM (
+    SELECT inst_id, unnest(range(min(slot), max(slot) + 1, 3600)) AS slot FROM told GROUP BY inst_id) g
+  LEFT JOIN told n ON n.inst_id = g.inst_id AND n.slot = g.slot)"""
 
 
 @query("st03_complete", with_p("""
@@ -128,7 +139,7 @@ def st05(t):
     week = 7 * 86400 * 1_000_000_000
     bounds = [0, *(1704067200 * 1_000_000_000 + i * week for i in (1, 2, 3)), 2**63 - 1]
     steps = [(F.col("ts_ns") >= a) & (F.col("ts_ns") < b) for a, b in zip(bounds, bounds[1:])]
-    stream = landed(t, rows, "st05-in", *steps)
+    stream = landed(t, rows, "st05-in", ["source", "request"], *steps)
     return run_append(t, pair_stream(stream, ["source", "request"], "source string, request long"), "st05")
 
 
@@ -145,7 +156,7 @@ def st06(t):
 
     reads = daily(t).select("user_id", "read_no", (F.col("us") * 1000).alias("snaptime"), "cents", "events")
     first = 19723
-    stream = landed(t, reads, "st06-in", F.col("read_no") < first + 10, F.col("read_no").between(first + 10, first + 19), F.col("read_no") > first + 19)
+    stream = landed(t, reads, "st06-in", ["user_id"], F.col("read_no") < first + 10, F.col("read_no").between(first + 10, first + 19), F.col("read_no") > first + 19)
     return run_append(t, delta_stream(stream, ["user_id"], "user_id long", ["cents", "events"]), "st06")
 
 

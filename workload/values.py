@@ -21,7 +21,7 @@ REQUESTS = f"""req AS (
          CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 3700 END AS duration,
          CASE WHEN o_orderkey % 4 IN (1, 2) THEN 1704067200 + (o_custkey * 7919) % 2592000 + o_custkey % 3700
               + CASE WHEN o_orderkey % 11 = 0 THEN -4000 ELSE 0 END END AS end_time,
-         1 + o_orderkey % 3 AS ndatapoints
+         o_orderkey % 4 AS ndatapoints
   FROM orders)"""
 
 
@@ -35,23 +35,32 @@ def requests(t):
         F.when((key % 4).isin(0, 1), base).alias("start_time"),
         F.when(key % 3 != 0, cust % 3700).alias("duration"),
         F.when((key % 4).isin(1, 2), base + cust % 3700 + F.when(key % 11 == 0, -4000).otherwise(0)).alias("end_time"),
-        (1 + key % 3).alias("ndatapoints"),
+        (key % 4).alias("ndatapoints"),
     )
 
 
-INFERRED = f"""inferred AS (
+LIMITED = f"""limited AS (
+  SELECT request_id, CASE WHEN duration < 1 OR duration > 3600 THEN 'duration out of range'
+    WHEN ndatapoints < 1 THEN 'ndatapoints must be positive'
+    WHEN start_time < 0 OR end_time < 0 THEN 'times must not be negative'
+    WHEN (s - s % 3600) + (d + 3599) // 3600 * 3600 * ndatapoints > {NOW} + 5 THEN 'request ends in the future' END AS error
+  FROM (SELECT *, coalesce(start_time, end_time - d) AS s FROM (
+    SELECT *, coalesce(duration, end_time - start_time, 1) AS d FROM req)))"""
+
+INFERRED = LIMITED + f""", inferred AS (
   SELECT request_id, inst_id, ndatapoints, CASE WHEN error IS NULL THEN s END AS start_time, CASE WHEN error IS NULL THEN d END AS duration, error
   FROM (
-    SELECT *, CASE
+    SELECT * EXCLUDE (early), CASE WHEN early IS NOT NULL THEN early
         WHEN start_time IS NULL AND end_time IS NOT NULL AND d > end_time THEN '"duration" cannot exceed "end_time"'
         WHEN start_time IS NOT NULL AND end_time IS NOT NULL AND duration IS NULL AND end_time <= start_time THEN '"end_time" must be later than "start_time"'
         WHEN start_time IS NOT NULL AND end_time IS NOT NULL AND duration IS NOT NULL AND start_time + duration <> end_time THEN '"start_time" + "duration" must equal "end_time"'
         WHEN d < 1 THEN '"duration" must be positive' END AS error
     FROM (
-      SELECT *, CASE WHEN start_time IS NOT NULL THEN start_time WHEN end_time IS NOT NULL THEN end_time - d
+      SELECT req_d.*, limited.error AS early, CASE WHEN start_time IS NOT NULL THEN start_time WHEN end_time IS NOT NULL THEN end_time - d
                      ELSE {NOW} - d - 3600 END AS s
       FROM (SELECT *, CASE WHEN duration IS NOT NULL THEN duration
-                           WHEN start_time IS NOT NULL AND end_time IS NOT NULL THEN end_time - start_time ELSE 60 END AS d FROM req))))"""
+                           WHEN start_time IS NOT NULL AND end_time IS NOT NULL THEN end_time - start_time ELSE 60 END AS d FROM req) req_d
+      JOIN limited USING (request_id))))"""
 
 POINTS = """pts AS (
   SELECT request_id, inst_id, point, start_time - start_time % 3600 + point * w AS start, w AS width,
@@ -62,7 +71,7 @@ POINTS = """pts AS (
 
 
 def valid(t):
-    return v.infer_interval(requests(t), NOW, 60, G)
+    return v.checked(requests(t), NOW, 60, G)
 
 
 @query("v01_infer_interval", "WITH " + REQUESTS + "," + INFERRED + "SELECT * FROM inferred")
@@ -135,26 +144,21 @@ def v04(t):
 
 
 @query("v05_batch", with_p(
-    """SELECT env.request_id, env.point, start_time, end_time, minreporting, value FROM env LEFT JOIN (
+    """SELECT i.request_id, env.point, env.start_time, env.end_time, minreporting, value, error
+FROM inferred i LEFT JOIN env ON env.request_id = i.request_id LEFT JOIN (
   SELECT request_id, point, round(sum(latency), 2) AS value
   FROM pts JOIN p ON p.optype = pts.inst_id AND p.t >= pts.start AND p.t < pts.start + pts.width GROUP BY 1, 2) x
 ON x.request_id = env.request_id AND x.point = env.point""", COUNTS, REQUESTS, INFERRED, POINTS, ENVELOPE))
 def v05(t):
-    """Every request of the batch with its envelope and its scalar value."""
-    points = v.data_points(valid(t), G)
-    out = v.answer(points, s.interval_scope(t.reports), s.reporting(t.reports), G)
-    return as_bigint(out, "point").select(
-        "request_id", "point", "start_time", "end_time", "minreporting", F.round("value", 2).alias("value")
+    """Every request of the batch with its envelope and its scalar value, or why it was refused."""
+    asked = valid(t)
+    out = v.answer(v.data_points(asked, G), s.interval_scope(t.reports), s.reporting(t.reports), G)
+    return asked.select("request_id", "error").join(as_bigint(out, "point"), "request_id", "left").select(
+        "request_id", "point", "start_time", "end_time", "minreporting", F.round("value", 2).alias("value"), "error"
     )
 
 
-@query("v06_limits", "WITH " + REQUESTS + f"""
-SELECT request_id, CASE WHEN duration < 1 OR duration > 3600 THEN 'duration out of range'
-  WHEN ndatapoints < 1 THEN 'ndatapoints must be positive'
-  WHEN start_time < 0 OR end_time < 0 THEN 'times must not be negative'
-  WHEN (s - s % 3600) + (d + 3599) // 3600 * 3600 * ndatapoints > {NOW} + 5 THEN 'request ends in the future' END AS error
-FROM (SELECT *, coalesce(start_time, end_time - d) AS s FROM (
-  SELECT *, coalesce(duration, end_time - start_time, 1) AS d FROM req))""")
+@query("v06_limits", "WITH " + REQUESTS + "," + LIMITED + "SELECT request_id, error FROM limited")
 def v06(t):
     return v.limit_errors(requests(t), NOW, g=G).select("request_id", "error")
 
@@ -166,10 +170,9 @@ WINDOW = (1704153600, 1704153600 + 14 * 86400)
 SELECT k.key, g.slot, CASE WHEN g.slot IN (SELECT slot FROM rare) THEN coalesce(v.n, 0)::DOUBLE END AS value
 FROM (SELECT DISTINCT key FROM rare) k CROSS JOIN (SELECT unnest(range({WINDOW[0]}, {WINDOW[1]}, 3600)) AS slot) g
 LEFT JOIN (SELECT key, slot, count(*) AS n FROM rare GROUP BY 1, 2) v ON v.key = k.key AND v.slot = g.slot""",
-    "rare AS (SELECT slot, zonename AS key FROM p WHERE latency > 100)"))
+    "rare AS (SELECT slot, zonename AS key FROM p)"))
 def v07(t):
-    rare = t.points.filter(F.col("latency") > 100)
-    slots = a.decompose(rare, key=F.col("zonename"), by=[s.down(F.col("t"), G).alias("slot")])
+    slots = a.decompose(t.points, key=F.col("zonename"), by=[s.down(F.col("t"), G).alias("slot")])
     return l.with_gaps(slots, WINDOW, G)
 
 
