@@ -66,8 +66,10 @@ def noisy_or(logits: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 def fit(parts: list[dict[str, np.ndarray]], rounds: int = 80, shrink: float = 3e-4) -> dict[str, np.ndarray]:
     """Weights of the hashed words and stems, by gradient steps on all sampled documents at once.
 
-    Features of fewer than three sampled documents get no weight: what one
-    document has says nothing about others.
+    Weights are never negative: a sentence offends by what is in it, and no
+    amount of harmless words makes up for that. Features of fewer than three
+    sampled documents get no weight: what one document has says nothing about
+    others.
     """
     n = 1 << BITS
     weights = {"w": np.zeros(n), "b": np.full(1, -6.0)}
@@ -92,7 +94,7 @@ def fit(parts: list[dict[str, np.ndarray]], rounds: int = 80, shrink: float = 3e
         by_sentence = by_document[document] * sigmoid(z)
         g = np.bincount(place, by_sentence[sentence], n) + shrink * np.sign(weights["w"])
         steps.apply({"w": g, "b": np.array([by_sentence.sum()])})
-        weights["w"][np.abs(weights["w"]) < 0.02] = 0
+        weights["w"][weights["w"] < 0.02] = 0
     return {"w": weights["w"].astype(np.float32), "b": weights["b"]}
 
 
