@@ -84,8 +84,9 @@ def test_expected_over_chunks(spark):
     held = dict(rows)
     for chunk in (1, 16, 20, 4096):
         for g in (1,):
-            got = {r["slot"]: r["expected"] for r in s.expected(counts, g, chunk).collect()}
-            want = {t: max([held[u] for u in range(t - 15, t - 5) if u in held], default=0) for t in held}
+            got = {r["slot"]: (r["reporting"], r["expected"]) for r in s.expected(counts, g, chunk).collect()}
+            slots = range(min(held), max(held) + 1)  # silent ones included
+            want = {t: (held.get(t, 0), max([held.get(u, 0) for u in range(t - 15, t - 5)])) for t in slots}
             assert got == want
 
 
