@@ -38,11 +38,14 @@ def test_chunks_give_the_ids_of_the_whole_text(spark, chunk, overlap):
 
 def test_cuts_fall_where_the_neighbours_agree():
     text = "ab cd ef gh ij kl mn op qr st uv wx yz " * 20
-    chunks = [(s, text[s : s + 80], bpe.boundaries(text[s : s + 80], PATTERN)) for s in range(0, len(text), 50)]
-    at = bpe.cuts(chunks, PATTERN)
-    assert len(at) > 10
-    whole = set(bpe.boundaries(text, PATTERN).tolist())
-    assert set(at) <= whole
+    starts = list(range(0, len(text), 50))
+    chunks = [text[s : s + 80] for s in starts]
+    heads, tails = zip(*[bpe.borders(c, s, 50, PATTERN) for s, c in zip(starts, chunks, strict=True)], strict=True)
+    parts = bpe.stitch(starts, list(map(len, chunks)), heads, tails, 50)
+    assert "".join(text[low:high] for _, low, high, _ in parts) == text
+    assert len({p for *_, p in parts}) > 10
+    firsts = {piece: low for _, low, _, piece in reversed(parts)}
+    assert set(firsts.values()) <= set(bpe.boundaries(text, PATTERN).tolist())
 
 
 def test_empty_table(spark):

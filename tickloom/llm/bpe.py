@@ -4,7 +4,7 @@ A long text is cut into chunks that overlap. Each chunk is pre-tokenised by
 itself, wherever its cut fell. Where two neighbours agree on the start of a
 pre-token in their overlap, they have fallen into step: from there on both see
 what a pass over the whole text sees. The text is cut anew at these points and
-the pieces are encoded side by side.
+the pieces, which lie within a chunk each, are encoded side by side.
 """
 
 from __future__ import annotations
@@ -50,43 +50,40 @@ def boundaries(text: str, pattern: str) -> np.ndarray:
     return np.fromiter((m.start() for m in regex.finditer(pattern, text)), np.int64)
 
 
-def in_step(left: np.ndarray, right: np.ndarray, chunk: str, start: int, end: int) -> int | None:
-    """The first place beyond ``start`` and before ``end`` where both neighbours start a pre-token.
+def borders(text: str, start: int, chunk: int, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of pre-tokens in the overlap with the chunk before and in that with the one behind.
 
-    ``chunk`` is the right one's text. The character before the place must not
-    be white space: then neither piece needs to look across the cut (a run of
-    white space gives its last blank to the word that follows).
+    They are numbered by characters of the whole text. Not counted are the last
+    ones, which the chunk's end may have broken off, and of the first ones those
+    after white space: a piece that begins there would need to look across the
+    cut, since a run of white space gives its last blank to the word that follows.
     """
-    both = np.intersect1d(left[(left > start) & (left < end)], right[(right > start) & (right < end)])
-    return next((int(p) for p in both if not chunk[p - start - 1].isspace()), None)
+    found = boundaries(text, pattern)
+    tails = found[(found > chunk) & (found < len(text) - 2)] + start
+    heads = [p for p in found[(found > 0) & (found < len(text) - chunk)].tolist() if not text[p - 1].isspace()]
+    return np.array(heads, np.int64) + start, tails
 
 
-def cuts(chunks: list[tuple[int, str, np.ndarray]], pattern: str) -> list[int]:
-    """Where to cut a text that comes as (start, chunk, starts of pre-tokens within the chunk).
+def stitch(starts: list[int], sizes: list[int], heads: list[np.ndarray], tails: list[np.ndarray], chunk: int) -> list[tuple]:
+    """(start, low, high, piece) of each chunk: which part of the text it gives to which piece.
 
-    At a border where the neighbours don't fall into step within the overlap the
-    text is not cut. What has gathered since the last cut is then pre-tokenised
-    as a whole, but only each time it has doubled, which keeps the work linear.
+    A text is cut at the first place in an overlap where both neighbours start a
+    pre-token. Beyond a border where they don't fall into step, nothing is known
+    to be right, so what follows is one piece.
     """
-    found = [0]
-    base, known = 0, chunks[0][2]
-    parts, length, retry = [chunks[0][1]], len(chunks[0][1]), 0
-    for start, chunk, own in chunks[1:]:
-        end = base + length
-        # the last pre-tokens of the left side may be broken off by its end
-        at = None if known is None else in_step(known + base, own + start, chunk, start, end - 2)
-        if at is not None:
-            found.append(at)
-            base, known = at, own[own >= at - start] - (at - start)
-            parts, length, retry = [chunk[at - start :]], len(chunk) - (at - start), 0
-            continue
-        more = chunk[max(0, end - start) :]
-        parts.append(more)
-        length, known = length + len(more), None
-        if length >= retry:
-            parts = ["".join(parts)]
-            known, retry = boundaries(parts[0], pattern), 2 * length
-    return found
+    cut: list[int | None] = [0]
+    for tail, head in zip(tails[:-1], heads[1:], strict=True):
+        both = np.intersect1d(tail, head) if cut[-1] is not None else head[:0]
+        cut.append(int(both[0]) if len(both) else None)
+    cut.append(None)
+    out, piece = [], 0
+    for i, (start, size) in enumerate(zip(starts, sizes, strict=True)):
+        piece = i if cut[i] is not None else piece
+        low = start if cut[i] is None else cut[i]
+        last = i + 1 == len(starts)
+        high = cut[i + 1] if cut[i + 1] is not None else start + (size if last else chunk)
+        out.append((start, low, high, piece))
+    return out
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
@@ -104,8 +101,8 @@ def encode_texts(
     """Adds ``ids`` (little-endian unsigned 32-bit numbers) of the whole text to the rows of ``docs``.
 
     Texts of at most ``chunk`` characters are encoded where they are. Longer
-    ones are cut into chunks, which are dealt out, pre-tokenised, stitched per
-    text and dealt out again as pieces. A null or empty text has no ids; rows
+    ones are cut into chunks, which are dealt out and pre-tokenised; what is
+    stitched per text are the starts of pre-tokens in the overlaps alone. A null or empty text has no ids; rows
     that repeat stay; all columns of ``docs`` are kept (but for one called
     ``ids``, which is replaced). An empty table gives an empty one.
     """
@@ -127,33 +124,39 @@ def encode_texts(
     chunks = numbered.select("row", text, F.explode(starts).alias("start")).select(
         "row", "start", F.expr(f"substring({text}, start + 1, {chunk + overlap})").alias("chunk")
     )
+    # dealt out once: both the pre-tokens and the pieces are made of these partitions
+    dealt = chunks.repartition(tasks, "row", "start")
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [boundaries(t, pattern).astype("<i4").tobytes() for t in b.column("chunk").to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, "starts"])
+            starts, texts = b.column("start").to_pylist(), b.column("chunk").to_pylist()
+            found = [borders(t, s, chunk, pattern) for s, t in zip(starts, texts, strict=True)]
+            sides = [pa.array([f[k].astype("<i8").tobytes() for f in found], pa.binary()) for k in (0, 1)]
+            sizes = pa.array(map(len, texts), pa.int64())
+            yield pa.record_batch([*b.columns[:2], sizes, *sides], names=["row", "start", "size", "heads", "tails"])
 
-    def stitch(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def stitched(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("start")
-        parts = [
-            (int(s), c, np.frombuffer(b, "<i4").astype(np.int64))
-            for s, c, b in zip(group["start"], group["chunk"], group["starts"], strict=True)
-        ]
-        at = cuts(parts, pattern)
-        whole = "".join(c[:chunk] for _, c, _ in parts)
-        pieces = [whole[a:b] for a, b in zip(at, [*at[1:], len(whole)], strict=True)]
-        return pd.DataFrame({"row": key[0], "number": range(len(pieces)), "piece": pieces})
+        heads, tails = ([np.frombuffer(x, "<i8") for x in group[c]] for c in ("heads", "tails"))
+        parts = stitch(group["start"].tolist(), group["size"].tolist(), heads, tails, chunk)
+        out = pd.DataFrame(parts, columns=["start", "low", "high", "number"])
+        return out.assign(row=key[0], parts=out.groupby("number")["start"].transform("size"))
 
     def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"row": [key[0]], "ids": [b"".join(group.sort_values("number")["ids"])]})
 
-    pieces = (
-        chunks.repartition(tasks, "row", "start")
-        .mapInArrow(pretokenise, "row long, start int, chunk string, starts binary")
+    plan = (
+        dealt.mapInArrow(pretokenise, "row long, start int, size long, heads binary, tails binary")
         .groupBy("row")
-        .applyInPandas(stitch, "row long, number long, piece string")
-        .repartition(tasks, "row", "number")
+        .applyInPandas(stitched, "row long, start int, low long, high long, number long, parts long")
     )
+    part = F.expr("substring(chunk, cast(low - start + 1 as int), cast(high - low as int))").alias("piece")
+    parts = dealt.join(plan, ["row", "start"]).select("row", "number", "parts", "start", part)
+    in_order = F.sort_array(F.collect_list(F.struct("start", "piece")))
+    joined = parts.filter("parts > 1").groupBy("row", "number").agg(
+        F.array_join(F.transform(in_order, lambda p: p["piece"]), "").alias("piece")
+    )
+    pieces = parts.filter("parts = 1").select("row", "number", "piece").unionByName(joined)
     ids = (
         pieces.mapInArrow(lambda b: _encoded(b, path, pattern), "row long, number long, ids binary")
         .groupBy("row")
