@@ -6,8 +6,9 @@ DivideSkip does: T - 1 of them, the longest, may be left unmerged, so that a
 partner must occur on one of the n - T + 1 short lists. Only short lists are
 built (all lists of all documents would be many times the size of the input),
 their merge is a shuffle on the shingle, and what comes out is a set of
-candidates whose sets are searched in blocks: the block's short lists are merged
-and counted, its long ones are probed by binary search.
+candidates; those that meet on too few short lists go, and the others' sets are
+searched in blocks: the block's short lists are merged and counted, its long ones
+are probed by binary search.
 
 Links are needed up to their transitive closure. So the members of a list are
 first compared with one of them only, the hub. Lists whose members then are in
@@ -27,14 +28,13 @@ from pyspark.sql import functions as F
 from tickloom.sources.workdir import new_dir
 
 from .components import components as connected
-from .words import BLANK_SEPARATED, append_columns, mix, shingles, slices, word_hashes
+from .words import BLANK_SEPARATED, append_columns, mix, shingles, slices, small_batches, word_hashes
 
 SHINGLE = 5
 #: Jaccard 3/4, i.e. overlap o of sets of a and b with 4 o >= 3 (a + b - o).
 NEED_OVERLAP, NEED_SIZES = 7, 3
-#: A list is long for all documents if it holds more than one in so many of them.
-LONG_SHARE = 1000
-LEAST_LONG = 32
+#: Lists from this length on are long for all documents, the longest so many of them at most.
+LEAST_LONG, MOST_LONG = 24, 1 << 20
 #: Members of a long list are dealt into blocks of about this many.
 BLOCK = 1024
 
@@ -64,16 +64,17 @@ def identity(own: np.ndarray) -> tuple[np.int64, np.int64]:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, a, b) of each document and (token, count) of the shingles that are frequent in some task.
+    """(doc_id, n, a, b) of each document and (token, count) of the shingles that repeat within a task.
 
-    Counted are stretches of about 4 million shingles of a task. What is in more
-    than one in LONG_SHARE of all documents is so in some stretch too.
+    Counted are stretches of about 4 million shingles of a task, and what occurs
+    once in a stretch is left out, which most shingles do. So the sums fall a
+    little short of the lists' lengths; any order serves that all documents share.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def frequent(seen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         tokens, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64),) * 2
-        often = n >= max(4, len(seen) // LONG_SHARE)
+        often = n > 1
         return tokens[often].view(np.int64), n[often].astype(np.int64)
 
     def said(ids: pa.Array, rows: list, tokens: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -92,7 +93,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray] = []
         held, kind_ = 0, None
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 22)):
             own = list(sets_of(batch.column("text"), size))
             seen += own
             held += sum(map(len, own))
@@ -108,7 +109,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def short_lists(docs: DataFrame, size: int, tokens: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(token, salt, blocks, doc_id, n, place): each document's n - T + 1 rarest shingles.
+    """(list, token, doc_id, place): each document's n - T + 1 rarest shingles.
+
+    ``list`` stands for the shingle or, of a long list, for a block of it; only
+    then ``token`` is the shingle. ``place`` holds the set's size in its upper
+    and the shingle's place in the order in its lower 32 bits.
 
     The order that decides is the same for all documents: shingles that are not
     among the long lists by their hash, then the others by length of their list.
@@ -121,8 +126,8 @@ def short_lists(docs: DataFrame, size: int, tokens: np.ndarray, counts: np.ndarr
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long, length = shared.value
         met: set[tuple] = set()
-        for batch in (part for whole in batches for part in slices(whole, "text")):
-            rows, chosen, salts, blocks, sizes, places = [], [], [], [], [], []
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 22)):
+            rows, chosen, lists_, places = [], [], [], []
             for row, own in enumerate(sets_of(batch.column("text"), size)):
                 who = (len(own), *identity(own))
                 if not len(own) or who in met or not batch.column("doc_id")[row].is_valid:
@@ -139,20 +144,23 @@ def short_lists(docs: DataFrame, size: int, tokens: np.ndarray, counts: np.ndarr
                         lengths = np.concatenate([np.zeros((~is_long).sum(), np.int64), length[at[is_long]][order]])
                         own = np.concatenate([own[~is_long], rest[order]])
                         split = -(-lengths[:p] // BLOCK) * (lengths[:p] > BLOCK)
+                block = (int(who[1] & 0x7FFFFFFF) % np.maximum(split, 1)).astype(np.uint64)
                 rows.append(np.full(p, row))
-                chosen.append(own[:p])
-                blocks.append(split)
-                salts.append(np.where(split > 0, int(who[1] & 0x7FFFFFFF) % np.maximum(split, 1), 0))
-                sizes.append(np.full(p, who[0]))
-                places.append(np.arange(p))
+                chosen.append(pa.array(own[:p].view(np.int64), mask=split == 0))
+                lists_.append(np.where(split > 0, mix(own[:p] + block * np.uint64(0x9E3779B97F4A7C15)), own[:p]))
+                places.append((who[0] << 32) + np.arange(p))
             if rows:
-                numbers = [np.concatenate(x) for x in (salts, blocks, sizes, places)]
-                ids = batch.column("doc_id").take(pa.array(np.concatenate(rows)))
-                token = np.concatenate(chosen).view(np.int64)
-                columns = [pa.array(token), ids, *[pa.array(x.astype(np.int32)) for x in numbers]]
-                yield pa.record_batch(columns, names=["token", "doc_id", "salt", "blocks", "n", "place"])
+                yield pa.record_batch(
+                    [
+                        pa.array(np.concatenate(lists_).view(np.int64)),
+                        pa.concat_arrays(chosen),
+                        batch.column("doc_id").take(pa.array(np.concatenate(rows))),
+                        pa.array(np.concatenate(places)),
+                    ],
+                    names=["list", "token", "doc_id", "place"],
+                )
 
-    return docs.mapInArrow(lists, f"token long, doc_id {kind}, salt int, blocks int, n int, place int")
+    return docs.mapInArrow(lists, f"list long, token long, doc_id {kind}, place long")
 
 
 def divide_skip(query: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
@@ -188,14 +196,42 @@ def divide_skip(query: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough. Pairs of one ``a`` come in a row and are searched as a block."""
-    kind = pairs.schema["a"].dataType.simpleString()
+def merged(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The pairs (a, b, a_n, b_n) that meet on enough short lists.
+
+    The short lists of both are those of the first shingles in the common order.
+    All shingles that they share up to the place where the first of the two has
+    its last short list are counted, and beyond it that one has T - 1 shingles
+    left. So a pair that meets on fewer than its needed overlap less T - 1, the
+    number of lists that need not be merged, isn't similar enough.
+    """
+    left = lists.select(F.col("doc_id").alias("a"), "token")
+    right = lists.select(F.col("doc_id").alias("b"), "token")
+    met = pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("met"))
+    need = F.ceil((F.col("a_n") + F.col("b_n")) * NEED_SIZES / NEED_OVERLAP)
+    unmerged = F.greatest(F.ceil(F.col("a_n") * 3 / 4), F.ceil(F.col("b_n") * 3 / 4)) - 1
+    return met.filter(F.col("met") >= need - unmerged).select("a", "b")
+
+
+def links(pairs: DataFrame, lists: DataFrame, docs: DataFrame, size: int, folder: str) -> DataFrame:
+    """The pairs (a, b) that are similar enough, of candidates (a, b, a_n, b_n).
+
+    Pairs of one ``a`` come in a row and are searched as a block. Sets are made
+    anew from the texts of the documents that are left after the merge: all
+    documents' sets would be larger than their texts.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    candidates = _written(merged(pairs, lists), f"{folder}/candidates")
+    ids = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
+    ids = _written(ids, f"{folder}/ids")
+    packed = lambda t: [pa.array([s.tobytes() for s in sets_of(t, size)], pa.binary())]
+    sets = append_columns(docs.join(ids, "doc_id", "left_semi"), "text", ["doc_id"], packed, "own binary")
+    sets = _written(sets, f"{folder}/sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("own").alias("right"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "right")):
+        for batch in (part for whole in batches for part in slices(whole, "right", 1 << 22)):
             lefts = batch.column("left").to_pylist()
             rights = [np.frombuffer(x, np.uint64) for x in batch.column("right").to_pylist()]
             similar, low = np.zeros(len(lefts), bool), 0
@@ -210,8 +246,8 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 names=["a", "b"],
             )
 
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return both.mapInArrow(search, f"a {kind}, b {kind}")
+    both = candidates.join(right, "b").join(left, "a").select("a", "b", "left", "right")
+    return _written(both.mapInArrow(search, f"a {kind}, b {kind}"), f"{folder}/links")
 
 
 def _lengths_fit(n: str | Column, m: str | Column) -> Column:
@@ -221,7 +257,9 @@ def _lengths_fit(n: str | Column, m: str | Column) -> Column:
 def _hub_pairs(members: DataFrame) -> DataFrame:
     """Pairs of members and the hub of their list, in different components, whose lengths fit."""
     fits = (F.col("doc_id") != F.col("hub.doc_id")) & _lengths_fit("n", "hub.n")
-    return members.filter(fits).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    return members.filter(fits).select(
+        F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("hub.n").alias("a_n"), F.col("n").alias("b_n")
+    ).distinct()
 
 
 def components(
@@ -241,6 +279,7 @@ def components(
     columns are left out, whatever their names. An empty table gives an empty one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = new_dir(spark, "jaccard")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = _written(signatures(docs, size), f"{folder}/signed")
@@ -250,47 +289,52 @@ def components(
     copies = own.join(classes, ["n", "a", "b"]).filter("doc_id <> rep").select("doc_id", "rep").distinct()
     copies = _written(copies, f"{folder}/copies")
 
-    # at most LONG_SHARE times the mean set's size of them
-    bound = max(LEAST_LONG, own.count() // LONG_SHARE)
-    counted = signed.filter("token is not null").groupBy("token").agg(F.sum("count").alias("n")).filter(F.col("n") >= bound)
-    long = counted.toArrow()
+    counted = signed.filter("token is not null").groupBy("token").agg(F.sum("count").alias("n"))
+    long = counted.filter(F.col("n") >= LEAST_LONG).orderBy(F.desc("n"), "token").limit(MOST_LONG).toArrow()
     tokens = long.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     short = short_lists(docs, size, tokens[order], long.column("n").to_numpy()[order])
-    of_list = Window.partitionBy("token", "salt")
+    of_list = Window.partitionBy("list")
     short = (
-        short.withColumn("hub", F.min(F.struct("doc_id", "n")).over(of_list))
+        short.withColumn("hub", F.min(F.struct("doc_id", "place")).over(of_list))
         .withColumn("last", F.max("doc_id").over(of_list))
-        .filter((F.col("last") != F.col("hub.doc_id")) | (F.col("blocks") > 0))
-        .drop("last")
+        .filter((F.col("last") != F.col("hub.doc_id")) | F.col("token").isNotNull())
     )
-    lists = _written(short, f"{folder}/lists")
-    texts = docs.join(lists.select("doc_id").distinct(), "doc_id", "left_semi")
-    packed = lambda t: [pa.array([s.tobytes() for s in sets_of(t, size)], pa.binary())]
-    sets = _written(append_columns(texts, "text", ["doc_id"], packed, "own binary"), f"{folder}/sets")
+    n = lambda place: F.shiftright(place, 32).cast("int")
+    lists = short.select(
+        F.coalesce("token", "list").alias("token"),
+        F.col("token").isNotNull().alias("split"),
+        "doc_id",
+        n(F.col("place")).alias("n"),
+        F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"),
+        F.struct(F.col("hub.doc_id").alias("doc_id"), n(F.col("hub.place")).alias("n")).alias("hub"),
+    )
+    lists = _written(lists, f"{folder}/lists")
 
     # the first round: each member with the hub of its block, and these with the list's
-    split = lists.filter("blocks > 0")
+    split = lists.filter("split")
     tops = split.groupBy("token").agg(F.min("hub").alias("top"))
     hubs = split.select("token", "hub").distinct().join(tops, "token")
     hubs = hubs.select(F.col("hub.doc_id").alias("doc_id"), F.col("hub.n").alias("n"), F.col("top").alias("hub"))
-    pairs = _hub_pairs(lists.select("doc_id", "n", "hub").unionByName(hubs)).distinct()
-    found = _written(links(pairs, sets), f"{folder}/links-0")
-    roots = _roots(found, copies, f"{folder}/components-0")
+    pairs = _hub_pairs(lists.select("doc_id", "n", "hub").unionByName(hubs))
+    found = links(pairs, lists, docs, size, f"{folder}/0")
+    roots = _roots(found, copies, f"{folder}/0/components")
     for number in range(1, hub_rounds + 1):
-        rest = _written(_open_lists(lists, copies, roots), f"{folder}/open-{number}")
+        rest = _written(_open_lists(lists, copies, roots), f"{folder}/{number}/open")
         if rest.isEmpty():
             break
         if number < hub_rounds:
             # another hub each time; only who is not in its component is compared with it
             by = F.struct(F.xxhash64("doc_id", F.lit(number)).alias("hash"), "doc_id", "n", "label")
             chosen = rest.groupBy("token").agg(F.max(by).alias("hub"))
-            others = rest.join(chosen, "token").filter("label <> hub.label")
-            pairs = _hub_pairs(others)
+            pairs = _hub_pairs(rest.join(chosen, "token").filter("label <> hub.label"))
         else:
             pairs = _remaining_pairs(rest)
-        found = _written(found.unionByName(links(pairs, sets)), f"{folder}/links-{number}")
-        roots = _roots(found, copies, f"{folder}/components-{number}")
+        more = links(pairs, lists, docs, size, f"{folder}/{number}")
+        if more.isEmpty():
+            continue
+        found = found.unionByName(more)
+        roots = _roots(found, copies, f"{folder}/{number}/components")
 
     of_class = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "a", "b", F.coalesce("root", "rep").alias("of_copies")
@@ -335,4 +379,6 @@ def _remaining_pairs(rest: DataFrame) -> DataFrame:
     enough = overlap * NEED_OVERLAP >= (F.col("n1") + F.col("n2")) * NEED_SIZES
     apart = (F.col("doc_id1") < F.col("doc_id2")) & (F.col("label1") != F.col("label2"))
     met = left.join(right, "token").filter(apart & enough & _lengths_fit("n1", "n2"))
-    return met.select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct()
+    return met.select(
+        F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b"), F.col("n1").alias("a_n"), F.col("n2").alias("b_n")
+    ).distinct()
