@@ -22,6 +22,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import small_batches
+
 CHUNK, OVERLAP = 16_384, 512
 
 
@@ -106,6 +108,7 @@ def encode_texts(
     that repeat stay; all columns of ``docs`` are kept (but for one called
     ``ids``, which is replaced). An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "ids"]
     names = [f"c{i}" for i in range(len(kept))]  # free of clashes with the columns made here
     rows = docs.select(*[docs[c].alias(n) for c, n in zip(kept, names, strict=True)])

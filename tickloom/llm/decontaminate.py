@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tickloom.sources.workdir import new_dir
 
-from .words import ALPHANUMERIC, LOWER, column_bytes, hash_spans, shingles, slices, spans
+from .words import ALPHANUMERIC, LOWER, column_bytes, hash_spans, shingles, slices, small_batches, spans
 
 WINDOW, SHINGLE = 13, 5
 #: Places of the filter that is sent to all tasks: a fixed size, whatever the benchmark's.
@@ -164,6 +164,7 @@ def contamination(
     out, whatever their names. Without items all documents are clean.
     """
     cut = windows_of(items, window, shingle, item_id, item_text)
+    small_batches(docs.sparkSession)
     folder = new_dir(docs.sparkSession, "decontaminate")
     longest = F.least(F.size("words"), F.lit(shingle)).alias("size")
     sizes = sorted(r["size"] for r in cut.select(longest).distinct().collect()) or [shingle]

@@ -19,6 +19,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import small_batches
+
 #: Fixed values of the format.
 SKIPPABLE = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -167,6 +169,7 @@ def write_archives(
     reports is in the list, which is kept in ``folder``/list.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     keyed, groups = originals(pages.select("page_id", "url", "html"))
     groups.write.parquet(f"{folder}/groups")
     groups = spark.read.schema(groups.schema).parquet(f"{folder}/groups")

@@ -11,7 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE = 1 << 18
@@ -87,6 +87,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 23) -> Iterator[
         at = upto
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session hand texts to Python in batches of at most so many rows: they may be long."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= rows:
+        spark.conf.set(setting, rows)
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and each text's first word (n + 1 numbers). ``data`` is in small letters."""
     if not len(data):
@@ -174,6 +181,7 @@ def append_columns(
     Kept columns travel under names of their own, so they may be called what
     they like; one that is called like an added column is replaced by it.
     """
+    small_batches(docs.sparkSession)
     new = [part.strip().split(" ", 1)[0] for part in added.split(";")]
     kept = [c for c in kept if c not in new]
     names = ["text" if c == text_col else f"c{i}" for i, c in enumerate(kept)]
