@@ -30,7 +30,10 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays.
+
+    Rows that share an id are one document and stay or go together.
+    """
     return drop(docs, jaccard.components(docs).filter("doc_id <> component_id"))
 
 
