@@ -69,3 +69,26 @@ def test_absolute_paths_and_empty_table(spark):
     got = {r.path: r.inherited_from for r in lic.scan(df, F.col("gives")).collect()}
     assert got == {"/a/LICENSE": None, "/a/b/x": "/a", "/x": None}
     assert lic.scan(df.filter("false"), F.col("gives")).collect() == []
+
+
+def test_full_texts_titles_and_wrapped_notices(spark):
+    comment = lambda text, mark: "\n".join(f"{mark} {line}" for line in text.split("\n"))
+    code = "\nint main() { return 0; }" * 40
+    cases = [(f"full/{n}/LICENSE", text, True, n) for n, text in lic.TEXTS.items()] + [
+        ("mit/LICENSE", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + lic.TEXTS["MIT"], True, "MIT"),
+        ("bsd.c", comment(lic.TEXTS["BSD-3-Clause"], " *") + code, False, "BSD-3-Clause"),
+        ("mit.c", comment(lic.TEXTS["MIT"], "//") + code, False, "MIT"),
+        ("title", "# The MIT License (MIT)\n\nwords", False, "MIT"),
+        ("gpl", "GNU GENERAL PUBLIC LICENSE\n    Version 3, 29 June 2007\n", False, "GPL-3.0"),
+        ("spdx.c", "// SPDX-License-Identifier: MIT" + code, False, "MIT"),
+        ("later.c", "/* SPDX-License-Identifier: GPL-3.0-or-later */", False, "GPL-3.0"),
+        ("wrapped", "# This is licensed under the Apache\n# License, Version\n# 2.0. Nothing else" + code, False, "Apache-2.0"),
+        ("inline", "a b c d e f g. Licensed under the Apache License, Version 2.0 and so on " + "more " * 40, False, "Apache-2.0"),
+        ("zlib.c", "/* SPDX-License-Identifier: Zlib */", False, None),
+        ("old", " Apache License\n Version 1.1\n", False, None),
+        ("gpl1", "Licensed under the GNU General Public License, version 1.", False, None),
+        ("prose", "the right to use a license of any kind is subject to the terms of the work " * 50, True, None),
+    ]
+    df = spark.createDataFrame([c[:3] for c in cases], "path string, text string, gives boolean")
+    got = {r.path: r.own_license for r in lic.scan(df, F.col("gives")).collect()}
+    assert got == {path: name for path, _, _, name in cases}
