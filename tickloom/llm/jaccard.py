@@ -10,15 +10,21 @@ candidates; those that meet on too few short lists go, and the others' sets are
 searched in blocks: the block's short lists are merged and counted, its long ones
 are probed by binary search.
 
-Links are needed up to their transitive closure. So the members of a list are
-first compared with one of them only, the hub. Lists whose members then are in
-one component are done. The pairs of members of different components of the other
-lists are all compared, save those that bounds on lengths and positions rule out.
+:func:`join` finds all links between different sets: the members of a list are
+all compared, save those that bounds on lengths and positions rule out, and long
+lists are dealt in pairs of blocks.
+
+:func:`components` is a mode for components only, in which links are needed up to
+their transitive closure. So the members of a list are first compared with one of
+them only, the hub. Lists whose members then are in one component are done. The
+pairs of members of different components of the other lists are all compared
+within the same bounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -262,11 +268,129 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     ).distinct()
 
 
+class Join(NamedTuple):
+    """All links: ``pairs`` (a, b) of classes, ``members`` (row, doc_id, n_shingles, class_id) and class_ids' ids.
+
+    A class holds the rows of equal sets; all of them link with each other and
+    with all rows of the classes that theirs is paired with. ``class_id`` is null
+    for a row without shingles. ``ids`` (class_id, rep) has a document's id of
+    each class.
+    """
+
+    pairs: DataFrame
+    members: DataFrame
+    ids: DataFrame
+    folder: str
+
+    def linked(self) -> DataFrame:
+        """One row per document row: ``doc_id``, ``n_shingles``, ``class_id``, ``n_links``.
+
+        ``n_links`` counts the other rows, with an id, that the row links with.
+        """
+        sizes = self.members.filter("class_id is not null and doc_id is not null").groupBy("class_id")
+        sizes = _written(sizes.agg(F.count("*").alias("size")), f"{self.folder}/sizes")
+        ends = self.pairs.select(F.col("a").alias("of"), F.col("b").alias("class_id"))
+        ends = ends.union(self.pairs.select("b", "a"))
+        around = ends.join(sizes, "class_id").groupBy("of").agg(F.sum("size").alias("around"))
+        each = sizes.join(around.withColumnRenamed("of", "class_id"), "class_id", "left")
+        links = F.col("size") - 1 + F.coalesce("around", F.lit(0))
+        rows = self.members.join(each.select("class_id", links.alias("n_links")), "class_id", "left")
+        own = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
+        return rows.select("doc_id", "n_shingles", "class_id", own.cast("long").alias("n_links"))
+
+    def components(self) -> DataFrame:
+        """What :func:`components` gives, from the links found here."""
+        a, b = (self.ids.select(F.col("class_id").alias(c), F.col("rep").alias(f"{c}_rep")) for c in "ab")
+        links = self.pairs.join(a, "a").join(b, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+        rows = self.members.join(self.ids, "class_id", "left")
+        edges = links.union(rows.select("rep", "doc_id"))
+        roots = connected(edges, f"{self.folder}/components")
+        node = F.coalesce("doc_id", "rep").alias("node")
+        return (
+            rows.select("doc_id", "n_shingles", node)
+            .join(roots, "node", "left")
+            .select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))
+        )
+
+
+def _dealt_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs of members of a list that the bounds don't rule out, pairs of blocks of a list apart.
+
+    A pair's first common token bounds its overlap, see :func:`_remaining_pairs`;
+    on it every similar pair is met.
+    """
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
+    many = lists.groupBy("token").agg(F.count("*").alias("size"), blocks.alias("blocks")).filter("size > 1").drop("size")
+    rows = lists.select("token", "doc_id", "n", "place").join(many, "token")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    last = F.col("blocks") - 1
+    side = lambda k: [F.col(c).alias(f"{c}{k}") for c in ("doc_id", "n", "place")]
+    left = rows.select("token", F.col("block").alias("i"), F.explode(F.sequence("block", last)).alias("j"), *side(1))
+    right = rows.select("token", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), *side(2))
+    overlap = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))
+    enough = overlap * NEED_OVERLAP >= (F.col("n1") + F.col("n2")) * NEED_SIZES
+    once = (F.col("i") < F.col("j")) | (F.col("doc_id1") < F.col("doc_id2"))
+    met = left.join(right, ["token", "i", "j"]).filter(once & enough & _lengths_fit("n1", "n2"))
+    first = F.col("doc_id1") < F.col("doc_id2")
+    pick = lambda c, yes, no: F.when(first, F.col(f"{c}{yes}")).otherwise(F.col(f"{c}{no}"))
+    return met.select(
+        pick("doc_id", 1, 2).alias("a"), pick("doc_id", 2, 1).alias("b"), pick("n", 1, 2).alias("a_n"), pick("n", 2, 1).alias("b_n")
+    ).distinct()
+
+
+def join(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> Join:
+    """All links between different sets of shingles, and which rows have which set.
+
+    Texts, sets and ids are taken as :func:`components` does. Rows are numbered
+    once, so that rows which share an id are told apart; a set that only rows
+    without an id have links with nothing.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = new_dir(spark, "jaccard-join")
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = _written(docs, f"{folder}/rows")
+    texts = docs.filter("id is not null").select(F.col("row").alias("doc_id"), "text")
+    signed = signatures(docs.select(F.col("row").alias("doc_id"), "text"), size)
+    signed = _written(signed, f"{folder}/signed")
+    own = signed.filter("n is not null").select(F.col("doc_id").alias("row"), "n", "a", "b").join(docs.select("row", "id"), "row")
+    named = F.min(F.when(F.col("id").isNotNull(), F.struct("row", "id")))
+    classes = own.filter("n > 0").groupBy("n", "a", "b").agg(named.alias("first")).filter("first is not null")
+    classes = classes.select("n", "a", "b", F.col("first.row").alias("class_id"), F.col("first.id").alias("rep"))
+    classes = _written(classes, f"{folder}/classes")
+    members = own.join(classes, ["n", "a", "b"], "left")
+    members = members.select("row", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id")
+    members = _written(members, f"{folder}/members")
+
+    counted = signed.filter("token is not null").groupBy("token").agg(F.sum("count").alias("n"))
+    long = counted.filter(F.col("n") >= LEAST_LONG).orderBy(F.desc("n"), "token").limit(MOST_LONG).toArrow()
+    tokens = long.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    short = short_lists(texts, size, tokens[order], long.column("n").to_numpy()[order])
+    # lists of one member link nothing; the rest, far fewer, meets the copies
+    several = Window.partitionBy("token")
+    lists = short.withColumn("token", F.coalesce("token", "list")).drop("list")
+    lists = lists.withColumn("other", F.min("doc_id").over(several) != F.max("doc_id").over(several)).filter("other")
+    # a task leaves out what it meets again, so any row may stand for its class
+    copies = members.filter("row <> class_id").select(F.col("row").alias("doc_id"), "class_id")
+    lists = lists.join(copies, "doc_id", "left").select(
+        "token",
+        F.coalesce("class_id", "doc_id").alias("doc_id"),
+        F.shiftright("place", 32).cast("int").alias("n"),
+        F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"),
+    ).dropDuplicates(["token", "doc_id"])
+    lists = _written(lists, f"{folder}/lists")
+    pairs = links(_dealt_pairs(lists), lists, texts, size, f"{folder}/links")
+    return Join(pairs, members, classes.select("class_id", "rep"), folder)
+
+
 def components(
     docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 3
 ) -> DataFrame:
     """One row per document row: ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
+    This mode gives components only, without all links: those are :func:`join`'s.
+
     Documents link if their sets of ``size``-word shingles have a Jaccard
     similarity of 3/4 or more; a text with fewer words has one shingle. Whole
     texts are read, and no partner is left out. Sets are compared by 64-bit

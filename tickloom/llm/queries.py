@@ -75,7 +75,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(read(spark, sf_dir, "documents"))
+    return jaccard.join(read(spark, sf_dir, "documents")).components()
 
 
 @query
