@@ -88,6 +88,20 @@ def t07(t):
     return rounded(s.zero_fill(values, spans, G, ["inst_id"]))
 
 
+FINE_VALUES = """v AS (SELECT optype AS inst_id, t - t % 60 AS slot, sum(latency) AS value FROM p GROUP BY 1, 2)"""
+
+
+@query("t07_zero_fill_fine", with_p("""
+SELECT g.inst_id, g.slot, round(coalesce(v.value, 0), 2) AS value
+FROM (SELECT inst_id, unnest(range(min(slot), max(slot) + 1, 60)) AS slot FROM v GROUP BY 1) g
+LEFT JOIN v ON v.inst_id = g.inst_id AND v.slot = g.slot""", FINE_VALUES))
+def t07_fine(t):
+    """All events in slots of a minute, most of them empty."""
+    values = s.interval_scope(t.reports.withColumn("slot", s.down(F.col("t"), 60)))
+    spans = values.groupBy("inst_id").agg(F.min("slot").alias("start"), (F.max("slot") + 60).alias("end"))
+    return rounded(s.zero_fill(values, spans, 60, ["inst_id"]))
+
+
 COUNTS = """counts AS (SELECT optype AS inst_id, slot, count(DISTINCT source) AS reporting FROM p GROUP BY 1, 2)"""
 ALL_COUNTS = """counts AS (SELECT slot, count(DISTINCT source) AS reporting FROM p GROUP BY 1)"""
 
@@ -156,6 +170,41 @@ def t12(t):
     return s.complete(s.reporting(some_reports(t)), G)
 
 
+WINDOWED = """told AS (SELECT t - t % 5 AS slot, count(DISTINCT source) AS reporting FROM p GROUP BY 1),
+counts AS (
+  SELECT g.slot, coalesce(n.reporting, 0) AS reporting
+  FROM (SELECT unnest(range(min(slot), max(slot) + 1, 5)) AS slot FROM told) g LEFT JOIN told n ON n.slot = g.slot)"""
+
+
+@query("t11_expected_window", with_p("""
+SELECT c.slot, c.reporting, greatest(coalesce(a.reporting, 0), coalesce(b.reporting, 0)) AS expected
+FROM counts c LEFT JOIN counts a ON a.slot = c.slot - 15 LEFT JOIN counts b ON b.slot = c.slot - 10""", WINDOWED))
+def t11_window(t):
+    """All events in slots of five seconds: the settled window holds two slots."""
+    counts = s.reporting(t.points.select((F.col("t") - F.col("t") % 5).alias("slot"), "source"))
+    return s.expected(counts, 5)
+
+
+FINE_TOLD = """told AS (SELECT optype AS inst_id, t - t % 60 AS slot, count(DISTINCT source) AS reporting FROM p GROUP BY 1, 2)"""
+FINE_DENSE = DENSE.replace("3600", "60")
+FINE_EXPECTED = EXPECTED.replace("3600", "60")
+
+
+def minutes(t):
+    """All reports in slots of a minute; in most of them no source reports."""
+    return t.points.select(F.col("optype").alias("inst_id"), "source", (F.col("t") - F.col("t") % 60).alias("slot"))
+
+
+@query("t11_expected_all", with_p(FINE_EXPECTED, FINE_TOLD, FINE_DENSE))
+def t11_all(t):
+    return s.expected(s.reporting(minutes(t)), 60)
+
+
+@query("t12_complete_all", with_p(f"SELECT *, reporting >= expected AS complete FROM ({FINE_EXPECTED})", FINE_TOLD, FINE_DENSE))
+def t12_all(t):
+    return s.complete(s.reporting(minutes(t)), 60)
+
+
 NOW = 1705276800  # mid January
 
 
