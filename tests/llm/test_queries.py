@@ -17,8 +17,8 @@ def test_as_sql(spark, sf_dir, name):
     assert compare(spark, connect(sf_dir), QUERIES[name], ORACLE[name], sf_dir) is None
 
 
-def test_all_ten_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_are_there():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 12))
 
 
 def test_pipeline(spark, sf_dir):
