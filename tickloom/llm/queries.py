@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.sources.workdir import new_dir
 
-from . import bpe, decontaminate, jaccard, lexical, licenses, quality, shards, topk, toxicity, urls, warc
+from . import bpe, decontaminate, jaccard, lexical, licenses, lloyd, quality, shards, topk, toxicity, urls, warc
 from .sample import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,7 @@ URL_RULES = (
     urls.rule("block", "com/de/"),
 )
 SHARDS = 24
+CENTROIDS, ROUNDS = 16, 3
 
 
 def _crc_entry(n: int) -> int:
@@ -139,6 +140,11 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 50)
 
 
+@query
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(read(spark, sf_dir, "embeddings"), k=CENTROIDS, rounds=ROUNDS)
+
+
 ORACLE["op2_warc"] = r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS payload FROM pages),
@@ -254,3 +260,36 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0)
 WHERE rank <= 50
 """
+
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS (
+  SELECT vec_id, c, CAST(sum((v.x - m.x) * (v.x - m.x)) AS BIGINT) AS distance FROM v JOIN m{r} m USING (place) GROUP BY 1, 2),
+n{r} AS (
+  SELECT vec_id, c, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, c) AS k FROM d{r}) WHERE k = 1)""")
+        if r < rounds:
+            steps.append(f"""
+t{r} AS (SELECT c, place, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM v JOIN n{r} USING (vec_id) GROUP BY 1, 2),
+m{r + 1} AS (
+  SELECT c, place, coalesce((s - ((s % n) + n) % n) // n, x) AS x FROM m{r} LEFT JOIN t{r} USING (c, place))""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS (
+  SELECT vec_id, unnest(range(64)) AS place,
+    unnest(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS x FROM kept),
+seed AS (
+  SELECT vec_id, CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS c FROM kept),
+m0 AS (SELECT c, place, x FROM v JOIN seed USING (vec_id) WHERE c < {k}),{",".join(steps)},
+digest AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY place)) AS sha FROM m{rounds} GROUP BY 1)
+SELECT vec_id, c AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM n{rounds} JOIN digest USING (c)
+"""
+
+
+ORACLE["op12_lloyd"] = _lloyd_sql(CENTROIDS, ROUNDS)
