@@ -18,7 +18,7 @@ def test_as_sql(spark, sf_dir, name):
 
 
 def test_all_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.sources.workdir import new_dir
 
-from . import bpe, decontaminate, jaccard, lexical, licenses, lloyd, quality, shards, topk, toxicity, urls, warc
+from . import bpe, decontaminate, jaccard, lexical, licenses, lloyd, quality, repeats, shards, topk, toxicity, urls, warc
 from .sample import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +145,11 @@ def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.cluster(read(spark, sf_dir, "embeddings"), k=CENTROIDS, rounds=ROUNDS)
 
 
+@query
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(read(spark, sf_dir, "documents")).summary().drop("removed")
+
+
 ORACLE["op2_warc"] = r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS payload FROM pages),
@@ -239,6 +244,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+ORACLE["op13_repeats"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (
+  SELECT doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) AS run FROM d, unnest(range(1, len(w) - 48)) AS r(k)
+  WHERE len(w) >= 50),
+again AS (SELECT doc_id, k FROM (SELECT *, min(doc_id) OVER (PARTITION BY run) AS first FROM runs) WHERE first < doc_id),
+gone AS (SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(k, k + 50)) AS p FROM again) GROUP BY 1),
+kept AS (
+  SELECT d.doc_id, len(w) AS n, coalesce(len(p), 0) AS n_removed,
+    coalesce((SELECT string_agg(word, ' ' ORDER BY i) FROM (SELECT unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i)
+      WHERE p IS NULL OR NOT list_contains(p, i)), '') AS kept
+  FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM kept
+"""
+
 ORACLE["op11_lexical"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
