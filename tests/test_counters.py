@@ -107,7 +107,15 @@ def test_processes(spark):
 def test_storage_list(spark, tmp_path):
     (tmp_path / "list").write_text("zones/a\t-\t12\tx\nzones/b\t7\tsoon\t-\n")
     rows = src.storage_list(spark, str(tmp_path / "list"), ["name", "quota", "used", "note"], text=["note"]).collect()
-    assert [tuple(r) for r in rows] == [("zones/a", 0, 12, "x"), ("zones/b", 7, None, "0")]
+    assert [tuple(r) for r in rows] == [("zones/a", 0, 12, "x", None), ("zones/b", 7, None, "0", {"used": "soon"})]
+    (tmp_path / "clash").write_text("a\t-\tlots\nb\t2\t3\n")
+    clash = src.storage_list(spark, str(tmp_path / "clash"), ["name", "other", "_other"])
+    assert clash.columns == ["name", "other", "_other", "__other"]
+    assert [tuple(r) for r in clash.collect()] == [("a", 0, None, {"_other": "lots"}), ("b", 2, 3, None)]
+    (tmp_path / "twice").write_text("a\t1\na\t2\n")
+    with pytest.raises(ValueError):
+        src.storage_list(spark, str(tmp_path / "twice"), ["name", "quota"])
+    assert src.storage_list(spark, str(tmp_path / "twice"), ["name", "quota"], unique=False).count() == 2
     twice = spark.createDataFrame([("a",), ("a",), ("b",)], "name string")
     assert [tuple(r) for r in src.duplicate_names(twice).collect()] == [("a", 2)]
     with pytest.raises(ValueError):

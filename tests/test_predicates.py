@@ -41,12 +41,13 @@ def test_missing_column(spark):
 
 
 def test_fields_and_substitution():
-    pred = {"and": [{"eq": ["zonename", "foo"]}, {"gt": ["latency", 200]}, {"eq": ["zonename", "bar"]}]}
-    assert p.fields_of(pred) == ["zonename", "latency"]
-    assert p.contains(pred, "zonename") and not p.contains(pred, "hostname")
-    renamed = p.substitute(pred, {"latency": "ts - start"})
-    assert p.describe(renamed) == '(zonename == "foo") && (ts - start > 200) && (zonename == "bar")'
-    assert p.describe({"or": [{"eq": ["latency", 23]}, {}]}) == "(latency == 23) || (1)"
+    pred = {"or": [{"le": ["nbytes", 4096]}, {"and": [{"ne": ["execname", "cron"]}, {"lt": ["nbytes", 9]}]}, {"eq": ["port", 22]}]}
+    assert p.fields_of(pred) == ["nbytes", "execname", "port"]
+    assert p.contains(pred, "port") and not p.contains(pred, "cron")
+    renamed = p.substitute(pred, {"nbytes": "size / 8", "port": "p"})
+    assert p.describe(renamed) == '(size / 8 <= 4096) || ((execname != "cron") && (size / 8 < 9)) || (p == 22)'
+    assert p.fields_of(pred) == ["nbytes", "execname", "port"]  # the original stays
+    assert p.describe({"and": [{}, {"ge": ["port", 1]}]}) == "(1) && (port >= 1)"
     assert p.is_trivial({}) and not p.is_trivial(pred)
 
 

@@ -1,79 +1,106 @@
 from __future__ import annotations
 
+import random
+from collections import Counter, defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import nested, reports
+from tests.helpers import flat, nested, reports
 from tickloom.operators import slots as s
 from tickloom.plans.spec import Instrumentation, SpecError, value_arity
 from tickloom.sources import snapshots as snap
 
 
-def test_scalar_dataset(spark):
-    rows = reports(spark, [("a", 12340, 10), ("b", 12340, 15), ("a", 12345, 12), ("a", 12346, 15)])
-    slots = s.interval_scope(rows)
-    assert {r["slot"]: r["value"] for r in slots.collect()} == {12340: 25, 12345: 12, 12346: 15}
-    assert nested(s.rollup(slots, 12345, 2)) == 27
-    assert nested(s.rollup(slots, 12345, 2, "point")) == 12
-    counts = s.reporting(rows)
-    assert {r["slot"]: r["reporting"] for r in counts.collect()} == {12340: 2, 12345: 1, 12346: 1}
-
-
-def test_keyed_dataset(spark):
-    rows = reports(spark, [
-        ("a", 12340, {"abe": 10, "jasper": 20, "molloy": 15}), ("b", 12340, {"abe": 72, "jasper": 57}),
-        ("c", 12340, {"burns": 12, "jasper": 5, "molloy": 57}), ("a", 12345, {"burns": 57}), ("d", 12340, None),
-    ])
-    slots = s.interval_scope(rows)
-    assert nested(s.rollup(slots, 12340, 1)) == {"abe": 82, "burns": 12, "jasper": 82, "molloy": 72}
-    assert nested(s.rollup(slots, 12340, 6)) == {"abe": 82, "burns": 69, "jasper": 82, "molloy": 72}
-    assert s.reporting(rows).filter("slot = 12340").collect()[0]["reporting"] == 4
-
-
-def test_distribution_dataset(spark):
-    rows = reports(spark, [
-        ("a", 12340, [[[10, 20], 10], [[40, 50], 27]]),
-        ("b", 12340, [[[0, 10], 13], [[10, 20], 15], [[30, 40], 7], [[40, 50], 3]]),
-        ("c", 12340, [[[0, 10], 2], [[60, 70], 7]]), ("a", 12345, [[[10, 20], 12]]),
-    ])
+def drawn(seed, kind, n=60, sources=4, span=40, start=5_003):
+    """Updates of one value shape, at random times by random sources."""
+    rand = random.Random(seed)
+    number = lambda: rand.randint(0, 99)
+    ranges = [(lo, lo + 8) for lo in range(0, 64, 8)]
+    make = {
+        "scalar": number,
+        "keyed": lambda: {k: number() for k in rand.sample(["ka", "kb", "kc", "kd"], rand.randint(0, 3))},
+        "ranged": lambda: [(r, number()) for r in sorted(rand.sample(ranges, rand.randint(0, 4)))],
+        "both": lambda: {k: [(r, number()) for r in sorted(rand.sample(ranges, 2))] for k in rand.sample(["ka", "kb"], 1)},
+    }[kind]
+    times = sorted(rand.randint(start, start + span) for _ in range(n))
+    return [(f"s{rand.randint(1, sources)}", t, make()) for t in times]
+
+
+def cells(updates):
+    """Counter of (key, lo, hi) over the given updates."""
+    total = Counter()
+    for _, _, value in updates:
+        for key, lo, hi, n in flat(value):
+            if n is not None:
+                total[key, lo, hi] += n
+    return {k: n for k, n in total.items() if n}
+
+
+def held(df):
+    out = {}
+    for r in (row.asDict() for row in df.collect()):
+        if r["value"]:
+            out[r.get("key"), r.get("lo"), r.get("hi")] = r["value"]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["scalar", "keyed", "ranged", "both"])
+@pytest.mark.parametrize("g", [1, 7])
+def test_slots_sum_all_reports(spark, kind, g):
+    updates = drawn(len(kind) * g, kind)
+    rows = reports(spark, updates, g)
     slots = s.interval_scope(rows)
-    first = [[[0, 10], 15], [[10, 20], 25], [[30, 40], 7], [[40, 50], 30], [[60, 70], 7]]
-    assert nested(s.rollup(slots, 12340, 1)) == first
-    first[1][1] = 37
-    assert nested(s.rollup(slots, 12340, 6)) == first
-
-
-def test_first_report_counts(spark):
-    """Gauges: all rows of a source's first report, none of the later ones."""
-    rows = reports(spark, [
-        ("a", 12341, {"x": 5, "y": 6}), ("a", 12344, {"x": 50, "z": 70}), ("b", 12342, {"x": 1}), ("b", 12352, {"x": 9}),
-    ], g=10)
-    got = {(r["slot"], r["key"]): r["value"] for r in s.point_scope(rows).collect()}
-    assert got == {(12340, "x"): 6, (12340, "y"): 6, (12350, "x"): 9}
-
-
-@pytest.mark.parametrize(
-    ("start", "duration", "want"),
-    [(12340, 10, (12340, 10)), (12339, 10, (12330, 10)), (12345, 1, (12340, 10)), (12345, 12, (12340, 20))],
-)
-def test_normalize(spark, start, duration, want):
-    lo, width = s.normalize(F.lit(start), F.lit(duration), 10)
-    assert tuple(spark.range(1).select(lo, width).collect()[0]) == want
-
-
-def test_granularity_reporting(spark):
-    times = [("s1", 12340), ("s1", 12344), ("s1", 12348), ("s2", 12348), ("s2", 12351)]
-    counts = s.reporting(reports(spark, [(src, t, 5) for src, t in times], g=10))
-    assert {r["slot"]: r["reporting"] for r in counts.collect()} == {12340: 2, 12350: 1}
-
-    def span(df, width):
-        return {r["period"]: (r["min_reporting"], r["max_reporting"]) for r in s.reporting_range(df, width, 10).collect()}
-
-    assert span(counts, 20) == {12340: (1, 2)}
-    assert span(counts, 10) == {12340: (2, 2), 12350: (1, 1)}
-    kept = s.retain(counts, 12360, 10)
-    assert span(kept, 20) == {12340: (0, 1)}
-    assert span(kept, 10) == {12350: (1, 1)}
+    low = 5_003 - 5_003 % g
+    for start, width in ((low, g), (low, 3 * g), (low + 2 * g, 5 * g), (low + 900 * g, g)):
+        inside = [u for u in updates if start <= u[1] < start + width]
+        assert held(s.rollup(slots, start, width)) == cells(inside)
+    counts = {r["slot"]: r["reporting"] for r in s.reporting(rows).collect()}
+    own = defaultdict(set)
+    for source, t, _ in updates:
+        own[t - t % g].add(source)
+    assert counts == {slot: len(sources) for slot, sources in own.items()}
+
+
+@pytest.mark.parametrize("kind", ["scalar", "keyed", "both"])
+def test_first_reports_count(spark, kind):
+    """Gauges: all rows of a source's first report in a slot, none of the later ones."""
+    updates = drawn(31, kind)
+    slots = s.point_scope(reports(spark, updates, 10))
+    first = {}
+    for u in updates:
+        first.setdefault((u[0], u[1] - u[1] % 10), u)
+    for slot in {slot for _, slot in first}:
+        mine = [u for (_, at), u in first.items() if at == slot]
+        assert held(slots.filter(F.col("slot") == slot)) == cells(mine)
+        assert held(s.rollup(slots, slot, 30, "point")) == cells(mine)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_normalize(spark, seed):
+    """Down to the slot it starts in, and as many whole slots as the length needs."""
+    rand = random.Random(seed)
+    start, duration, g = rand.randint(0, 9_999), rand.randint(1, 300), rand.choice([1, 7, 60])
+    lo, width = s.normalize(F.lit(start), F.lit(duration), g)
+    assert tuple(spark.range(1).select(lo, width).collect()[0]) == (start - start % g, -(-duration // g) * g)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reporting_ranges(spark, seed):
+    g, rows = 5, drawn(seed, "scalar", n=25, sources=6, span=90)
+    own = defaultdict(set)
+    for source, t, _ in rows:
+        own[t - t % g].add(source)
+    counts = s.reporting(reports(spark, rows, g))
+    now = max(own)
+    for kept, table in ((own, counts), ({k: v for k, v in own.items() if k >= now - 30}, s.retain(counts, now, 30))):
+        for width in (5, 20):
+            got = {r["period"]: (r["min_reporting"], r["max_reporting"]) for r in s.reporting_range(table, width, g).collect()}
+            want = {}
+            for period in {k - k % width for k in kept}:
+                sizes = [len(kept.get(period + d, ())) for d in range(0, width, g)]
+                want[period] = (min(sizes), max(sizes))
+            assert got == want
 
 
 def test_expected_over_chunks(spark):

@@ -88,12 +88,22 @@ def processes(records: DataFrame, zones: DataFrame) -> DataFrame:
     )
 
 
-def storage_list(spark: SparkSession, path: str, columns: Sequence[str], text: Sequence[str] = ()) -> DataFrame:
+def kept_name(columns: Sequence[str], name: str = "other") -> str:
+    """The column for values that are no numbers: ``other``, underlined as often as the listing's own columns need it."""
+    while name in columns:
+        name = f"_{name}"
+    return name
+
+
+def storage_list(
+    spark: SparkSession, path: str, columns: Sequence[str], text: Sequence[str] = (), unique: bool = True
+) -> DataFrame:
     """Tab-separated listing; the first column names the object.
 
     ``-`` reads as 0.  Columns are whole numbers unless named in ``text``; a
-    value that is no number reads as NULL there and is kept in ``other``, a map
-    from column to text (NULL if there is none).
+    value that is no number reads as NULL there and is kept in the last column
+    (:func:`kept_name`), a map from column to text (NULL if there is none).  A
+    listing that names an object twice is refused, unless ``unique`` is false.
     """
     schema = ", ".join(f"`{c}` string" for c in columns)
     raw = spark.read.csv(path, sep="\t", schema=schema)
@@ -103,8 +113,9 @@ def storage_list(spark: SparkSession, path: str, columns: Sequence[str], text: S
         F.create_map(*[x for c in numbers for x in (F.lit(c), F.col(c))]) if numbers else F.create_map(),
         lambda _, value: (value != STORAGE_NONE) & value.try_cast("bigint").isNull(),
     ).cast("map<string, string>")
-    other = F.when(F.size(kept) > 0, kept).alias("other")
-    return raw.select(F.col(name).alias("name"), *(_storage_value(c, c in text) for c in rest), other)
+    other = F.when(F.size(kept) > 0, kept).alias(kept_name(["name", *rest]))
+    listed = raw.select(F.col(name).alias("name"), *(_storage_value(c, c in text) for c in rest), other)
+    return require_unique(listed) if unique else listed
 
 
 def _storage_value(column: str, is_text: bool) -> Column:

@@ -76,26 +76,14 @@ def t06_point(t):
     return rounded(s.rollup_by(s.point_scope(t.reports), DAY, "point"))
 
 
-@query("t07_zero_fill", with_p("""
-SELECT g.inst_id, g.slot, round(coalesce(v.value, 0), 2) AS value
-FROM (SELECT inst_id, unnest(range(lo, hi + 1, 3600)) AS slot
-      FROM (SELECT optype AS inst_id, min(slot) AS lo, max(slot) AS hi FROM p WHERE latency > 120 GROUP BY 1)) g
-LEFT JOIN (SELECT optype AS inst_id, slot, sum(latency) AS value FROM p WHERE latency > 120 GROUP BY 1, 2) v
-  ON v.inst_id = g.inst_id AND v.slot = g.slot"""))
-def t07(t):
-    values = s.interval_scope(t.reports.filter(F.col("value") > 120))
-    spans = values.groupBy("inst_id").agg(F.min("slot").alias("start"), (F.max("slot") + G).alias("end"))
-    return rounded(s.zero_fill(values, spans, G, ["inst_id"]))
-
-
 FINE_VALUES = """v AS (SELECT optype AS inst_id, t - t % 60 AS slot, sum(latency) AS value FROM p GROUP BY 1, 2)"""
 
 
-@query("t07_zero_fill_fine", with_p("""
+@query("t07_zero_fill", with_p("""
 SELECT g.inst_id, g.slot, round(coalesce(v.value, 0), 2) AS value
 FROM (SELECT inst_id, unnest(range(min(slot), max(slot) + 1, 60)) AS slot FROM v GROUP BY 1) g
 LEFT JOIN v ON v.inst_id = g.inst_id AND v.slot = g.slot""", FINE_VALUES))
-def t07_fine(t):
+def t07(t):
     """All events in slots of a minute, most of them empty."""
     values = s.interval_scope(t.reports.withColumn("slot", s.down(F.col("t"), 60)))
     spans = values.groupBy("inst_id").agg(F.min("slot").alias("start"), (F.max("slot") + 60).alias("end"))
@@ -129,25 +117,24 @@ def t10(t):
 
 DENSE = """counts AS (
   SELECT g.inst_id, g.slot, coalesce(n.reporting, 0) AS reporting FROM (
-    SELECT inst_id, unnest(range(min(slot), max(slot) + 1, 3600)) AS slot FROM told GROUP BY inst_id) g
+    SELECT inst_id, unnest(range(min(slot), max(slot) + 1, 60)) AS slot FROM told GROUP BY inst_id) g
   LEFT JOIN told n ON n.inst_id = g.inst_id AND n.slot = g.slot)"""
-TOLD = "told AS (SELECT optype AS inst_id, slot, count(DISTINCT source) AS reporting FROM p WHERE k < 10 GROUP BY 1, 2)"
+TOLD = """told AS (SELECT optype AS inst_id, t - t % 60 AS slot, count(DISTINCT source) AS reporting FROM p GROUP BY 1, 2)"""
 
 EXPECTED = """
 SELECT c.inst_id, c.slot, c.reporting, coalesce(max(o.reporting), 0) AS expected
-FROM counts c LEFT JOIN counts o ON o.inst_id = c.inst_id AND o.slot = c.slot - 3600 GROUP BY 1, 2, 3"""
+FROM counts c LEFT JOIN counts o ON o.inst_id = c.inst_id AND o.slot = c.slot - 60 GROUP BY 1, 2, 3"""
 
 
-def some_reports(t):
-    """So few that there are hours in which no source reports."""
-    reports = t.points.filter(F.col("k") < 10)
-    return reports.select(F.col("optype").alias("inst_id"), "source", (F.col("t") - F.col("t") % G).alias("slot"))
+def minutes(t):
+    """All reports in slots of a minute; in most of them no source reports."""
+    return t.points.select(F.col("optype").alias("inst_id"), "source", (F.col("t") - F.col("t") % 60).alias("slot"))
 
 
 @query("t11_expected", with_p(EXPECTED, TOLD, DENSE))
 def t11(t):
-    """At one-hour slots the settled window is the slot before."""
-    return s.expected(s.reporting(some_reports(t)), G)
+    """At slots of a minute the settled window is the slot before."""
+    return s.expected(s.reporting(minutes(t)), 60)
 
 
 FINE = """told AS (SELECT t - t % 60 AS slot, count(DISTINCT source) AS reporting FROM p GROUP BY 1),
@@ -167,7 +154,7 @@ def t11_fine(t):
 
 @query("t12_complete", with_p(f"SELECT *, reporting >= expected AS complete FROM ({EXPECTED})", TOLD, DENSE))
 def t12(t):
-    return s.complete(s.reporting(some_reports(t)), G)
+    return s.complete(s.reporting(minutes(t)), 60)
 
 
 WINDOWED = """told AS (SELECT t - t % 5 AS slot, count(DISTINCT source) AS reporting FROM p GROUP BY 1),
@@ -177,32 +164,16 @@ counts AS (
 
 
 @query("t11_expected_window", with_p("""
-SELECT c.slot, c.reporting, greatest(coalesce(a.reporting, 0), coalesce(b.reporting, 0)) AS expected
-FROM counts c LEFT JOIN counts a ON a.slot = c.slot - 15 LEFT JOIN counts b ON b.slot = c.slot - 10""", WINDOWED))
+SELECT c.slot - c.slot % 86400 AS day, c.reporting, greatest(coalesce(a.reporting, 0), coalesce(b.reporting, 0)) AS expected,
+  count(*) AS slots, min(c.slot) AS first_slot, max(c.slot) AS last_slot
+FROM counts c LEFT JOIN counts a ON a.slot = c.slot - 15 LEFT JOIN counts b ON b.slot = c.slot - 10 GROUP BY 1, 2, 3""", WINDOWED))
 def t11_window(t):
-    """All events in slots of five seconds: the settled window holds two slots."""
+    """All events in slots of five seconds: the settled window holds two slots. All slots, summed up by day."""
     counts = s.reporting(t.points.select((F.col("t") - F.col("t") % 5).alias("slot"), "source"))
-    return s.expected(counts, 5)
-
-
-FINE_TOLD = """told AS (SELECT optype AS inst_id, t - t % 60 AS slot, count(DISTINCT source) AS reporting FROM p GROUP BY 1, 2)"""
-FINE_DENSE = DENSE.replace("3600", "60")
-FINE_EXPECTED = EXPECTED.replace("3600", "60")
-
-
-def minutes(t):
-    """All reports in slots of a minute; in most of them no source reports."""
-    return t.points.select(F.col("optype").alias("inst_id"), "source", (F.col("t") - F.col("t") % 60).alias("slot"))
-
-
-@query("t11_expected_all", with_p(FINE_EXPECTED, FINE_TOLD, FINE_DENSE))
-def t11_all(t):
-    return s.expected(s.reporting(minutes(t)), 60)
-
-
-@query("t12_complete_all", with_p(f"SELECT *, reporting >= expected AS complete FROM ({FINE_EXPECTED})", FINE_TOLD, FINE_DENSE))
-def t12_all(t):
-    return s.complete(s.reporting(minutes(t)), 60)
+    by = [(F.col("slot") - F.col("slot") % DAY).alias("day"), "reporting", "expected"]
+    return s.expected(counts, 5).groupBy(*by).agg(
+        F.count("*").alias("slots"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot")
+    )
 
 
 NOW = 1705276800  # mid January
