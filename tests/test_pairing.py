@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import pairing as e
+from tickloom.operators.nesting import outermost_by_depth
 from tickloom.operators.ordered import Timeline, previous, running
 from tickloom.plans.event_metrics import EVENT_METRICS
 from tickloom.plans.spec import Instrumentation, instrument
@@ -116,6 +117,45 @@ def test_outermost(spark, span, seed):
     assert {r["seq"]: r["l"] for r in got.select("seq", e.latency().alias("l")).collect()} == outermost_by_hand(rows)
 
 
+def outermost_at_depth_by_hand(rows):
+    out = {}
+    for mine in per_key(rows).values():
+        call = None
+        for _, ts, seq, kind in mine:
+            name, _, depth = kind.partition(" ")
+            if name == "enter" and call is None:
+                call = (depth, ts)
+            elif name == "leave" and call is not None and call[0] == depth:
+                out[seq] = ts - call[1]
+                call = None
+    return out
+
+
+@pytest.mark.parametrize("span", [*SPANS, 1.0])
+@pytest.mark.parametrize("seed", [5, 6])
+def test_outermost_by_depth(spark, span, seed):
+    """Leaves are lost, doubled and out of place at random; slices begin inside calls of other slices."""
+    kinds = [f"{name} {depth}" for name in ("enter", "enter", "leave") for depth in range(seed - 3)] + ["other", "enter "]
+    rows = events(seed, kinds, keys=(1, 2, 3), n=300)
+    depth = F.nullif(F.split("kind", " ")[1], F.lit("")).cast("int") if seed % 2 else F.split("kind", " ")[1].try_cast("int")
+    got = outermost_by_depth(
+        table(spark, rows), line(span), F.col("kind").startswith("enter"), F.col("kind").startswith("leave"), depth,
+        {"start_ts": F.col("ts_ns")},
+    )
+    known = [r for r in rows if r[3] != "enter "]  # without a depth: no event
+    assert {r["seq"]: r["l"] for r in got.select("seq", e.latency().alias("l")).collect()} == outermost_at_depth_by_hand(known)
+    assert got.columns == ["key", "ts_ns", "seq", "kind", "start_ts"]
+
+
+def test_lost_inner_leave_does_no_harm(spark):
+    rows = [(1, 0, 0, "enter 5"), (1, 1, 1, "enter 7"), (1, 9, 2, "leave 5"), (1, 20, 3, "enter 5"), (1, 29, 4, "leave 5")]
+    enter, leave, depth = F.col("kind").startswith("enter"), F.col("kind").startswith("leave"), F.split("kind", " ")[1].cast("int")
+    found = outermost_by_depth(table(spark, rows), line(2.0), enter, leave, depth, {"start_ts": F.col("ts_ns")})
+    assert sorted((r.seq, r.start_ts) for r in found.collect()) == [(2, 0), (4, 20)]
+    assert outermost_by_depth(table(spark, rows), line(2.0), enter, leave, depth, {}).count() == 2
+    assert outermost_by_depth(table(spark, rows).filter("false"), line(2.0), enter, leave, depth, {}).count() == 0
+
+
 def queries_by_hand(rows):
     """State per thread: 0 nothing, 1 query, 2 exec, 3 both."""
     out = {}

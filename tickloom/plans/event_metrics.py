@@ -2,7 +2,8 @@
 
 Event table: ``ts_ns, vts_ns, seq, host, probe, thread_id, pid, req_key``, the
 process context (``zonename, execname, psargs, ppid, pexecname, ppsargs``) and
-``args MAP<STRING,STRING>`` with the probe's named arguments.
+``args MAP<STRING,STRING>`` with the probe's named arguments.  ``stack_depth``
+is needed where calls nest (``fs``): a call ends at the depth it began at.
 
 A :class:`Dim` says how a field is read at the done (or only) event and what
 has to be gathered at the start for it.  A spec that names no gathered field
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..functions.buckets import Bucketizer, event_linear, event_log_linear, subsecond_ms
 from ..operators import pairing
+from ..operators.nesting import outermost_by_depth
 from .spec import FieldDef, Metric
 
 Expr = Callable[[], Column]
@@ -135,7 +137,11 @@ class EventMetric:
         for starts, dones in self.pairs:
             if not starts:
                 parts.append(rows.filter(matches(dones)))
-            elif self.style == "outermost":
+            elif self.style == "outermost" and "stack_depth" in rows.columns:
+                parts.append(
+                    outermost_by_depth(rows, line, matches(starts), matches(dones), F.col("stack_depth"), columns)
+                )
+            elif self.style == "outermost":  # without depths nesting can only be counted
                 parts.append(pairing.outermost(rows, line, matches(starts), matches(dones), columns))
             else:
                 parts.append(

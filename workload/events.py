@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import pairing as e
 from tickloom.operators.aggregate import decompose
+from tickloom.operators.nesting import outermost_by_depth
 from tickloom.plans.event_metrics import EVENT_METRICS, FILESYSTEMS
 from tickloom.plans.spec import Instrumentation, instrument
 from tickloom.sources.workdir import new_dir
@@ -111,8 +112,42 @@ edges AS (
   WHERE (step = 1 AND depth = 1) OR (step = -1 AND depth = 0) WINDOW w AS (PARTITION BY user_id ORDER BY ts_ns, event_id))"""
 
 
-@query("e06_outermost", with_p("SELECT event_id, user_id, ts_ns - start_ts AS latency FROM edges WHERE step = -1 AND prev_step = 1", EV, DEPTH))
+def chain_sql(enters: str, leaves: str, depth: str, more: str = "") -> str:
+    """Outermost calls one after the other: an enter, the first leave at its depth, the first enter behind that."""
+    return f"""steps AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, event_id) AS n, {enters} AS enters, {depth} AS depth
+  FROM ev WHERE ({enters}) OR ({leaves})),
+ends AS (
+  SELECT e.user_id, e.n, min(l.n) AS done FROM steps e JOIN steps l
+  ON l.user_id = e.user_id AND l.depth = e.depth AND NOT l.enters AND l.n > e.n WHERE e.enters GROUP BY 1, 2),
+follow AS (
+  SELECT l.user_id, l.n AS done, min(e.n) AS n FROM steps l JOIN steps e ON e.user_id = l.user_id AND e.enters AND e.n > l.n
+  WHERE NOT l.enters GROUP BY 1, 2),
+calls AS (
+  SELECT user_id, min(n) AS n FROM steps WHERE enters GROUP BY 1
+  UNION ALL SELECT c.user_id, f.n FROM calls c JOIN ends USING (user_id, n)
+  JOIN follow f ON f.user_id = c.user_id AND f.done = ends.done),
+outermost AS (
+  SELECT d.*, s.ts_ns AS start_ts, s.k AS start_k FROM calls c JOIN ends USING (user_id, n)
+  JOIN steps s ON s.user_id = c.user_id AND s.n = c.n JOIN steps d ON d.user_id = c.user_id AND d.n = ends.done)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("e06_outermost", recursive(with_p("SELECT event_id, user_id, ts_ns - start_ts AS latency FROM outermost", EV,
+    chain_sql("optype IN ('view', 'signup')", "optype IN ('purchase', 'error')", "k % 3"))))
 def e06(t):
+    """Calls at one of three stack depths: most leaves belong to no call that goes on, and many are missing."""
+    enter, leave = F.col("optype").isin("view", "signup"), F.col("optype").isin("purchase", "error")
+    rows = outermost_by_depth(probe_rows(t), thread(), enter, leave, F.col("k") % 3, {"start_ts": F.col("ts_ns")})
+    return rows.select("event_id", "user_id", e.latency().alias("latency"))
+
+
+@query("e06_outermost_counted", with_p("SELECT event_id, user_id, ts_ns - start_ts AS latency FROM edges WHERE step = -1 AND prev_step = 1", EV, DEPTH))
+def e06_counted(t):
+    """Events without stack depths."""
     enter, leave = F.col("optype").isin("view", "signup"), F.col("optype").isin("purchase", "error")
     rows = e.outermost(probe_rows(t), thread(), enter, leave, {"start_ts": F.col("ts_ns")})
     return rows.select("event_id", "user_id", e.latency().alias("latency"))
@@ -212,7 +247,7 @@ def probe_events(t, metric):
     return t.points.select(
         (F.col("us") * 1000).alias("ts_ns"), (F.col("us") * 500 + k).alias("vts_ns"), F.col("event_id").alias("seq"),
         F.col("source").alias("host"), probe.alias("probe"), F.col("user_id").alias("thread_id"),
-        F.col("user_id").alias("pid"), (k % 4).cast("string").alias("req_key"), "zonename",
+        F.col("user_id").alias("pid"), (k % 4).cast("string").alias("req_key"), "zonename", (k % 4).alias("stack_depth"),
         F.when(k % 2 == 0, "qemu-system-x86_").otherwise(F.concat(F.lit("exec"), k % 3)).alias("execname"),
         F.create_map(*(x for n, v in args.items() for x in (F.lit(n), v))).alias("args"),
     )
@@ -252,10 +287,8 @@ def event_metric_sql(metric, numeric: str | None) -> str:
         rows = "SELECT *, ts_ns - start_ts AS v FROM grouped WHERE start_ts IS NOT NULL AND ts_ns IS NOT NULL AND (last_query IS NOT NULL OR done_type = 'signup')"
         return with_p(_grouped(rows, lo, hi), EV, PHASES)
     if metric.style == "outermost":
-        depth = DEPTH.replace("('view', 'signup', 'purchase', 'error')", "('view', 'purchase')").replace("('view', 'signup')", "('view')")
-        depth = depth.replace("lag(ts_ns) OVER w AS start_ts", "lag(ts_ns) OVER w AS start_ts, lag(k) OVER w AS start_k")
-        rows = "SELECT *, ts_ns - start_ts AS v FROM edges WHERE step = -1 AND prev_step = 1 AND start_k % 3 <> 2"
-        return with_p(_grouped(rows, lo, hi), EV, depth)
+        rows = "SELECT *, ts_ns - start_ts AS v FROM outermost WHERE start_k % 3 <> 2"
+        return recursive(with_p(_grouped(rows, lo, hi), EV, chain_sql("optype = 'view'", "optype = 'purchase'", "k % 4")))
     if metric.pairs[0][0]:
         key = KEYS[tuple(metric.key)]
         if len(metric.pairs) == 2:
