@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +139,23 @@ def test_normalize(spark):
     assert linear == pytest.approx([0.0009, 0.0018, 0.0018, 0.036, 0.9])
 
 
+def test_ranks_are_exact(spark):
+    """Neighbouring doubles, tiny and huge values each have their rank; names with a long common start too."""
+    import random
+
+    rng = random.Random(2)
+    values = [1.0, math.nextafter(1.0, 2), 5e-324, 1e300, 3.0, 3.0] + [rng.choice([rng.random(), rng.randint(1, 30)]) * 1.0 for _ in range(500)]
+    cells = spark.createDataFrame([(i, v) for i, v in enumerate([*values, 0.0])], "bucket int, value double").repartition(7)
+    order = {v: n for n, v in enumerate(sorted(set(values)), 1)}
+    for r in h.normalize_rank(cells).collect():
+        assert r["saturation"] == pytest.approx(0.9 * order.get(r["value"], 0) / len(order), rel=1e-12)
+    assert h.normalize_rank(cells.filter("value = 0")).collect()[0]["saturation"] == 0
+    names = [f"a common start {n}" for n in range(300)] + ["a", "z", ""]
+    series = spark.createDataFrame([(n,) for n in names * 2], "series string")
+    hues = {r["series"]: r["hue"] for r in h.series_hues(series, h.Heatmap(0, 1, 1, decompose_all=True)).collect()}
+    assert hues == {n: (21 + 91 * k) % 360 for k, n in enumerate(sorted(names), 1)}
+
+
 def test_image(spark):
     cells = h.image(both(spark), h.Heatmap(0, 100, 10, selected=("west",)))
     got = {(r["series"], r["hue"]) for r in cells.collect()}

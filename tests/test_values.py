@@ -151,6 +151,55 @@ def test_transformations(spark):
     assert u.apply(values.drop("key"), r["names"]).count() == 0
 
 
+def test_failing_at_run_time_gives_nothing(spark):
+    from pyspark.sql import functions as F
+
+    values = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "key string, value double")
+    late = u.Transformation("late", "fails while it runs", [], lambda keys: keys.select("key", F.raise_error(F.lit("no")).cast("string").alias("value")))
+    assert u.apply(values, late).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_make_up_their_range(spark, seed):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(seed)
+    ranges = [(0, 2**32 - 1), (5, 5), (1, 2), (3, 2), (2**32 - 1, 2**32 - 1), (1, 2**32 - 2)]
+    for _ in range(200):
+        low = rng.randint(0, 2**32 - 1)
+        ranges.append((low, min(low + rng.randint(0, 2 ** rng.randint(0, 32)), 2**32 - 1)))
+    df = spark.createDataFrame(ranges, "s bigint, e bigint").withColumn("blocks", u.blocks_of(F.col("s"), F.col("e")))
+    for r in df.collect():
+        if r.s > r.e:
+            assert r.blocks is None
+            continue
+        spans = sorted((b.prefix << b.level, (b.prefix + 1 << b.level) - 1) for b in r.blocks)
+        assert spans[0][0] == r.s and spans[-1][1] == r.e and len(spans) <= 64
+        assert all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:], strict=False))
+        # none of them could be larger: no two make up an aligned one
+        assert not any(a.level == b.level and a.prefix ^ 1 == b.prefix for a in r.blocks for b in r.blocks)
+
+
+def test_nested_networks_and_many_in_one_prefix(spark):
+    base = 81 << 24
+    rows = [(base, base + 65_535, "all"), (base + 256, base + 511, "part"), (base + 300, base + 300, "one"), (base + 70_000, base + 69_999, "none")]
+    rows += [(base + (1 << 16) + n, base + (1 << 16) + n, f"n{n}") for n in range(0, 65_536, 16)]
+    nets = spark.createDataFrame(rows, "start_ip bigint, end_ip bigint, name string")
+    ip = lambda n: ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    asked = [base, base + 255, base + 256, base + 300, base + 511, base + 512, base + 65_535, base + 65_536, base + 65_537, base + 131_056]
+    values = spark.createDataFrame([(ip(n), 1.0) for n in asked], "key string, value double")
+    located = u.geolocate(nets)(values.select("key"))
+    assert {r["key"]: r["value"]["name"] for r in located.collect()} == {
+        ip(base): "all", ip(base + 255): "all", ip(base + 256): "part", ip(base + 300): "one", ip(base + 511): "part",
+        ip(base + 512): "all", ip(base + 65_535): "all", ip(base + 65_536): "n0", ip(base + 131_056): "n65520",
+    }
+    plan = located._jdf.queryExecution().toString()
+    assert " >= start_ip" not in plan and " <= end_ip" not in plan
+    assert u.geolocate(nets.filter("false"))(values.select("key")).count() == 0
+
+
 def test_pack_orders_keys_and_ranges(spark):
     slots = s.interval_scope(reports(spark, [("s", 1, {"b": [[[10, 20], 1], [[0, 9], 2]], "a": [[[5, 6], 3]]})]))
     value = a.pack(slots, ["slot"]).collect()[0]["value"]

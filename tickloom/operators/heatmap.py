@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up
-from .ordered import Timeline, running
+from ..sources.workdir import written
+from .ranks import dense_ranks
 from .slots import down
 
 # --- fixed values: limits and colours -----------------------------------------
@@ -162,11 +163,8 @@ def series_hues(cells: DataFrame, conf: Heatmap) -> DataFrame:
     """``(series, hue)`` of the series shown: background first, then keys in
     the order given, or by name when all are decomposed."""
     if conf.decompose_all:
-        # Rank by name; the first six bytes as a number cut the names into slices.
-        code = F.conv(F.rpad(F.substring(F.hex(F.col("series")), 1, 12), 12, "0"), 16, 10).cast("bigint")
-        keys = cells.select("series").distinct().withColumns({"code": code, "all": F.lit(1)})
-        ranked = running(keys, Timeline(["all"], ["code", "series"], 256), {"pos": ("sum", F.lit(1))})
-        return ranked.select("series", hue_of(F.col("pos")).cast("int").alias("hue"))
+        ranked, _ = dense_ranks(cells, F.col("series"), "series")
+        return ranked.select("series", hue_of(F.col("rank")).cast("int").alias("hue"))
     chosen = list(conf.hues) if conf.hues is not None else hues(len(conf.selected), conf.isolate)
     names = list(conf.selected) if conf.isolate else [TOTAL, *conf.selected]
     if not names:  # an isolated image without selection is empty
@@ -180,7 +178,7 @@ def image(dist: DataFrame, conf: Heatmap) -> DataFrame:
     from .aggregate import merge
 
     series = merge(select_series(dist, conf), ["slot", "series", "lo", "hi"])
-    cells = normalize(grid(series, conf, ("slot", "series")), conf.coloring)
+    cells = normalize(written(grid(series, conf, ("slot", "series")), "image"), conf.coloring)
     return cells.join(series_hues(cells, conf), "series")
 
 
@@ -194,30 +192,14 @@ def normalize_linear(cells: DataFrame) -> DataFrame:
     return cells.withColumn("saturation", F.lit(MAX_SATURATION) * F.col("value") / top)
 
 
-def significant(value: Column, digits: int) -> Column:
-    """A positive number rounded to its first ``digits`` digits."""
-    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(value)))
-    return F.rint(value * scale) / scale
-
-
-def normalize_rank(cells: DataFrame, digits: int = 9) -> DataFrame:
-    """Saturation by rank among the distinct non-zero cell values.
-
-    Values equal in their first ``digits`` digits share a rank, however small
-    they are.  The running count is cut by magnitude into slices of 1/1024
-    octave, in which there are at most about 10^digits / 1400 levels.
-    """
-    v = F.when(F.col("value") > 0, significant(F.col("value"), digits))
-    levels = (
-        cells.select(v.alias("level")).filter(F.col("level") > 0).distinct()
-        .withColumn("magnitude", F.log2("level"))
-        .withColumn("all", F.lit(1))
-    )
-    ranked = running(levels, Timeline(["all"], ["magnitude", "level"], 1 / 1024), {"rank": ("sum", F.lit(1))})
-    count = levels.agg(F.count("*").alias("n")).scalar()
-    return cells.withColumn("level", v).join(ranked.select("level", "rank"), "level", "left").select(
-        *cells.columns,
-        F.coalesce(F.lit(MAX_SATURATION) * F.col("rank") / count, F.lit(0.0)).alias("saturation"),
+def normalize_rank(cells: DataFrame) -> DataFrame:
+    """Saturation by rank among the distinct non-zero cell values."""
+    cells = written(cells, "cells")
+    level = F.when(F.col("value") > 0, F.col("value"))
+    ranked, count = dense_ranks(cells, level)
+    share = F.lit(MAX_SATURATION) * F.col("rank") / max(count, 1)
+    return cells.withColumn("level", level).join(ranked, "level", "left").select(
+        *cells.columns, F.coalesce(share, F.lit(0.0)).alias("saturation")
     )
 
 

@@ -12,7 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PREFIX_BITS = 16
+from ..sources.workdir import written
+
+ADDRESS_BITS = 32
 
 
 @dataclass(frozen=True)
@@ -67,16 +69,18 @@ class Registry:
 def apply(values: DataFrame, transformation: Transformation) -> DataFrame:
     """``(key, value)`` of the keys that occur; without a key column no rows.
 
-    A transformation that cannot be built gives no rows and does not fail the
-    value it accompanies.
+    It is worked out here and written apart.  One that fails, be it when its plan
+    is made or while it runs, gives no rows and does not fail the value it
+    accompanies.
     """
     spark = values.sparkSession
+    nothing = spark.createDataFrame([], "key string, value string")
     if "key" not in values.columns:
-        return spark.createDataFrame([], "key string, value string")
+        return nothing
     try:
-        return transformation.transform(values.select("key").distinct())
+        return written(transformation.transform(values.select("key").distinct()), "transformed")
     except Exception:  # noqa: BLE001 - by contract, whatever a plug-in raises
-        return spark.createDataFrame([], "key string, value string")
+        return nothing
 
 
 OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
@@ -97,27 +101,53 @@ def ipv4_number(ip: Column) -> Column:
     return octet(0) * (1 << 24) + octet(1) * (1 << 16) + octet(2) * (1 << 8) + octet(3)
 
 
+def blocks_of(start: Column, end: Column, bits: int = ADDRESS_BITS) -> Column:
+    """The largest aligned blocks that make up the addresses ``start`` to ``end``: an array of (level, prefix).
+
+    A block of level k holds the 2^k addresses that share all but their last k
+    bits.  On each level the range has at most one on either side of what the
+    levels above cover.
+    """
+    upto = end + 1
+
+    def on_level(k: Column) -> Column:
+        size, above = F.pow(F.lit(2.0), k).cast("bigint"), F.pow(F.lit(2.0), k + 1).cast("bigint")
+        low, high = F.ceil(start / size) * size, F.floor(upto / size) * size
+        inner_low, inner_high = F.ceil(start / above) * above, F.floor(upto / above) * above
+        empty = inner_low >= inner_high
+        first = (low < high) & (empty | (low < inner_low))
+        last = (low < high) & (empty | (high > inner_high)) & ((high - size != low) | ~first)
+        block = lambda at: F.struct(k.cast("int").alias("level"), (at / size).cast("bigint").alias("prefix"))
+        return F.filter(F.array(F.when(first, block(low)), F.when(last, block(high - size))), lambda b: b.isNotNull())
+
+    levels = F.sequence(F.lit(0), F.lit(bits))
+    return F.when(start <= end, F.flatten(F.transform(levels, on_level)))
+
+
 def geolocate(networks: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """IPv4 key to the record of the network that holds it.
+    """IPv4 key to the record of the smallest network that holds it.
 
-    ``networks``: ``start_ip, end_ip BIGINT`` (disjoint) and record columns.
-    Both sides are cut by the upper address half, which makes the range
-    condition an equi-join; keys are distinct, so a prefix has at most 65,536
-    of them, and a network gives one row per prefix it touches.
+    ``networks``: ``start_ip, end_ip BIGINT`` and record columns; they may be
+    nested.  Each is cut into at most 64 aligned blocks, and an address is looked
+    up by equality on (level, prefix) for the levels that occur, 33 at most.
     """
     record = [c for c in networks.columns if c not in ("start_ip", "end_ip")]
-    prefixes = F.sequence(F.shiftright("start_ip", PREFIX_BITS), F.shiftright("end_ip", PREFIX_BITS))
-    cut = networks.withColumn("prefix", F.explode(prefixes))
+    blocks = F.explode(blocks_of(F.col("start_ip"), F.col("end_ip"))).alias("block")
+    cut = networks.select("start_ip", "end_ip", F.struct(*record).alias("value"), blocks).select("*", "block.*").drop("block")
 
     def transform(keys: DataFrame) -> DataFrame:
+        table = written(cut, "networks")
+        levels = sorted(r["level"] for r in table.select("level").distinct().collect())
         # Never NULL after the filter; saying so spares the join its NULL checks,
         # which would be pushed down with the whole expression.
         number = F.coalesce(ipv4_number(F.col("key")), F.lit(-1))
         ips = keys.filter(is_public_ipv4(F.col("key"))).select("key", number.alias("ip"))
-        hit = ips.withColumn("prefix", F.shiftright("ip", PREFIX_BITS)).join(cut, "prefix")
-        return hit.filter((F.col("ip") >= F.col("start_ip")) & (F.col("ip") <= F.col("end_ip"))).select(
-            "key", F.struct(*record).alias("value")
-        )
+        asked = F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright("ip", k).alias("prefix")) for k in levels))
+        if not levels:
+            asked = F.array().cast("array<struct<level:int,prefix:bigint>>")
+        hit = ips.select("key", F.inline(asked)).join(table, ["level", "prefix"])
+        size = F.struct(F.col("end_ip") - F.col("start_ip"), "start_ip")
+        return hit.groupBy("key").agg(F.min_by("value", size).alias("value"))
 
     return transform
 

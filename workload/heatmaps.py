@@ -112,11 +112,12 @@ def h10(t):
 
 @query("h11_normalize_rank", with_p(f"""
 SELECT {NORMAL} FROM (
-  SELECT *, 0.9::DOUBLE * dense_rank() OVER (ORDER BY level) / (SELECT count(DISTINCT level) FROM cells) AS saturation FROM cells)""",
-    DIST, f"cells AS (SELECT *, round(value * pow(10, 7 - floor(log10(value)))) / pow(10, 7 - floor(log10(value))) AS level FROM ({cells_sql()}))"))
+  SELECT *, 0.9::DOUBLE * dense_rank() OVER (ORDER BY value) / (SELECT count(DISTINCT value) FROM cells) AS saturation FROM cells)""",
+    DIST, f"cells AS (SELECT slot, bucket, round(value, 4) AS value FROM ({cells_sql()}))"))
 def h11(t):
-    cells = h.normalize_rank(h.grid(total(t), CONF), digits=8)
-    return tidy(cells).withColumn("saturation", F.round("saturation", 6))
+    """Values to four places, so that sums in another order are equal; they are ranked as they are."""
+    cells = tidy(h.normalize_rank(h.grid(total(t), CONF).withColumn("value", F.round("value", 4))))
+    return cells.withColumn("saturation", F.round("saturation", 6))
 
 
 # Clicks on the image: every order is one, on a day-wide picture of 150 x 180.
