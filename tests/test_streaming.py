@@ -9,7 +9,7 @@ from tickloom.sources.snapshots import capture, load, save
 from tickloom.sources.workdir import SETTING, new_dir, shared_dir
 from tickloom.streaming import sinks
 from tickloom.streaming import slots as st
-from tickloom.streaming.stateful import delta_stream, pair_stream
+from tickloom.streaming.stateful import STORE, delta_stream, emitted, pair_stream
 
 ONCE = {"availableNow": True}
 REPORTS = "inst_id string, source string, ts_ms bigint, seq bigint, value double"
@@ -84,23 +84,69 @@ def test_sliding(spark, tmp_path):
 EVENTS = "key int, kind string, ts_ns bigint, vts_ns bigint, seq bigint"
 
 
-def test_pairs_across_batches(spark, tmp_path):
+def test_pairs_in_the_order_of_event_time(spark, tmp_path):
+    """Rows come in any order within the delay, over micro-batches of any size, and pair as the batch does."""
     import random
 
     rng = random.Random(9)
-    rows = [(1 if rng.random() < 0.7 else 2, rng.choice(["start", "done"]), i // 2, i, i) for i in range(90)]
-    batches = [rows[:1], rows[1:40], rows[40:41], rows[41:]]
-    shuffled = [rng.sample(b, len(b)) for b in batches]
-    stream = stream_of(spark, str(tmp_path / "in"), EVENTS, shuffled)
+    second = 1_000_000_000
+    rows = [(1 if rng.random() < 0.7 else 2, rng.choice(["start", "done"]), (i // 2 + 1) * second, i, i) for i in range(160)]
+    shuffled = rng.sample(rows, len(rows))
+    end = (3, "done", 10_000 * second, 0, 1000)  # the watermark passes all others
+    stream = stream_of(spark, str(tmp_path / "in"), EVENTS, [shuffled[:1], shuffled[1:60], shuffled[60:61], shuffled[61:], [end]])
+    before = spark.conf.get(STORE, None)
     out = str(tmp_path / "out")
-    sinks.append_table(pair_stream(stream, ["key"], "key int"), out, ONCE).awaitTermination()
+    sinks.append_table(pair_stream(stream, ["key"], "10 minutes"), out, ONCE).awaitTermination()
+    assert spark.conf.get(STORE, None) == before
     start, done = F.col("kind") == "start", F.col("kind") == "done"
     clocks = {"start_ts": F.col("ts_ns"), "start_vts": F.col("vts_ns")}
-    batch = pairing.pair(spark.createDataFrame(rows, EVENTS), pairing.timeline(["key"], span=7.0), start, done, clocks)
+    batch = pairing.pair(spark.createDataFrame(rows, EVENTS), pairing.timeline(["key"], span=7.0 * second), start, done, clocks)
     want = batch.select("key", "ts_ns", pairing.latency().alias("latency"), pairing.cpu_time().alias("cputime"))
     assert sorted(map(tuple, read(spark, out).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_starts_are_kept_between_batches_and_orphans_go(spark, tmp_path):
+    second = 1_000_000_000
+    at = lambda key, kind, t: (key, kind, t * second, t, t)
+    batches = [[at(1, "start", 100), at(2, "start", 100)], [at(3, "done", 160)], [at(1, "done", 170), at(3, "done", 175)],
+               [at(2, "done", 400)], [at(3, "done", 500)], [at(3, "done", 900)]]
+    for orphan_ms, want in ((None, {(1, 170, 70), (2, 400, 300)}), (120_000, {(1, 170, 70)})):
+        where = tmp_path / str(orphan_ms)
+        stream = stream_of(spark, str(where / "in"), EVENTS, batches)
+        sinks.append_table(pair_stream(stream, ["key"], "10 seconds", orphan_ms), str(where), ONCE).awaitTermination()
+        got = {(r["key"], r["ts_ns"] // second, r["latency"] // second) for r in read(spark, str(where)).collect()}
+        assert got == want
+
+
+def test_slots_come_out_complete_or_in_time(spark, tmp_path):
+    """Slots of 10 s: the settled window is the slot 20 s before."""
+    batches = [
+        [("a", 101, 1.0), ("b", 109, 2.0)],  # nothing is expected: out at once
+        [("a", 111, 3.0)],
+        [("a", 120, 5.0), ("b", 121, 6.0)],
+        [("a", 131, 7.0)],
+        [("b", 138, None), ("b", 103, 50.0)],  # completes 130; 103 is late
+        [("a", 149, 1.0)],
+        [("a", 166, 1.0)],  # 140 is out of time
+    ]
+    out = str(tmp_path / "out")
+    schema = "inst_id string, source string, ts_ms bigint, seq bigint, value double"
+    rows = [[("i", s, t * 1000, n, v) for n, (s, t, v) in enumerate(batch)] for batch in batches]
+    stream = st.with_event_time(stream_of(spark, str(tmp_path / "in"), schema, rows)).withColumn("t", F.floor(F.col("ts_ms") / 1000))
+    sinks.append_table(emitted(stream, 10, 600), out, ONCE).awaitTermination()
+    got = {(r.slot, r.reason): (r.value, r.reporting, r.expected, r.complete) for r in read(spark, out).collect()}
+    assert got[100, "complete"] == (3.0, 2, 0, True) and got[110, "complete"] == (3.0, 1, 0, True)
+    assert got[120, "complete"] == (11.0, 2, 2, True)
+    assert got[100, "late"] == (50.0, 1, None, None)
+    emitted_once = [slot for slot, reason in got if reason != "late"]
+    assert len(emitted_once) == len(set(emitted_once))
+    counts = {100: 2, 110: 1, 120: 2, 130: 2, 140: 1, 160: 1}
+    for (slot, reason), row in got.items():
+        if reason != "late":
+            assert row[2] == counts.get(slot - 20, 0) and row[3] == (row[1] >= row[2]) and (reason == "complete") == row[3]
+    assert got[140, "timeout"][:3] == (1.0, 1, 2)
+
+
 def test_deltas_across_batches(spark, tmp_path):
     schema = "key string, read_no bigint, snaptime bigint, c bigint"
     reads = {"a": [0, 1, 2, 4, 5], "b": [1, 2]}

@@ -10,20 +10,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.slots import interval_scope
 from ..sources.snapshots import capture, load, merged, save
+from .stateful import state_store
 
 MIN_SAVE_SECONDS = 60
 
 
 def append_table(stream: DataFrame, path: str, trigger: dict) -> StreamingQuery:
     """Append-mode results as a parquet table (exactly once)."""
-    return (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{path}/data")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(**trigger)
-        .start()
-    )
+    with state_store(stream.sparkSession):
+        return (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{path}/data")
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(**trigger)
+            .start()
+        )
 
 
 def revised_table(stream: DataFrame, path: str, trigger: dict) -> StreamingQuery:

@@ -9,7 +9,7 @@ from tickloom.sources.snapshots import load
 from tickloom.sources.workdir import new_dir
 from tickloom.streaming import sinks
 from tickloom.streaming import slots as st
-from tickloom.streaming.stateful import delta_stream, pair_stream
+from tickloom.streaming.stateful import delta_stream, emitted, pair_stream
 
 from .base import G, query, with_p
 
@@ -123,24 +123,74 @@ def st04(t):
     return run_append(t, st.first_reports(report_stream(t, "st04-in", F.lit(True)), G, G), "st04")
 
 
-@query("st05_stateful_pairing", with_p("""
-SELECT source, request, ts_ns, ts_ns - start_ts AS latency, vts_ns - start_vts AS cputime FROM (
+EMITTED = """r AS (
+  SELECT optype AS inst_id, slot, source, round(latency * 100) AS cents, t, k = 7 AND t < 1704931200 AS later FROM p),
+told AS (
+  SELECT inst_id, slot, count(DISTINCT source) AS reporting, sum(cents) AS value FROM r WHERE NOT later GROUP BY 1, 2),
+lone AS (
+  SELECT inst_id, slot, count(DISTINCT source) AS reporting, sum(cents) AS value FROM r
+  WHERE later AND (inst_id, slot) NOT IN (SELECT (inst_id, slot) FROM told) GROUP BY 1, 2),
+both_ AS (SELECT * FROM told UNION ALL SELECT * FROM lone),
+judged AS (
+  SELECT c.*, coalesce(o.reporting, 0) AS expected FROM told c LEFT JOIN told o ON o.inst_id = c.inst_id AND o.slot = c.slot - 3600
+  UNION ALL
+  SELECT c.*, coalesce(o.reporting, 0) FROM lone c LEFT JOIN both_ o ON o.inst_id = c.inst_id AND o.slot = c.slot - 3600),
+out_ AS (
+  SELECT *, reporting >= expected AS complete FROM judged
+  WHERE reporting >= expected OR slot + 3605 <= (SELECT max(t) FROM r WHERE r.inst_id = judged.inst_id))"""
+
+
+@query("st03_emitted", with_p("""
+SELECT inst_id, slot, value, reporting, expected, complete, CASE WHEN complete THEN 'complete' ELSE 'timeout' END AS reason FROM out_
+UNION ALL
+SELECT inst_id, slot, sum(cents), count(*), NULL, NULL, 'late' FROM r
+WHERE later AND (inst_id, slot) IN (SELECT (inst_id, slot) FROM told) GROUP BY 1, 2""", EMITTED))
+def st03_emitted(t):
+    """Slots come out once, in three micro-batches; a part of the reports of the first comes with the last."""
+    first, second = F.col("t") < 1704931200, F.col("t") < 1705795200  # eleven and twenty-one days in
+    behind = first & (F.col("k") == 7)
+    stream = report_stream(t, "st03c-in", first & ~behind, ~first & second, ~second | behind)
+    return run_append(t, emitted(stream, G, MONTH), "st03c")
+
+
+SHUFFLED = """SELECT * FROM (
   SELECT source, k % 4 AS request, us * 1000 AS ts_ns, us * 500 AS vts_ns, optype,
          lag(optype) OVER w AS before, lag(us * 1000) OVER w AS start_ts, lag(us * 500) OVER w AS start_vts
   FROM p WHERE optype IN ('view', 'purchase') WINDOW w AS (PARTITION BY source, k % 4 ORDER BY us, event_id))
-WHERE optype = 'purchase' AND before = 'view'"""))
-def st05(t):
-    """Requests per host paired over four micro-batches; starts are kept between them."""
-    rows = t.points.filter(F.col("optype").isin("view", "purchase")).select(
+WHERE optype = 'purchase' AND before = 'view'"""
+
+
+def requests(t):
+    return t.points.filter(F.col("optype").isin("view", "purchase")).select(
         "source", (F.col("k") % 4).alias("request"),
         F.when(F.col("optype") == "view", "start").otherwise("done").alias("kind"),
         (F.col("us") * 1000).alias("ts_ns"), (F.col("us") * 500).alias("vts_ns"), F.col("event_id").alias("seq"),
     )
-    week = 7 * 86400 * 1_000_000_000
-    bounds = [0, *(1704067200 * 1_000_000_000 + i * week for i in (1, 2, 3)), 2**63 - 1]
-    steps = [(F.col("ts_ns") >= a) & (F.col("ts_ns") < b) for a, b in zip(bounds, bounds[1:])]
-    stream = landed(t, rows, "st05-in", ["source", "request"], *steps)
-    return run_append(t, pair_stream(stream, ["source", "request"], "source string, request long"), "st05")
+
+
+@query("st05_stateful_pairing", with_p(f"""
+SELECT source, request, ts_ns, ts_ns - start_ts AS latency, vts_ns - start_vts AS cputime FROM ({SHUFFLED})
+WHERE ts_ns // 1000000 < (SELECT max(us) // 1000 FROM p WHERE optype IN ('view', 'purchase')) - 691200000"""))
+def st05(t):
+    """Requests per host in four micro-batches that each hold rows of two weeks; eight days late is in time.
+
+    Rows of the last eight days are still waiting at the end.
+    """
+    week = F.floor((F.col("ts_ns") / 1_000_000_000 - 1704067200) / (7 * 86400))
+    odd = F.col("seq") % 2 == 1  # every other row comes a week later
+    arrives = F.least(week + odd.cast("int"), F.lit(5))
+    stream = landed(t, requests(t), "st05-in", ["source", "request"], *[arrives == n for n in range(6)])
+    return run_append(t, pair_stream(stream, ["source", "request"], "8 days"), "st05")
+
+
+@query("st05_orphans", with_p(f"""
+SELECT source, request, ts_ns, ts_ns - start_ts AS latency, vts_ns - start_vts AS cputime FROM ({SHUFFLED})
+WHERE ts_ns - start_ts <= 3600000000000
+  AND ts_ns // 1000000 < (SELECT max(us) // 1000 FROM p WHERE optype IN ('view', 'purchase')) - 10000"""))
+def st05_orphans(t):
+    """Starts are forgotten after an hour, without waiting for it."""
+    stream = landed(t, requests(t), "st05b-in", ["source", "request"], F.lit(True))
+    return run_append(t, pair_stream(stream, ["source", "request"], orphan_ms=3_600_000), "st05b")
 
 
 def _counter_sql():
