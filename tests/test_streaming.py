@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import pairing, slots
 from tickloom.operators.aggregate import merge
+from tickloom.sources import snapshots as snap
 from tickloom.sources import tables, wire
 from tickloom.sources.snapshots import capture, load, save
 from tickloom.sources.workdir import SETTING, new_dir, shared_dir
@@ -166,12 +168,67 @@ def test_snapshots_of_a_stream(spark, tmp_path):
     out = str(tmp_path / "out")
     query = sinks.save_snapshots(stream_of(spark, str(tmp_path / "in"), schema, batches), out, 10, ONCE, restore_from=str(tmp_path / "old"))
     query.awaitTermination()
-    final = load(spark, sinks.version(out, query.lastProgress["batchId"]), 10)
+    final = load(spark, out, 10)
     assert {(r["inst_id"], r["slot"]): r["value"] for r in final.slots.collect()} == {("i", 100): 111, ("j", 110): 1}
     assert {r["source"]: r["last_seen"] for r in final.reporting.filter("inst_id = 'i'").collect()} == {"a": 101, "b": 109, "z": 90}
     assert sinks.save_trigger(1) == {"processingTime": "60 seconds"} and sinks.save_trigger(300) == {"processingTime": "300 seconds"}
 
 
+def test_a_batch_writes_what_it_touched_and_a_repeated_one_nothing(spark, tmp_path):
+    schema = "inst_id string, source string, t bigint, slot bigint, value double"
+    rows = [("i", f"s{n % 3}", 1000 + n, 1000 + n - n % 10, float(n)) for n in range(200)]
+    out = str(tmp_path / "out")
+    write = sinks.snapshot_writer(out, 10, parts=4, retention=100)
+    for batch_id in range(6):
+        mine = rows[batch_id * 30 : batch_id * 30 + 30]
+        batch = spark.createDataFrame(mine, schema)
+        write(batch, batch_id)
+        newest = snap.parts_of(spark, out)[-1]
+        if newest.part.startswith("added"):
+            assert spark.read.parquet(f"{out}/parts/{newest.part}/slots").count() == 3
+        before = snap.parts_of(spark, out)
+        write(batch, batch_id)  # as after a restart
+        assert [r.part for r in snap.parts_of(spark, out)] == [r.part for r in before] or before[-1].part.startswith("added")
+    total = {r["slot"]: r["value"] for r in load(spark, out, 10).slots.collect()}
+    want = {}
+    for r in rows[:180]:
+        want[r[3]] = want.get(r[3], 0) + r[4]
+    assert total == {k: v for k, v in want.items() if k in total} and set(total) >= {k for k in want if k >= 1179 - 100}
+    assert min(total) > 1000  # what was too old went with a compaction
+    assert len(snap.parts_of(spark, out)) < 6
+
+
+def test_a_failed_save_leaves_the_last_version(spark, tmp_path):
+    schema = "inst_id string, source string, t bigint, slot bigint, value double"
+    take = lambda *rows: (lambda df: capture(df, slots.interval_scope(df), 10))(spark.createDataFrame(list(rows), schema))
+    path = str(tmp_path / "s")
+    assert save(take(("i", "a", 5, 0, 1.0), ("i", "a", 15, 10, 2.0), ("j", "a", 5, 0, 3.0)), path) == 0
+    broken = take(("i", "b", 25, 20, 9.0))
+    # the slots are written, then the writer is gone
+    broken.slots.write.parquet(f"{path}/parts/saved-lost/slots")
+    held = lambda v=None: {(r["inst_id"], r["slot"]): r["value"] for r in load(spark, path, 10, v).slots.collect()}
+    first = {("i", 0): 1.0, ("i", 10): 2.0, ("j", 0): 3.0}
+    assert held() == first
+    assert save(broken, path) == 1  # no slot of the replaced instrumentation stays behind
+    assert held() == {("i", 20): 9.0, ("j", 0): 3.0} and held(0) == first
+    assert snap.add(take(("i", "c", 26, 20, 1.0), ("k", "c", 6, 0, 4.0)), path) == 2
+    whole = {("i", 20): 10.0, ("j", 0): 3.0, ("k", 0): 4.0}
+    assert held() == whole
+    assert snap.compact(spark, path, 10, keep=1) == 3 and held() == whole
+    kept = {p.name for p in (tmp_path / "s" / "parts").iterdir()}
+    assert {r.part for r in snap.parts_of(spark, path)} <= kept and len(kept) == 2  # the lost one is in no log
+    with pytest.raises(snap.SnapshotError):
+        load(spark, str(tmp_path / "nothing"), 10)
+
+
+def test_revisions_are_summed_up(spark, tmp_path):
+    updates = [[("a", 100 + 10 * (n % 3), 1.0)] for n in range(7)]
+    out = str(tmp_path / "out")
+    sinks.revised_table(st.tumbling(reports(spark, tmp_path, *updates), 10, 600), out, ONCE, ["slot"], parts=3).awaitTermination()
+    assert {r["slot"]: r["value"] for r in sinks.latest(spark, out, ["slot"]).collect()} == {100: 3, 110: 2, 120: 2}
+    assert len([p for p in (tmp_path / "out" / "data").iterdir() if p.name.startswith("batch_id")]) <= 3
+
+
 def test_messages_as_a_stream(spark, tmp_path):
     """JSON messages end to end: read, cleaned, decoded, summed."""
     lines = [
