@@ -53,6 +53,23 @@ def test_pipeline(spark, sf_dir):
     assert bad and dirty and len(docs) > len(kept) + len(bad) + len(dirty)
 
 
+def test_rows_without_an_id_and_rows_that_share_one(spark, sf_dir):
+    """Each row is judged by itself: copies go whatever their ids, and no clean row goes with a bad one."""
+    item = read(spark, sf_dir, "benchmark").first().text
+    good = " ".join(f"word{n}" for n in range(60))
+    other = " ".join(f"other{n}" for n in range(60))
+    kind = read(spark, sf_dir, "documents").schema
+    frame = lambda *rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], kind)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = lambda name, *rows: sorted(((r.doc_id, r.text) for r in stages[name](spark, frame(*rows), sf_dir).collect()), key=str)
+    copies = [(None, good), (None, good), (7, good), (7, good), (9, good + " end"), (7, other), (None, None), (None, ""), (8, None)]
+    left = [(7, good), (7, other), (None, None), (None, ""), (8, None)]
+    assert kept("ngram_jaccard", *copies) == sorted(left, key=str)
+    assert kept("ngram_jaccard", (None, good), (None, good)) == [(None, good)]
+    dirty = [(None, item), (7, item), (7, good), (None, other), (None, None)]
+    assert kept("decontamination", *dirty) == sorted([(7, good), (None, other), (None, None)], key=str)
+
+
 @pytest.mark.parametrize("number", range(4))
 def test_stages_return_documents(spark, sf_dir, number):
     """Odd rows pass through every stage: null ids stay, columns are those of documents."""

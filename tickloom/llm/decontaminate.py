@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tickloom.sources.workdir import new_dir
 
-from .words import ALPHANUMERIC, LOWER, column_bytes, hash_spans, shingles, slices, small_batches, spans
+from .words import ALPHANUMERIC, LOWER, SLICE, column_bytes, hash_spans, shingles, slices, small_batches, spans
 
 WINDOW, SHINGLE = 13, 5
 #: Places of the filter that is sent to all tasks: a fixed size, whatever the benchmark's.
@@ -92,12 +92,12 @@ def _all_shingles(
     return out[0][order], out[1][order], out[2][order]
 
 
-def shingle_counts(docs: DataFrame, bits: np.ndarray, sizes: list[int], text_col: str) -> DataFrame:
+def shingle_counts(docs: DataFrame, bits: np.ndarray, sizes: list[int], text_col: str, most: int = SLICE) -> DataFrame:
     """(hash, n) over all documents, for the shingles that pass the filter; summed within tasks first."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        for batch in (part for whole in batches for part in slices(whole, "text", most)):
             small, starts, ends, firsts = _words(batch, "text")
             found, _, _ = _all_shingles(hash_spans(small, starts, ends), firsts, sizes, shared.value)
             own, n = np.unique(found, return_counts=True)
@@ -108,7 +108,7 @@ def shingle_counts(docs: DataFrame, bits: np.ndarray, sizes: list[int], text_col
 
 
 def hits(
-    docs: DataFrame, bits: np.ndarray, sizes: list[int], window: int, id_col: str, text_col: str
+    docs: DataFrame, bits: np.ndarray, sizes: list[int], window: int, id_col: str, text_col: str, most: int = SLICE
 ) -> DataFrame:
     """(doc_id, n_words, hits) of each row; a hit is a shingle that passes the filter, with the words around it.
 
@@ -121,7 +121,7 @@ def hits(
     )
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        for batch in (part for whole in batches for part in slices(whole, "text", most)):
             small, starts, ends, firsts = _words(batch, "text")
             found, doc, at = _all_shingles(hash_spans(small, starts, ends), firsts, sizes, shared.value)
             counts = np.diff(firsts)
@@ -153,6 +153,7 @@ def contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     share: int = 20,
+    most: int = SLICE,
 ) -> DataFrame:
     """One row per document row: its words, the words inside benchmark windows, the items, and the verdict.
 
@@ -161,7 +162,8 @@ def contamination(
     empty item has no windows; items with a null id count as one item without a
     name (it marks words but isn't listed); repeated rows each get their result;
     equal windows of several items are looked for once. Other columns are left
-    out, whatever their names. Without items all documents are clean.
+    out, whatever their names. Without items all documents are clean. About
+    ``most`` bytes of text are worked on at once.
     """
     cut = windows_of(items, window, shingle, item_id, item_text)
     small_batches(docs.sparkSession)
@@ -169,7 +171,7 @@ def contamination(
     longest = F.least(F.size("words"), F.lit(shingle)).alias("size")
     sizes = sorted(r["size"] for r in cut.select(longest).distinct().collect()) or [shingle]
     bits = bitmap(cut.select(F.explode("shingles").alias("hash")), "hash")
-    counts = shingle_counts(docs, bits, sizes, text_col)
+    counts = shingle_counts(docs, bits, sizes, text_col, most)
     # each distinct window by its rarest shingle; of equally rare ones the first
     distinct = cut.groupBy("words").agg(F.first("shingles").alias("shingles"))
     places = distinct.select("words", F.posexplode("shingles").alias("offset", "hash"))
@@ -182,7 +184,7 @@ def contamination(
         .select("words", F.col("rarest.offset").alias("offset"), F.col("rarest.hash").alias("hash"))
     )
     prefixes = _written(prefixes, f"{folder}/prefixes")
-    found = hits(docs, bitmap(prefixes, "hash"), sizes, window, id_col, text_col)
+    found = hits(docs, bitmap(prefixes, "hash"), sizes, window, id_col, text_col, most)
     # written with a number for each row, so that the texts are read once and the numbers can't change
     found = _written(found.withColumn("row", F.monotonically_increasing_id()), f"{folder}/hits")
     candidates = found.select("row", F.explode("hits").alias("hit")).select("row", "hit.*").join(prefixes, "hash")

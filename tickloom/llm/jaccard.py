@@ -43,6 +43,8 @@ NEED_OVERLAP, NEED_SIZES = 7, 3
 LEAST_LONG, MOST_LONG = 24, 1 << 20
 #: Members of a long list are dealt into blocks of about this many.
 BLOCK = 1024
+#: Shingles counted at once, and bytes of text that are worked on at once.
+STRETCH, PART = 1 << 20, 1 << 21
 
 
 def _written(rows: DataFrame, path: str) -> DataFrame:
@@ -72,7 +74,7 @@ def identity(own: np.ndarray) -> tuple[np.int64, np.int64]:
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, a, b) of each document and (token, count) of the shingles that repeat within a task.
 
-    Counted are stretches of about 4 million shingles of a task, and what occurs
+    Counted are stretches of about a million shingles of a task, and what occurs
     once in a stretch is left out, which most shingles do. So the sums fall a
     little short of the lists' lengths; any order serves that all documents share.
     """
@@ -99,12 +101,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray] = []
         held, kind_ = 0, None
-        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 22)):
+        for batch in (part for whole in batches for part in slices(whole, "text", PART)):
             own = list(sets_of(batch.column("text"), size))
             seen += own
             held += sum(map(len, own))
             found = (np.zeros(0, np.int64),) * 2
-            if held > 4_000_000:
+            if held > STRETCH:
                 found, seen, held = frequent(seen), [], 0
             kind_ = batch.column("doc_id").type
             yield said(batch.column("doc_id"), [(len(s), *identity(s)) for s in own], *found)
@@ -132,7 +134,7 @@ def short_lists(docs: DataFrame, size: int, tokens: np.ndarray, counts: np.ndarr
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         long, length = shared.value
         met: set[tuple] = set()
-        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 22)):
+        for batch in (part for whole in batches for part in slices(whole, "text", PART)):
             rows, chosen, lists_, places = [], [], [], []
             for row, own in enumerate(sets_of(batch.column("text"), size)):
                 who = (len(own), *identity(own))
@@ -202,7 +204,12 @@ def divide_skip(query: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def merged(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+def short_of(lists: DataFrame) -> DataFrame:
+    """(doc_id, tokens): the short lists that each document is on, at most a quarter of its shingles."""
+    return lists.groupBy("doc_id").agg(F.collect_set("token").alias("tokens"))
+
+
+def merged(pairs: DataFrame, short: DataFrame) -> DataFrame:
     """The pairs (a, b, a_n, b_n) that meet on enough short lists.
 
     The short lists of both are those of the first shingles in the common order.
@@ -211,15 +218,15 @@ def merged(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     left. So a pair that meets on fewer than its needed overlap less T - 1, the
     number of lists that need not be merged, isn't similar enough.
     """
-    left = lists.select(F.col("doc_id").alias("a"), "token")
-    right = lists.select(F.col("doc_id").alias("b"), "token")
-    met = pairs.join(left, "a").join(right, ["b", "token"]).groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("met"))
+    left = short.select(F.col("doc_id").alias("a"), F.col("tokens").alias("left"))
+    right = short.select(F.col("doc_id").alias("b"), F.col("tokens").alias("right"))
+    met = pairs.join(left, "a").join(right, "b").withColumn("met", F.size(F.array_intersect("left", "right")))
     need = F.ceil((F.col("a_n") + F.col("b_n")) * NEED_SIZES / NEED_OVERLAP)
     unmerged = F.greatest(F.ceil(F.col("a_n") * 3 / 4), F.ceil(F.col("b_n") * 3 / 4)) - 1
-    return met.filter(F.col("met") >= need - unmerged).select("a", "b")
+    return met.filter(F.col("met") >= F.greatest(need - unmerged, F.lit(1))).select("a", "b")
 
 
-def links(pairs: DataFrame, lists: DataFrame, docs: DataFrame, size: int, folder: str) -> DataFrame:
+def links(pairs: DataFrame, short: DataFrame, docs: DataFrame, size: int, folder: str) -> DataFrame:
     """The pairs (a, b) that are similar enough, of candidates (a, b, a_n, b_n).
 
     Pairs of one ``a`` come in a row and are searched as a block. Sets are made
@@ -227,7 +234,7 @@ def links(pairs: DataFrame, lists: DataFrame, docs: DataFrame, size: int, folder
     documents' sets would be larger than their texts.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    candidates = _written(merged(pairs, lists), f"{folder}/candidates")
+    candidates = _written(merged(pairs, short), f"{folder}/candidates")
     ids = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
     ids = _written(ids, f"{folder}/ids")
     packed = lambda t: [pa.array([s.tobytes() for s in sets_of(t, size)], pa.binary())]
@@ -380,7 +387,8 @@ def join(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col:
         F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"),
     ).dropDuplicates(["token", "doc_id"])
     lists = _written(lists, f"{folder}/lists")
-    pairs = links(_dealt_pairs(lists), lists, texts, size, f"{folder}/links")
+    tokens_of = _written(short_of(lists), f"{folder}/short")
+    pairs = links(_dealt_pairs(lists), tokens_of, texts, size, f"{folder}/links")
     return Join(pairs, members, classes.select("class_id", "rep"), folder)
 
 
@@ -434,6 +442,7 @@ def components(
         F.struct(F.col("hub.doc_id").alias("doc_id"), n(F.col("hub.place")).alias("n")).alias("hub"),
     )
     lists = _written(lists, f"{folder}/lists")
+    tokens_of = _written(short_of(lists), f"{folder}/short")
 
     # the first round: each member with the hub of its block, and these with the list's
     split = lists.filter("split")
@@ -441,7 +450,7 @@ def components(
     hubs = split.select("token", "hub").distinct().join(tops, "token")
     hubs = hubs.select(F.col("hub.doc_id").alias("doc_id"), F.col("hub.n").alias("n"), F.col("top").alias("hub"))
     pairs = _hub_pairs(lists.select("doc_id", "n", "hub").unionByName(hubs))
-    found = links(pairs, lists, docs, size, f"{folder}/0")
+    found = links(pairs, tokens_of, docs, size, f"{folder}/0")
     roots = _roots(found, copies, f"{folder}/0/components")
     for number in range(1, hub_rounds + 1):
         rest = _written(_open_lists(lists, copies, roots), f"{folder}/{number}/open")
@@ -454,7 +463,7 @@ def components(
             pairs = _hub_pairs(rest.join(chosen, "token").filter("label <> hub.label"))
         else:
             pairs = _remaining_pairs(rest)
-        more = links(pairs, lists, docs, size, f"{folder}/{number}")
+        more = links(pairs, tokens_of, docs, size, f"{folder}/{number}")
         if more.isEmpty():
             continue
         found = found.unionByName(more)

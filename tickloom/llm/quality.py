@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from .sample import Adam, fit_in_one_task, labelled_sample, run_firsts, sigmoid, sum_by
-from .words import BLANK_SEPARATED, LOWER, append_columns, column_bytes, hash_spans, spans
+from .words import BLANK_SEPARATED, LOWER, SLICE, append_columns, column_bytes, hash_spans, spans
 
 PASSAGE = 64
 HIDDEN, GATE = 16, 8
@@ -158,7 +158,11 @@ def train(
 
 
 def score(
-    docs: DataFrame, model: dict[str, np.ndarray], kept: Sequence[str] = ("doc_id",), text_col: str = "text"
+    docs: DataFrame,
+    model: dict[str, np.ndarray],
+    kept: Sequence[str] = ("doc_id",),
+    text_col: str = "text",
+    most: int = SLICE,
 ) -> DataFrame:
     """The columns ``kept`` of each row with ``score`` (chance of good quality), the number of passages and
     the one that weighed most.
@@ -166,6 +170,7 @@ def score(
     Whole texts are scored. A null or empty text, or one without words, is a
     document with one empty passage; repeated rows and null ids stay; kept
     columns called like the added ones are replaced. The model has a fixed size.
+    About ``most`` bytes of text are worked on at once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -177,4 +182,4 @@ def score(
         top = np.lexsort((np.arange(len(x)), -f["attention"], f["bag"]))[firsts[:-1]]
         return [pa.array(f["p"]), pa.array(np.diff(firsts)), pa.array(top - firsts[:-1])]
 
-    return append_columns(docs, text_col, kept, scored, "score double;n_passages long;top_passage long")
+    return append_columns(docs, text_col, kept, scored, "score double;n_passages long;top_passage long", most)

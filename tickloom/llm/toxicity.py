@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from .sample import Adam, fit_in_one_task, labelled_sample, run_firsts, sigmoid, sum_by
-from .words import ALPHANUMERIC, LOWER, append_columns, column_bytes, hash_spans, spans
+from .words import ALPHANUMERIC, LOWER, SLICE, append_columns, column_bytes, hash_spans, spans
 
 BITS = 18
 #: A word counts by itself and by its first bytes, which stand for its stem.
@@ -111,6 +111,7 @@ def score(
     kept: Sequence[str] = ("doc_id",),
     text_col: str = "text",
     bound: float = 0.5,
+    most: int = SLICE,
 ) -> DataFrame:
     """The columns ``kept`` of each row with ``score`` and ``offending``, the sentences whose own chance
     reaches ``bound`` (first and last byte within the UTF-8 text, chance).
@@ -118,6 +119,7 @@ def score(
     Whole texts are scored. Null and empty texts and texts without words have
     score 0 and offend nowhere; repeated rows and null ids stay; kept columns
     called ``score`` or ``offending`` are replaced. The model has a fixed size.
+    About ``most`` bytes of text are worked on at once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     spot = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
@@ -133,4 +135,4 @@ def score(
         return [pa.array(-np.expm1(-noisy_or(z, firsts))), pa.ListArray.from_arrays(pa.array(offsets), spots)]
 
     added = "score double;offending array<struct<start:long,end:long,score:double>>"
-    return append_columns(docs, text_col, kept, scored, added)
+    return append_columns(docs, text_col, kept, scored, added, most)

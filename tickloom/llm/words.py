@@ -76,7 +76,11 @@ def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+#: Bytes of text that are worked on at once; temporary arrays take some twenty times as much.
+SLICE = 1 << 23
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each (one row at least)."""
     column_at = batch.schema.get_field_index(column)
     _, offsets = column_bytes(batch.column(column_at))
@@ -174,7 +178,12 @@ def word_hashes(texts: pa.Array, in_word: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def append_columns(
-    docs: DataFrame, text_col: str, kept: Sequence[str], describe: Callable[[pa.Array], list[pa.Array]], added: str
+    docs: DataFrame,
+    text_col: str,
+    kept: Sequence[str],
+    describe: Callable[[pa.Array], list[pa.Array]],
+    added: str,
+    most: int = SLICE,
 ) -> DataFrame:
     """The columns ``kept`` and those that ``describe`` makes of the texts; ``added`` is their schema.
 
@@ -191,7 +200,7 @@ def append_columns(
     schema = ", ".join([*(f"{n} {kinds[n]}" for n in names), *added.split(";")])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, "text")):
+        for batch in (part for whole in batches for part in slices(whole, "text", most)):
             columns = [*(batch.column(n) for n in names), *describe(batch.column("text"))]
             yield pa.record_batch(columns, names=[*names, *new])
 
