@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import io
 import random
+import time
 
+import pytest
 import zstandard
 
 from tickloom.llm import warc
@@ -69,3 +72,32 @@ def test_few_records_have_a_dictionary_too():
         made = warc.dictionary(samples)
         data = zstandard.ZstdCompressor(dict_data=made).compress(b"text")
         assert zstandard.ZstdDecompressor(dict_data=made).decompress(data) == b"text"
+
+
+def archive_of(records):
+    made = warc.dictionary(records[:2000])
+    content = made.as_bytes()
+    compressor = zstandard.ZstdCompressor(level=3, dict_data=made, write_content_size=True)
+    head = warc.SKIPPABLE.to_bytes(4, "little") + len(content).to_bytes(4, "little")
+    return head + content + b"".join(map(compressor.compress, records))
+
+
+def test_many_small_records_are_read_in_linear_time():
+    records = [b"WARC/1.1\r\nnumber: %d\r\n\r\n" % n + random.Random(n).randbytes(n % 300) for n in range(50_000)]
+    data = archive_of(records)
+    begin = time.perf_counter()
+    assert list(warc.read_archive(data)) == records
+    assert time.perf_counter() - begin < 15
+
+
+def test_reading_in_dribs_and_drabs(monkeypatch):
+    records = [b"x", b"", b"a long one " * 50_000, random.Random(1).randbytes(300_000), b"end"]
+    data = archive_of(records)
+    for stretch, first in ((1, 1), (7, 4096), (1 << 20, 3), (5000, 64)):
+        monkeypatch.setattr(warc, "STRETCH", stretch)
+        monkeypatch.setattr(warc, "FIRST_PIECE", first)
+        assert list(warc.read_archive(io.BytesIO(data))) == records
+    with pytest.raises(ValueError):
+        list(warc.read_archive(data[:-3]))
+    with pytest.raises(ValueError):
+        list(warc.read_archive(data + b"rubbish"))

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -28,6 +30,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 ARCHIVE_BYTES = 32 << 20
+#: An archive is read in stretches; a frame is decompressed from pieces that grow from this size.
+STRETCH, FIRST_PIECE = 1 << 20, 1 << 12
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 16 << 10
 URN = "urn:page:"
 
@@ -130,21 +134,45 @@ class Writer:
         return self.done
 
 
-def read_archive(data: bytes) -> Iterator[bytes]:
-    """The records of an archive: its dictionary first, then frame by frame."""
-    magic, size = struct.unpack_from("<II", data)
+def read_archive(archive: BinaryIO | bytes) -> Iterator[bytes]:
+    """The records of an archive: its dictionary first, then frame by frame.
+
+    No more is held than a stretch of the archive and the record at hand. A
+    frame is handed over in growing pieces, so that what lies behind it is small
+    as well and reading takes time in proportion to the archive.
+    """
+    source = io.BytesIO(archive) if isinstance(archive, bytes) else archive
+    magic, size = struct.unpack("<II", source.read(8))
     if magic != SKIPPABLE:
         raise ValueError("no dictionary frame")
-    content, rest = data[8 : 8 + size], memoryview(data)[8 + size :]
+    content = source.read(size)
     trained = content[:4] == b"\x37\xa4\x30\xec"
     kind = zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=kind))
-    while len(rest):
-        if bytes(rest[:4]) != ZSTD_MAGIC:
+    held, at = b"", 0
+    while True:
+        while len(held) - at < len(ZSTD_MAGIC) and (more := source.read(STRETCH)):
+            held, at = held[at:] + more, 0
+        if at == len(held):
+            return
+        if held[at : at + len(ZSTD_MAGIC)] != ZSTD_MAGIC:
             raise ValueError("not a Zstandard frame")
-        frame = reader.decompressobj()
-        yield frame.decompress(rest)
-        rest = rest[len(rest) - len(frame.unused_data) :]
+        frame, out, step = reader.decompressobj(), [], FIRST_PIECE
+        while not frame.eof:
+            if at == len(held):
+                held, at = source.read(STRETCH), 0
+                if not held:
+                    raise ValueError("the last frame is cut off")
+            piece = held[at : at + step]
+            out.append(frame.decompress(piece))
+            at += len(piece) - len(frame.unused_data)
+            step *= 2
+        yield b"".join(out)
+
+
+def records_of(files: fs.FileSystem, path: str) -> Iterator[bytes]:
+    with files.open_input_stream(path, compression=None) as source:
+        yield from read_archive(source)
 
 
 def originals(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -218,9 +246,7 @@ def read_archives(listed: DataFrame, folder: str) -> DataFrame:
 
         for path in (p for b in batches for p in b.column("path").to_pylist()):
             rows, held = [], 0
-            with files.open_input_file(path) as f:
-                data = f.read()
-            for fields, block in map(parse, read_archive(data)):
+            for fields, block in map(parse, records_of(files, path)):
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 html = None
                 if fields["WARC-Type"] == "response":
