@@ -108,11 +108,12 @@ def test_profile_files(spark, tmp_path):
     twice = {"name": "twice", "label": "Twice", "metrics": [{"module": "m", "stat": "s", "fields": ["f", "f"]}]}
     empty = {"name": "empty", "label": "Empty", "metrics": []}
     unlabelled = {"name": "plain", "metrics": [{"module": "m", "stat": "s", "fields": ["f"]}]}
-    for i, doc in enumerate((good, twice, empty, unlabelled)):
+    again = {"name": "again", "label": "Again", "metrics": [{"module": "m", "stat": "s", "fields": [f]} for f in "fg"]}
+    for i, doc in enumerate((good, twice, empty, unlabelled, again)):
         (tmp_path / f"p{i}.json").write_text(json.dumps(doc))
     profiles = src.profiles(spark, str(tmp_path))
     problems = {tuple(r) for r in c.profile_violations(profiles).collect()}
-    assert problems == {("twice", "duplicate field"), ("empty", "no metrics"), ("plain", "no label")}
+    assert problems == {("twice", "duplicate field"), ("empty", "no metrics"), ("plain", "no label"), ("again", "duplicate base metric")}
     with pytest.raises(ValueError):
         c.require_valid_profiles(profiles)
     assert c.require_valid_profiles(profiles.filter("name = 'customer'")).count() == 2

@@ -213,9 +213,15 @@ def visible(metric_set: DataFrame, profiles: DataFrame, name: str) -> DataFrame:
 
 
 def profile_violations(profiles: DataFrame) -> DataFrame:
-    """``(name, problem)``; ``profiles``: ``name, label, module, stat, field``."""
+    """``(name, problem)``; ``profiles``: ``name, label, module, stat, field``.
+
+    With ``place``, the number of the metric in its profile, a metric that is
+    listed at several places is a problem as well, and a field is duplicate only
+    within one of them.
+    """
     listed = F.col("module").isNotNull() & F.col("stat").isNotNull()
-    counted = profiles.groupBy("name", "label", *METRIC, "field").count()
+    place = ["place"] if "place" in profiles.columns else []
+    counted = profiles.groupBy("name", "label", *METRIC, *place, "field").count()
     per_profile = profiles.groupBy("name").agg(
         F.count(F.when(listed, 1)).alias("metrics"), F.count("label").alias("labels")
     )
@@ -231,10 +237,17 @@ def profile_violations(profiles: DataFrame) -> DataFrame:
         .unionByName(
             per_profile.filter(F.col("name").isNull()).select("name", F.lit("no name").alias("problem"))
         )
+        .unionByName(_listed_twice(profiles.filter(listed)))
         .distinct()
     )
 
 
+def _listed_twice(profiles: DataFrame) -> DataFrame:
+    places = F.count_distinct("place") if "place" in profiles.columns else F.lit(1)
+    often = profiles.groupBy("name", *METRIC).agg(places.alias("places")).filter(F.col("places") > 1)
+    return often.select("name", F.lit("duplicate base metric").alias("problem"))
+
+
 def require_valid_profiles(profiles: DataFrame) -> DataFrame:
     """``profiles``, or an error that names up to ten problems."""
     problems = profile_violations(profiles).limit(10).collect()

@@ -179,9 +179,10 @@ def not_from_future(reports: DataFrame, now: int | Column, time: str = "t") -> D
     return reports.filter(F.col(time) - LEAD <= now)
 
 
-def retain(slots: DataFrame, now: int | Column, retention: int) -> DataFrame:
+def retain(slots: DataFrame, now: int | Column, retention: int, slot: Column | None = None) -> DataFrame:
     """Drop slots older than ``retention`` seconds; 0 keeps everything."""
-    return slots if not retention else slots.filter(F.col("slot") >= now - retention)
+    slot = F.col("slot") if slot is None else slot
+    return slots if not retention else slots.filter(slot >= now - retention)
 
 
 def on_sampling_grid(reports: DataFrame, g: int, time: str = "t") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.buckets import Bucketizer
 from ..operators import predicates
 from ..operators.aggregate import decompose
-from ..operators.slots import MAX_SLOTS, SLOWEST, accumulate, down
+from ..operators.slots import MAX_SLOTS, SLOWEST, accumulate, down, not_from_future, on_sampling_grid, retain
 
 # --- fixed values: defaults and limits of an instrumentation --------------------
 DEFAULT_RETENTION = 600
@@ -127,13 +127,24 @@ def collection_granularity(granularity: int) -> int:
     return min(granularity, SLOWEST)
 
 
-def instrument(source: DataFrame, metric: Metric, spec: Instrumentation, by: Sequence[str] = ()) -> DataFrame:
+def instrument(
+    source: DataFrame,
+    metric: Metric,
+    spec: Instrumentation,
+    by: Sequence[str] = (),
+    now: int | Column | None = None,
+    on_grid: bool = False,
+) -> DataFrame:
     """Long-form slots ``by..., slot, [key], [lo, hi], value`` of a spec.
 
     ``by`` keeps further point columns, e.g. the reporting source.  Metrics of
     point scope are summed per source and second first (map-side combining) and
     give the first report of each source and slot; a report in which the
     predicate leaves nothing isn't seen.
+
+    With ``now`` points from further ahead than a clock may be are dropped, and
+    slots older than the spec's retention (0 keeps all).  ``on_grid`` keeps the
+    points of the seconds at which a source is due.
     """
     spec.validate(metric.arities)
     pred = spec.predicate
@@ -145,6 +156,10 @@ def instrument(source: DataFrame, metric: Metric, spec: Instrumentation, by: Seq
     early = predicates.part_on(pred, [n for n, column in metric.early.items() if column in source.columns])
     source = predicates.apply(source, predicates.substitute(early, metric.early))
     points = predicates.apply(metric.points(source, fields), pred)
+    if on_grid:
+        points = on_sampling_grid(points, spec.granularity)
+    if now is not None:
+        points = retain(not_from_future(points, now), now, spec.retention, down(F.col("t"), spec.granularity))
     key = rng = None
     for name in ordered_decomposition(spec, metric.arities):
         definition = metric.fields[name]

@@ -166,7 +166,7 @@ def metric_fields(metrics: DataFrame) -> DataFrame:
 
 
 def profiles(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """``name, label, module, stat, field`` of the profile files."""
+    """``name, label, place, module, stat, field`` of the profile files; ``place`` numbers a profile's metrics."""
     docs = spark.read.schema(PROFILE_SCHEMA).json(path, multiLine=multiline, recursiveFileLookup=True)
-    listed = docs.select("name", "label", F.inline_outer("metrics"))
-    return listed.select("name", "label", "module", "stat", F.explode_outer("fields").alias("field"))
+    listed = docs.select("name", "label", F.posexplode_outer("metrics").alias("place", "metric"))
+    return listed.select("name", "label", "place", "metric.module", "metric.stat", F.explode_outer("metric.fields").alias("field"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tickloom.functions.buckets import linear, log_linear
@@ -238,6 +240,17 @@ def a15(t):
     return instrument(t.points, EVENTS, FLAGSHIP)
 
 
+NOW = 1705276800  # mid January
+
+
+@query("a15_instrument_live", with_p(f"""
+SELECT slot, optype AS key, {LL_LO} AS lo, max({LL_HI}) AS hi, CAST(count(*) AS DOUBLE) AS value
+FROM p WHERE latency >= 5 AND optype <> 'error' AND t - 10 <= {NOW} AND slot >= {NOW} - 432000 AND t % 5 = 0 GROUP BY 1, 2, 3"""))
+def a15_live(t):
+    """The same as of a moment: nothing from ahead of it, five days kept, on the seconds of collection."""
+    return instrument(t.points, EVENTS, replace(FLAGSHIP, retention=432_000), now=NOW, on_grid=True)
+
+
 @query("a15_instrument_zones", with_p("""
 SELECT slot, source AS key, CAST(count(*) AS DOUBLE) AS value FROM p
 WHERE zonename IN ('zone3', 'zone14') AND k >= 30 GROUP BY 1, 2"""))

@@ -191,13 +191,13 @@ PROFILES = """prof AS (
          'f' || (c_nationkey % 12) AS field FROM customer)"""
 
 
-def profile_table(t):
+def profile_table(t, *more):
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
     pick = lambda i, *xs: F.get(F.array(*(F.lit(x) for x in xs)), i.cast("int"))
     return t.customer.select(
         pick(key % 3, "customer", "operator", "audit").alias("name"), F.col("c_mktsegment").alias("label"),
         pick(nation % 5, "view", "click", "purchase", "signup", "error").alias("module"),
-        F.concat(F.lit("s"), key % 4).alias("stat"), F.concat(F.lit("f"), nation % 12).alias("field"),
+        F.concat(F.lit("s"), key % 4).alias("stat"), F.concat(F.lit("f"), nation % 12).alias("field"), *more,
     )
 
 
@@ -217,6 +217,15 @@ def c09(t):
     return c.profile_violations(profile_table(t))
 
 
+@query("c09_duplicate_metrics", "WITH " + PROFILES.replace(" FROM customer", ", c_custkey // 60 AS place FROM customer") + """
+SELECT name, 'duplicate field' AS problem FROM prof GROUP BY name, label, module, stat, place, field HAVING count(*) > 1
+UNION
+SELECT name, 'duplicate base metric' FROM prof GROUP BY name, module, stat HAVING count(DISTINCT place) > 1""")
+def c09_metrics(t):
+    """Profiles that list a metric at several places."""
+    return c.profile_violations(profile_table(t, F.floor(F.col("c_custkey") / 60).alias("place")))
+
+
 @query("c10_zones_by_host", """
 SELECT c_mktsegment AS owner_uuid, n_name AS hostname, string_agg('zone' || c_custkey, ',' ORDER BY 'zone' || c_custkey) AS zones
 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 0 GROUP BY 1, 2""")
