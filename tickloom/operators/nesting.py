@@ -38,10 +38,6 @@ def _rows(batch: pa.RecordBatch, columns) -> Iterator[tuple]:
     return zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
 
 
-def _take(key: tuple, names: list[str], schema: pa.Schema) -> dict[str, pa.Array]:
-    return {n: pa.array([k], schema.field(n).type) for n, k in zip(names, key, strict=True)}
-
-
 def slice_functions(rows: DataFrame, line: Timeline) -> DataFrame:
     """Each slice's function: keys, slice, ``__pass`` with an entry per state it may begin in.
 
@@ -58,29 +54,36 @@ def slice_functions(rows: DataFrame, line: Timeline) -> DataFrame:
     schema = T.StructType([*_kinds(rows, place), T.StructField(PASS, T.ArrayType(entry))])
 
     def backwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, idle, ends, known = None, None, {}, None
+        here, idle, ends, finished, known = None, None, {}, [], None
 
-        def done() -> pa.RecordBatch:
+        def finish() -> None:
             entries = [(None, idle), *ends.items()]
-            listed = [{"from": d, "depth": s and s[0], "gathered": s and s[1]} for d, s in entries]
-            kind = pa.list_(pa.struct([("from", pa.int64()), ("depth", pa.int64()), ("gathered", known.field(GATHERED).type)]))
-            columns = _take(here, place, known)
-            return pa.record_batch([*columns.values(), pa.array([listed], kind)], names=[*place, PASS])
+            finished.append((*here, [{"from": d, "depth": s and s[0], "gathered": s and s[1]} for d, s in entries]))
+
+        def packed() -> pa.RecordBatch:
+            entry = pa.struct([("from", pa.int64()), ("depth", pa.int64()), ("gathered", known.field(GATHERED).type)])
+            kinds = [*(known.field(c).type for c in place), pa.list_(entry)]
+            columns = [pa.array(c, k) for c, k in zip(zip(*finished, strict=True), kinds, strict=True)]
+            return pa.record_batch(columns, names=[*place, PASS])
 
         for batch in batches:
             known = batch.schema
             for *where, enters, depth, value in _rows(batch, [*place, ENTER, DEPTH, GATHERED]):
                 if tuple(where) != here:
                     if here is not None:
-                        yield done()
+                        finish()
                     here, idle, ends = tuple(where), None, {}
                 if enters:
                     # a call begun here ends where one of its depth would, or goes on
                     idle = ends.get(depth, (depth, value))
                 else:
                     ends[depth] = idle
+            if finished:
+                yield packed()
+                finished = []
         if here is not None:
-            yield done()
+            finish()
+            yield packed()
 
     order = [F.desc(c) for c in line.order]
     slim = rows.select(*place, *line.order, ENTER, DEPTH, GATHERED)
