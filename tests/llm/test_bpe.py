@@ -38,14 +38,56 @@ def test_chunks_give_the_ids_of_the_whole_text(spark, chunk, overlap):
 
 def test_cuts_fall_where_the_neighbours_agree():
     text = "ab cd ef gh ij kl mn op qr st uv wx yz " * 20
-    starts = list(range(0, len(text), 50))
+    starts = list(range(0, len(text) - 30, 50))
     chunks = [text[s : s + 80] for s in starts]
-    heads, tails = zip(*[bpe.borders(c, s, 50, PATTERN) for s, c in zip(starts, chunks, strict=True)], strict=True)
+    heads, tails = zip(*[bpe.borders(c, s, 50, 30, PATTERN) for s, c in zip(starts, chunks, strict=True)], strict=True)
     parts = bpe.stitch(starts, list(map(len, chunks)), heads, tails, 50)
     assert "".join(text[low:high] for _, low, high, _ in parts) == text
-    assert len({p for *_, p in parts}) > 10
-    firsts = {piece: low for _, low, _, piece in reversed(parts)}
-    assert set(firsts.values()) <= set(bpe.boundaries(text, PATTERN).tolist())
+    assert len(parts) == len(starts) and not any(apart for *_, apart in parts)
+    assert {low for _, low, *_ in parts} <= set(bpe.boundaries(text, PATTERN).tolist())
+
+
+def cut(text, chunk, overlap):
+    """Pieces of a text as (low, piece), and how many chunks were taken for out of step."""
+    starts = list(range(0, max(len(text) - overlap, 1), chunk))
+    chunks = [text[s : s + chunk + overlap] for s in starts]
+    heads, tails = zip(*[bpe.borders(c, s, chunk, overlap, PATTERN) for s, c in zip(starts, chunks, strict=True)], strict=True)
+    parts = bpe.stitch(starts, list(map(len, chunks)), heads, tails, chunk)
+    apart = [(0, s, low, *rest) for (s, low, _, a), *rest in zip(parts, chunks, heads, tails, strict=True) if a]
+    whole = [(low, text[low:high]) for _, low, high, a in parts if not a]
+    return whole + [(low, piece) for _, low, piece in bpe.rejoin(iter(apart), chunk, PATTERN)], len(apart)
+
+
+@pytest.mark.parametrize("run", ["x" * 10_000, "7" * 10_000, " " * 10_000, "\n" * 9_999, "'" * 10_000, "é" * 10_001])
+def test_a_long_run_is_joined_and_the_cuts_go_on_behind_it(run):
+    prose = "".join(random.Random(5).choices(["some ", "words ", "it's ", "42 ", "\n", "é, "], k=20_000))
+    text = prose[:3001] + run + prose + run + prose
+    pieces, apart = cut(text, 2048, 128)
+    assert apart > 40
+    assert "".join(p for _, p in pieces) == text
+    assert [low for low, _ in pieces] == np.cumsum([0, *[len(p) for _, p in pieces[:-1]]]).tolist()
+    assert b"".join(plain(p) for _, p in pieces) == plain(text)
+    # nothing but a run that can't be cut is longer than a few chunks, and behind it the pieces are chunks again
+    long = [p for _, p in pieces if len(p) > 3 * 2048]
+    assert len(long) <= 2 and all(run in p for p in long)
+    assert len(pieces) > len(text) / (3 * 2048) - 2 * len(run) / 2048
+
+
+def test_drawn_texts_of_runs():
+    draw = random.Random(11)
+    for _ in range(150):
+        runs = ["a", "7", " ", "\n", "'", "é", "!", "\t", "a b", "'s ", " \n"]
+        text = "".join(draw.choice(runs) * draw.choice([1, 2, 3, 5, 50, 400]) for _ in range(draw.randint(1, 40)))
+        pieces, _ = cut(text, draw.choice([32, 64, 99, 300]), draw.choice([4, 8, 31]))
+        assert "".join(p for _, p in pieces) == text
+        assert b"".join(plain(p) for _, p in pieces) == plain(text)
+
+
+def test_a_run_in_a_table(spark):
+    prose = "some words, it's 42\n" * 3000
+    rows = [(1, prose + "x" * 40_000 + prose), (2, prose), (3, "7" * 50_000 + prose), (3, "7" * 50_000 + prose)]
+    found = bpe.encode_texts(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, PATTERN)
+    assert sorted((r.doc_id, bytes(r.ids)) for r in found.collect()) == sorted((i, plain(t)) for i, t in rows)
 
 
 def test_empty_table(spark):

@@ -5,6 +5,10 @@ itself, wherever its cut fell. Where two neighbours agree on the start of a
 pre-token in their overlap, they have fallen into step: from there on both see
 what a pass over the whole text sees. The text is cut anew at these points and
 the pieces, which lie within a chunk each, are encoded side by side.
+
+Two neighbours that share no such start are joined and pre-tokenised together,
+with more chunks if need be, until they fall into step with the next one; behind
+that the cuts are the usual ones again.
 """
 
 from __future__ import annotations
@@ -52,7 +56,7 @@ def boundaries(text: str, pattern: str) -> np.ndarray:
     return np.fromiter((m.start() for m in regex.finditer(pattern, text)), np.int64)
 
 
-def borders(text: str, start: int, chunk: int, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+def borders(text: str, start: int, chunk: int, overlap: int, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """Starts of pre-tokens in the overlap with the chunk before and in that with the one behind.
 
     They are numbered by characters of the whole text. Not counted are the last
@@ -62,32 +66,74 @@ def borders(text: str, start: int, chunk: int, pattern: str) -> tuple[np.ndarray
     """
     found = boundaries(text, pattern)
     tails = found[(found > chunk) & (found < len(text) - 2)] + start
-    heads = [p for p in found[(found > 0) & (found < len(text) - chunk)].tolist() if not text[p - 1].isspace()]
+    heads = [p for p in found[(found > 0) & (found < overlap)].tolist() if not text[p - 1].isspace()]
     return np.array(heads, np.int64) + start, tails
 
 
 def stitch(starts: list[int], sizes: list[int], heads: list[np.ndarray], tails: list[np.ndarray], chunk: int) -> list[tuple]:
-    """(start, low, high, piece) of each chunk: which part of the text it gives to which piece.
+    """(start, low, high, apart) of each chunk: the part of the text that is cut out of it.
 
     A text is cut at the first place in an overlap where both neighbours start a
-    pre-token. Beyond a border where they don't fall into step, nothing is known
-    to be right, so what follows is one piece.
+    pre-token. From the first chunk on that shares none with the next, ``apart``
+    is true: those are cut by :func:`rejoin`, since what is known of a chunk says
+    nothing of the whole text unless the one before is in step with it.
     """
-    cut: list[int | None] = [0]
-    for tail, head in zip(tails[:-1], heads[1:], strict=True):
-        both = np.intersect1d(tail, head) if cut[-1] is not None else head[:0]
-        cut.append(int(both[0]) if len(both) else None)
-    cut.append(None)
-    out, piece = [], 0
+    out, low = [], 0
     for i, (start, size) in enumerate(zip(starts, sizes, strict=True)):
-        piece = i if cut[i] is not None else piece
-        low = start if cut[i] is None else cut[i]
-        last = i + 1 == len(starts)
-        high = cut[i + 1] if cut[i + 1] is not None else start + (size if last else chunk)
-        out.append((start, low, high, piece))
+        if i + 1 == len(starts):
+            out.append((start, low, start + size, False))
+            break
+        both = np.intersect1d(tails[i], heads[i + 1])
+        if not len(both):
+            rest = list(zip(starts[i:], sizes[i:], strict=True))
+            out += [(s, max(low, s), s + (n if k + 1 == len(rest) else chunk), True) for k, (s, n) in enumerate(rest)]
+            break
+        out.append((start, low, int(both[0]), False))
+        low = int(both[0])
     return out
 
 
+def rejoin(chunks: Iterator[tuple], chunk: int, pattern: str) -> Iterator[tuple[int, int, str]]:
+    """(row, low, piece): the cuts of chunks that follow each other, where neighbours may be out of step.
+
+    ``chunks`` are (row, start, low, text, heads, tails), the first of a row in
+    step with the whole text from ``low`` on. Held is the text from the last cut
+    on; ``known`` are starts of pre-tokens of the whole text in it. A chunk that
+    shares one of them is in step, and so what it knows is right. Any other is
+    added to what is held, and that is pre-tokenised, up to its last certain start
+    put out, and the rest kept. So no more is held than two chunks and a run
+    without a cut; while such a run grows it is gone through at each doubling.
+    """
+    of, at, held, end, known, tried = None, 0, "", 0, np.zeros(0, np.int64), 0
+    for row, start, low, text, heads, tails in chunks:
+        if row != of:
+            if held:
+                yield of, at, held
+            of, at, held, known, tried = row, low, text[low - start :], tails, 0
+            end = start + chunk
+            continue
+        both = np.intersect1d(known, heads)
+        if len(both):
+            cut = int(both[0])
+            yield of, at, held[: cut - at]
+            at, held, known, tried = cut, text[cut - start :], tails, 0
+        else:
+            held = held[: end - at] + text
+            known = np.zeros(0, np.int64)
+            if len(held) >= 2 * tried:
+                found = boundaries(held, pattern)
+                found = found[(found > 0) & (found < len(held) - 2)]
+                known, tried = found + at, len(held)
+                certain = found[found <= start + chunk - at]
+                cut = next((p for p in certain[::-1].tolist() if not held[p - 1].isspace()), 0)
+                if cut:
+                    yield of, at, held[:cut]
+                    at, held, known, tried = at + cut, held[cut:], known[found > cut], 0
+        end = start + chunk
+    if held:
+        yield of, at, held
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = [encode(t or "", path, pattern) for t in batch.column("piece").to_pylist()]
@@ -104,9 +150,14 @@ def encode_texts(
 
     Texts of at most ``chunk`` characters are encoded where they are. Longer
     ones are cut into chunks, which are dealt out and pre-tokenised; what is
-    stitched per text are the starts of pre-tokens in the overlaps alone. A null or empty text has no ids; rows
-    that repeat stay; all columns of ``docs`` are kept (but for one called
-    ``ids``, which is replaced). An empty table gives an empty one.
+    stitched per text are the starts of pre-tokens in the overlaps alone. From a
+    border on whose neighbours are out of step, a text's chunks pass one task in
+    order, which holds a few of them and pre-tokenises only those out of step; its
+    pieces are dealt out again. A pre-token longer than a chunk is one piece.
+
+    A null or empty text has no ids; rows that repeat stay; all columns of
+    ``docs`` are kept (but for one called ``ids``, which is replaced). An empty
+    table gives an empty one.
     """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "ids"]
@@ -122,7 +173,8 @@ def encode_texts(
 
     # A text and the other columns of its row travel under a number made at the scan.
     numbered = rows.filter(is_long).withColumn("row", F.monotonically_increasing_id())
-    starts = F.sequence(F.lit(0), F.length(text) - 1, F.lit(chunk))
+    # The last chunk is longer than the overlap, so that it has its share of starts.
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1 - overlap, F.lit(0)), F.lit(chunk))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = numbered.select("row", text, F.explode(starts).alias("start")).select(
         "row", "start", F.expr(f"substring({text}, start + 1, {chunk + overlap})").alias("chunk")
@@ -133,7 +185,7 @@ def encode_texts(
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             starts, texts = b.column("start").to_pylist(), b.column("chunk").to_pylist()
-            found = [borders(t, s, chunk, pattern) for s, t in zip(starts, texts, strict=True)]
+            found = [borders(t, s, chunk, overlap, pattern) for s, t in zip(starts, texts, strict=True)]
             sides = [pa.array([f[k].astype("<i8").tobytes() for f in found], pa.binary()) for k in (0, 1)]
             sizes = pa.array(map(len, texts), pa.int64())
             yield pa.record_batch([*b.columns[:2], sizes, *sides], names=["row", "start", "size", "heads", "tails"])
@@ -142,8 +194,18 @@ def encode_texts(
         group = group.sort_values("start")
         heads, tails = ([np.frombuffer(x, "<i8") for x in group[c]] for c in ("heads", "tails"))
         parts = stitch(group["start"].tolist(), group["size"].tolist(), heads, tails, chunk)
-        out = pd.DataFrame(parts, columns=["start", "low", "high", "number"])
-        return out.assign(row=key[0], parts=out.groupby("number")["start"].transform("size"))
+        out = pd.DataFrame(parts, columns=["start", "low", "high", "apart"])
+        told = {c: group[c].where(out["apart"].to_numpy(), None).to_numpy() for c in ("heads", "tails")}
+        return out.assign(row=key[0], **told)
+
+    def rejoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chunks_of() -> Iterator[tuple]:
+            for b in batches:
+                for *known, heads, tails in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    yield *known, np.frombuffer(heads, "<i8"), np.frombuffer(tails, "<i8")
+
+        for row, low, piece in rejoin(chunks_of(), chunk, pattern):
+            yield pa.record_batch([pa.array([row]), pa.array([low]), pa.array([piece])], names=["row", "number", "piece"])
 
     def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"row": [key[0]], "ids": [b"".join(group.sort_values("number")["ids"])]})
@@ -151,15 +213,15 @@ def encode_texts(
     plan = (
         dealt.mapInArrow(pretokenise, "row long, start int, size long, heads binary, tails binary")
         .groupBy("row")
-        .applyInPandas(stitched, "row long, start int, low long, high long, number long, parts long")
+        .applyInPandas(stitched, "row long, start int, low long, high long, apart boolean, heads binary, tails binary")
     )
+    parts = dealt.join(plan, ["row", "start"])
     part = F.expr("substring(chunk, cast(low - start + 1 as int), cast(high - low as int))").alias("piece")
-    parts = dealt.join(plan, ["row", "start"]).select("row", "number", "parts", "start", part)
-    in_order = F.sort_array(F.collect_list(F.struct("start", "piece")))
-    joined = parts.filter("parts > 1").groupBy("row", "number").agg(
-        F.array_join(F.transform(in_order, lambda p: p["piece"]), "").alias("piece")
-    )
-    pieces = parts.filter("parts = 1").select("row", "number", "piece").unionByName(joined)
+    in_step = parts.filter("not apart").select("row", F.col("low").alias("number"), part)
+    in_order = parts.filter("apart").repartition(tasks, "row").sortWithinPartitions("row", "start")
+    out_of_step = in_order.select("row", "start", "low", "chunk", "heads", "tails")
+    out_of_step = out_of_step.mapInArrow(rejoined, "row long, number long, piece string")
+    pieces = in_step.unionByName(out_of_step.repartition(tasks, "row", "number"))
     ids = (
         pieces.mapInArrow(lambda b: _encoded(b, path, pattern), "row long, number long, ids binary")
         .groupBy("row")
