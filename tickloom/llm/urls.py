@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.sources.workdir import written
+
 ALLOW, BLOCK = "allow", "block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -96,13 +98,27 @@ def lexical(urls: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def suffix_statistics(labelled: DataFrame, strength: float = 20.0) -> DataFrame:
-    """Per host suffix: the share of blocked urls among the labelled ones, drawn to one half, and their number."""
-    n = F.count("*")
-    return labelled.groupBy("suffix").agg(
-        ((F.sum("label") + strength / 2) / (n + strength)).alias("suffix_rate"),
-        F.log1p(n.cast("double")).alias("suffix_log_n"),
-    )
+def suffix_statistics(labelled: DataFrame) -> DataFrame:
+    """Per host suffix: how many of the different labelled urls there are, and how many of them are blocked."""
+    return labelled.groupBy("suffix").agg(F.count("*").alias("suffix_n"), F.sum("label").alias("suffix_blocked"))
+
+
+def with_suffix(urls: DataFrame, statistics: DataFrame, strength: float = 20.0) -> DataFrame:
+    """Adds the suffix's share of blocked urls, drawn to one half, and their number; a labelled url's own label apart."""
+    known = urls.join(statistics, "suffix", "left")
+    own = F.col("label").isNotNull().cast("double")
+    n = F.coalesce("suffix_n", F.lit(0)) - own
+    blocked = F.coalesce("suffix_blocked", F.lit(0.0)) - F.coalesce("label", F.lit(0.0))
+    return known.withColumns({"suffix_rate": (blocked + strength / 2) / (n + strength), "suffix_log_n": F.log1p(n)})
+
+
+def training_sample(labelled: DataFrame, urls: int, most: int) -> DataFrame:
+    """``most`` of the ``urls`` different labelled urls (or all), those with the smallest hashes."""
+    parts = 1 << 30
+    # twice as many are let through first, so that no task has to sort more than that
+    share = min(parts, int(2 * most / max(urls, 1) * parts) + 1)
+    near = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(parts)) < share)
+    return near.orderBy(F.pmod(F.xxhash64("url"), F.lit(parts)), "url").limit(most)
 
 
 def judge(
@@ -110,16 +126,17 @@ def judge(
     rules: Sequence[Rule],
     id_col: str = "page_id",
     url_col: str = "url",
-    train_rows: int = 20_000,
+    train_urls: int = 20_000,
     trees: int = 10,
     depth: int = 4,
 ) -> DataFrame:
     """One row per page: host, path, the rule that fits and the verdict; ``score`` is the trees' chance of a block.
 
     The urls that a rule decides are the labelled ones. Suffix statistics are
-    taken over all of them; the trees are fitted on at most about ``train_rows``
-    of them, picked by a hash of the url, and judge the urls without a rule.
-    All of it is DataFrame operations.
+    taken over all different ones of them, and a url's own label is left out of
+    its suffix's. The trees are fitted on at most ``train_urls`` different ones,
+    picked by a hash of the url and weighted by the number of their rows, and
+    judge the urls without a rule. All of it is DataFrame operations.
 
     A null or empty url, or one without ``://``, has empty host and path and no
     rule; the trees judge it like others. Repeated rows stay. If all labels are
@@ -136,7 +153,8 @@ def judge(
     verdicts = F.create_map(*[F.lit(x) for r in rules for x in (r.text, r.verdict)]) if rules else None
     said = F.element_at(verdicts, F.col("rule")) if rules else F.lit(None).cast("string")
     urls = urls.withColumn("said", said).withColumn("label", (F.col("said") == BLOCK).cast("double"))
-    labelled = urls.filter("label is not null")
+    labelled = urls.filter("label is not null").groupBy("url", "host", "path", "suffix", "label")
+    labelled = written(labelled.agg(F.count("*").cast("double").alias("rows")), "labelled-urls")
     counted = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     out = ["page_id", "host", "path", "rule"]
     if len(counted) < 2:
@@ -145,19 +163,14 @@ def judge(
             *out, F.coalesce("said", F.lit(rest)).alias("verdict"), F.lit(float(rest == BLOCK)).alias("score")
         )
     statistics = suffix_statistics(labelled)
-    full = (
-        lexical(urls)
-        .join(statistics, "suffix", "left")
-        .fillna({"suffix_rate": 0.5, "suffix_log_n": 0.0})
-    )
-    parts = 1 << 20
-    share = min(1.0, train_rows / sum(counted.values()))
-    chosen = full.filter(F.col("label").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(parts)) < int(share * parts) + 1))
+    chosen = training_sample(labelled, sum(counted.values()), train_urls)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    trees_ = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, seed=7)
-    model = trees_.fit(assembler.transform(chosen.select("label", *FEATURES).coalesce(8)))
+    trees_ = GBTClassifier(labelCol="label", weightCol="rows", maxIter=trees, maxDepth=depth, maxBins=32, seed=7)
+    rows = with_suffix(lexical(chosen), statistics).select("label", "rows", *FEATURES)
+    model = trees_.fit(assembler.transform(rows.coalesce(8)))
     model.setProbabilityCol("chances").setRawPredictionCol("raw").setPredictionCol("guess")
     score = vector_to_array("chances")[1]
+    full = with_suffix(lexical(urls), statistics)
     return model.transform(assembler.transform(full)).select(
         *out,
         F.coalesce("said", F.when(score >= 0.5, BLOCK).otherwise(ALLOW)).alias("verdict"),
