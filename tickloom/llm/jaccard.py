@@ -10,15 +10,16 @@ candidates; those that meet on too few short lists go, and the others' sets are
 searched in blocks: the block's short lists are merged and counted, its long ones
 are probed by binary search.
 
-:func:`join` finds all links between different sets: the members of a list are
-all compared, save those that bounds on lengths and positions rule out, and long
-lists are dealt in pairs of blocks.
-
-:func:`components` is a mode for components only, in which links are needed up to
-their transitive closure. So the members of a list are first compared with one of
-them only, the hub. Lists whose members then are in one component are done. The
-pairs of members of different components of the other lists are all compared
-within the same bounds.
+:func:`components` needs links up to their transitive closure only. So the members
+of a list are first compared with one of them, the hub. Lists whose members then
+are in one component are done. The pairs of members of different components of
+the other lists are all compared within bounds on lengths and positions.
+
+:func:`join` finds all links between different sets. They lie within components,
+so each component's sets are dealt into blocks, and pairs of blocks are searched:
+the inverted lists of one block are made once and searched by DivideSkip with the
+sets of the other. What leaves a task are numbers of links, a row per set and pair
+of blocks and not one per link; :meth:`Join.pairs` gives the links themselves.
 """
 
 from __future__ import annotations
@@ -41,8 +42,9 @@ SHINGLE = 5
 NEED_OVERLAP, NEED_SIZES = 7, 3
 #: Lists from this length on are long for all documents, the longest so many of them at most.
 LEAST_LONG, MOST_LONG = 24, 1 << 20
-#: Members of a long list are dealt into blocks of about this many.
-BLOCK = 1024
+#: Members of a long list, and the sets of a component, are dealt into blocks of about
+#: this many, of sets with about so many shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Shingles counted at once, and bytes of text that are worked on at once.
 STRETCH, PART = 1 << 20, 1 << 21
 
@@ -171,37 +173,47 @@ def short_lists(docs: DataFrame, size: int, tokens: np.ndarray, counts: np.ndarr
     return docs.mapInArrow(lists, f"list long, token long, doc_id {kind}, place long")
 
 
-def divide_skip(query: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
-    """Which members overlap the query enough; sets come as rising arrays.
+class Lists:
+    """The inverted lists of some sets, which come as rising arrays."""
 
-    Of the query's lists over these members the L longest are not merged. The
-    others are merged and counted; who occurs on T - L of them is looked for on
-    the long lists by binary search.
-    """
-    sizes = np.array([len(m) for m in members])
-    need = -(-NEED_SIZES * (sizes + len(query)) // NEED_OVERLAP)
-    least = int(need.min(initial=len(query) + 1))
-    tokens, who = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, who = tokens[order], who[order]
-    low, high = np.searchsorted(tokens, query, "left"), np.searchsorted(tokens, query, "right")
-    by_length = np.argsort(high - low, kind="stable")
-    longest = int((high - low).max(initial=1))
-    skipped = min(least - 1, int(least / (0.01 * np.log2(max(longest, 2)) + 1)))
-    short, long = np.split(by_length, [len(query) - max(skipped, 0)])
-    merged = [who[low[i] : high[i]] for i in short]
-    found = np.bincount(np.concatenate(merged) if merged else np.zeros(0, np.int64), minlength=len(members))
-    candidates = np.flatnonzero(found >= np.maximum(need - len(long), 1))
-    if len(candidates) and len(long):
-        # all long lists behind each other; a probe is a binary search for (list, member)
-        m = len(members)
-        keys = np.concatenate([k * m + who[low[i] : high[i]] for k, i in enumerate(long)])
-        probes = (np.arange(len(long)) * m)[:, None] + candidates[None, :]
-        at = np.minimum(np.searchsorted(keys, probes), max(len(keys) - 1, 0))
-        found[candidates] += (keys[at] == probes).sum(axis=0) if len(keys) else 0
-    out = np.zeros(len(members), bool)
-    out[candidates] = found[candidates] >= need[candidates]
-    return out
+    def __init__(self, members: list[np.ndarray]):
+        self.sizes = np.array([len(m) for m in members])
+        tokens, who = np.concatenate(members), np.repeat(np.arange(len(members)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.who = tokens[order], who[order]
+
+    def similar(self, query: np.ndarray) -> np.ndarray:
+        """Which members overlap the query enough.
+
+        Of the query's lists over these members the L longest are not merged. The
+        others are merged and counted; who occurs on T - L of them is looked for on
+        the long lists by binary search.
+        """
+        m = len(self.sizes)
+        need = -(-NEED_SIZES * (self.sizes + len(query)) // NEED_OVERLAP)
+        least = int(need.min(initial=len(query) + 1))
+        low, high = np.searchsorted(self.tokens, query, "left"), np.searchsorted(self.tokens, query, "right")
+        by_length = np.argsort(high - low, kind="stable")
+        longest = int((high - low).max(initial=1))
+        skipped = min(least - 1, int(least / (0.01 * np.log2(max(longest, 2)) + 1)))
+        short, long = np.split(by_length, [len(query) - max(skipped, 0)])
+        merged = [self.who[low[i] : high[i]] for i in short]
+        found = np.bincount(np.concatenate(merged) if merged else np.zeros(0, np.int64), minlength=m)
+        candidates = np.flatnonzero(found >= np.maximum(need - len(long), 1))
+        if len(candidates) and len(long):
+            # all long lists behind each other; a probe is a binary search for (list, member)
+            keys = np.concatenate([k * m + self.who[low[i] : high[i]] for k, i in enumerate(long)])
+            probes = (np.arange(len(long)) * m)[:, None] + candidates[None, :]
+            at = np.minimum(np.searchsorted(keys, probes), max(len(keys) - 1, 0))
+            found[candidates] += (keys[at] == probes).sum(axis=0) if len(keys) else 0
+        out = np.zeros(m, bool)
+        out[candidates] = found[candidates] >= need[candidates]
+        return out
+
+
+def divide_skip(query: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
+    """Which members overlap the query enough."""
+    return Lists(members).similar(query)
 
 
 def short_of(lists: DataFrame) -> DataFrame:
@@ -276,120 +288,190 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
 
 
 class Join(NamedTuple):
-    """All links: ``pairs`` (a, b) of classes, ``members`` (row, doc_id, n_shingles, class_id) and class_ids' ids.
+    """All links between the sets of ``rows`` (row, doc_id, n_shingles, class_id, component).
 
     A class holds the rows of equal sets; all of them link with each other and
-    with all rows of the classes that theirs is paired with. ``class_id`` is null
-    for a row without shingles. ``ids`` (class_id, rep) has a document's id of
-    each class.
+    with all rows of the classes that theirs links with. ``class_id`` is null for
+    a row without shingles, and for one without an id whose set no row with an id
+    has. ``classes`` (class_id, component, n, size) counts the rows with an id;
+    ``texts`` (class_id, text) has one text of each.
     """
 
-    pairs: DataFrame
-    members: DataFrame
-    ids: DataFrame
+    rows: DataFrame
+    classes: DataFrame
+    texts: DataFrame
+    size: int
     folder: str
 
+    def pairs(self) -> DataFrame:
+        """The links between different classes: (a, b), a < b, each once."""
+        return _searched(self._blocks(), self.size, pairs=True)
+
+    def counts(self) -> DataFrame:
+        """(class_id, around): the number of rows in the classes that each class links with, if any."""
+        found = _searched(self._blocks(), self.size, pairs=False)
+        return found.groupBy("class_id").agg(F.sum("around").alias("around"))
+
     def linked(self) -> DataFrame:
         """One row per document row: ``doc_id``, ``n_shingles``, ``class_id``, ``n_links``.
 
         ``n_links`` counts the other rows, with an id, that the row links with.
         """
-        sizes = self.members.filter("class_id is not null and doc_id is not null").groupBy("class_id")
-        sizes = _written(sizes.agg(F.count("*").alias("size")), f"{self.folder}/sizes")
-        ends = self.pairs.select(F.col("a").alias("of"), F.col("b").alias("class_id"))
-        ends = ends.union(self.pairs.select("b", "a"))
-        around = ends.join(sizes, "class_id").groupBy("of").agg(F.sum("size").alias("around"))
-        each = sizes.join(around.withColumnRenamed("of", "class_id"), "class_id", "left")
-        links = F.col("size") - 1 + F.coalesce("around", F.lit(0))
-        rows = self.members.join(each.select("class_id", links.alias("n_links")), "class_id", "left")
-        own = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
-        return rows.select("doc_id", "n_shingles", "class_id", own.cast("long").alias("n_links"))
+        return self._with_links(self.rows).select("doc_id", "n_shingles", "class_id", "n_links")
 
     def components(self) -> DataFrame:
-        """What :func:`components` gives, from the links found here."""
-        a, b = (self.ids.select(F.col("class_id").alias(c), F.col("rep").alias(f"{c}_rep")) for c in "ab")
-        links = self.pairs.join(a, "a").join(b, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
-        rows = self.members.join(self.ids, "class_id", "left")
-        edges = links.union(rows.select("rep", "doc_id"))
-        roots = connected(edges, f"{self.folder}/components")
-        node = F.coalesce("doc_id", "rep").alias("node")
-        return (
-            rows.select("doc_id", "n_shingles", node)
-            .join(roots, "node", "left")
-            .select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))
-        )
+        """What :func:`components` gives, from the same search."""
+        return self._with_roots(self.rows).select("doc_id", "n_shingles", "component_id")
 
+    def documents(self) -> DataFrame:
+        """One row per document row: ``doc_id``, ``n_shingles``, ``component_id``, ``class_id``, ``n_links``."""
+        both = self._with_links(self._with_roots(self.rows))
+        return both.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
-def _dealt_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of members of a list that the bounds don't rule out, pairs of blocks of a list apart.
+    def _with_links(self, rows: DataFrame) -> DataFrame:
+        sizes = self.classes.select("class_id", "size").join(self.counts(), "class_id", "left")
+        links = F.col("size") - 1 + F.coalesce("around", F.lit(0))
+        rows = rows.join(sizes.select("class_id", links.alias("links")), "class_id", "left")
+        own = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0)
+        return rows.withColumn("n_links", own.cast("long"))
+
+    def _with_roots(self, rows: DataFrame) -> DataFrame:
+        """Adds ``component_id``, the smallest id that is reachable: rows that share an id are one document."""
+        least = rows.filter("doc_id is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+        rows = rows.join(least, "component", "left").withColumn("least", F.coalesce("least", "doc_id"))
+        if self.rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+            return rows.withColumn("component_id", F.col("least"))
+        roots = connected(rows.select(F.col("least").alias("a"), F.col("doc_id").alias("b")), f"{self.folder}/ids")
+        rows = rows.join(roots.withColumnRenamed("node", "least"), "least", "left")
+        return rows.withColumn("component_id", F.coalesce("root", "least"))
+
+    def _blocks(self) -> DataFrame:
+        """(component, band, next, i, j, side, class_id, size, text): each class for each pair of blocks it is in.
+
+        Bands of lengths are wider than those of two sets that link may differ, so
+        that links are within a band or between neighbours. A band's classes are
+        dealt into blocks of bounded number and length. Within a band, block i
+        meets the blocks from i on; of the next band, it meets all.
+        """
+        band = F.floor(F.log("n") / F.log(F.lit(1.34))).cast("int")
+        classes = self.classes.filter(F.col("n") > 0).withColumn("band", band)
+        several = classes.groupBy("component").agg(F.count("*").alias("of")).filter("of > 1").select("component")
+        cells = classes.join(several, "component").groupBy("component", "band").agg(
+            F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        )
+        cells = _written(cells, f"{new_dir(cells.sparkSession, 'jaccard-cells')}")
+        above = cells.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+        below = cells.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+        cells = cells.join(above, ["component", "band"], "left").join(below, ["component", "band"], "left")
+        own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+        dealt = classes.join(cells, ["component", "band"]).withColumn("own", own)
+        last = F.col("blocks") - 1
+
+        def meetings(many: Column, of: Column, next_: bool, i: Column | None, side: int) -> Column:
+            """The pairs of blocks with each of ``many``, as (band, next, i, j, side)."""
+            entry = lambda k: F.struct(
+                of.alias("band"), F.lit(next_).alias("next"), (k if i is None else i).alias("i"),
+                (F.col("own") if i is None else k).alias("j"), F.lit(side).alias("side"),
+            )
+            return F.transform(many, entry)
+
+        none = F.array().cast("array<int>")
+        upto = lambda n: F.when(F.col(n).isNotNull(), F.sequence(F.lit(0), F.col(n) - 1)).otherwise(none)
+        before = F.when(F.col("own") > 0, F.sequence(F.lit(0), F.col("own") - 1)).otherwise(none)
+        here = F.col("band")
+        met = F.concat(
+            meetings(F.sequence("own", last), here, False, F.col("own"), 0),
+            meetings(before, here, False, None, 1),
+            meetings(upto("above"), here, True, F.col("own"), 0),
+            meetings(upto("below"), here - 1, True, None, 1),
+        )
+        dealt = dealt.select("component", "class_id", "size", F.explode(met).alias("met"))
+        return dealt.select("component", "met.*", "class_id", "size").join(self.texts, "class_id")
+
+
+def _searched(blocks: DataFrame, size: int, pairs: bool) -> DataFrame:
+    """What :class:`Join` tells of the links of each pair of blocks, whose rows come in a row, side after side."""
+    key = ["component", "band", "next", "i", "j"]
+
+    def told(ids: list, rows: list[int], sides: list[int], sets: list[np.ndarray]) -> tuple[list, list]:
+        first = sides.index(1) if 1 in sides else len(sides)
+        own = first == len(sides)
+        left, right = (slice(0, first), slice(0, first)) if own else (slice(0, first), slice(first, None))
+        if first == 0 or len(sets[left]) + len(sets[right]) < 3 - (not own):
+            return [], []
+        lists, others, weights = Lists(sets[right]), ids[right], np.array(rows[right])
+        links_a, links_b, around, back = [], [], np.zeros(first, np.int64), np.zeros(len(others), np.int64)
+        for k, query in enumerate(sets[left]):
+            similar = lists.similar(query)
+            if own:
+                similar[k] = False
+            if pairs:
+                found = [others[m] for m in np.flatnonzero(similar) if not own or m > k]
+                links_a += [min(ids[k], x) for x in found]
+                links_b += [max(ids[k], x) for x in found]
+            else:
+                around[k] = weights[similar].sum()
+                back[similar] += rows[k]
+        if pairs:
+            return links_a, links_b
+        said = list(zip(ids[left], around.tolist(), strict=True)) + ([] if own else list(zip(others, back.tolist(), strict=True)))
+        said = [(c, n) for c, n in said if n]
+        return [c for c, _ in said], [n for _, n in said]
 
-    A pair's first common token bounds its overlap, see :func:`_remaining_pairs`;
-    on it every similar pair is met.
-    """
-    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
-    many = lists.groupBy("token").agg(F.count("*").alias("size"), blocks.alias("blocks")).filter("size > 1").drop("size")
-    rows = lists.select("token", "doc_id", "n", "place").join(many, "token")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    last = F.col("blocks") - 1
-    side = lambda k: [F.col(c).alias(f"{c}{k}") for c in ("doc_id", "n", "place")]
-    left = rows.select("token", F.col("block").alias("i"), F.explode(F.sequence("block", last)).alias("j"), *side(1))
-    right = rows.select("token", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), *side(2))
-    overlap = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))
-    enough = overlap * NEED_OVERLAP >= (F.col("n1") + F.col("n2")) * NEED_SIZES
-    once = (F.col("i") < F.col("j")) | (F.col("doc_id1") < F.col("doc_id2"))
-    met = left.join(right, ["token", "i", "j"]).filter(once & enough & _lengths_fit("n1", "n2"))
-    first = F.col("doc_id1") < F.col("doc_id2")
-    pick = lambda c, yes, no: F.when(first, F.col(f"{c}{yes}")).otherwise(F.col(f"{c}{no}"))
-    return met.select(
-        pick("doc_id", 1, 2).alias("a"), pick("doc_id", 2, 1).alias("b"), pick("n", 1, 2).alias("a_n"), pick("n", 2, 1).alias("b_n")
-    ).distinct()
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b"] if pairs else ["class_id", "around"]
+        now, held = None, ([], [], [], [])
+        for batch in (part for whole in batches for part in slices(whole, "text", PART)):
+            keys = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
+            columns = [batch.column(c).to_pylist() for c in ("class_id", "size", "side")]
+            for k, *row in zip(keys, *columns, sets_of(batch.column("text"), size), strict=True):
+                if k != now:
+                    yield pa.record_batch([pa.array(x, pa.int64()) for x in told(*held)], names=names)
+                    now, held = k, ([], [], [], [])
+                for kept, value in zip(held, row, strict=True):
+                    kept.append(value)
+        yield pa.record_batch([pa.array(x, pa.int64()) for x in told(*held)], names=names)
+
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = blocks.select(*key, "side", "class_id", "size", "text").repartition(tasks, *key)
+    in_order = in_order.sortWithinPartitions(*key, "side", "class_id")
+    return in_order.mapInArrow(search, "a long, b long" if pairs else "class_id long, around long")
 
 
 def join(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> Join:
     """All links between different sets of shingles, and which rows have which set.
 
-    Texts, sets and ids are taken as :func:`components` does. Rows are numbered
-    once, so that rows which share an id are told apart; a set that only rows
-    without an id have links with nothing.
+    Texts and sets are taken as :func:`components` does. Rows are numbered once,
+    so that rows which share an id are told apart: each has its links, while in
+    ``component_id`` they are one document. A row without an id links with nothing;
+    it is in the class and component of an equal text, if there is one. Other
+    columns are left out, whatever their names. An empty table gives empty ones.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = new_dir(spark, "jaccard-join")
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     docs = _written(docs, f"{folder}/rows")
-    texts = docs.filter("id is not null").select(F.col("row").alias("doc_id"), "text")
-    signed = signatures(docs.select(F.col("row").alias("doc_id"), "text"), size)
-    signed = _written(signed, f"{folder}/signed")
-    own = signed.filter("n is not null").select(F.col("doc_id").alias("row"), "n", "a", "b").join(docs.select("row", "id"), "row")
-    named = F.min(F.when(F.col("id").isNotNull(), F.struct("row", "id")))
-    classes = own.filter("n > 0").groupBy("n", "a", "b").agg(named.alias("first")).filter("first is not null")
-    classes = classes.select("n", "a", "b", F.col("first.row").alias("class_id"), F.col("first.id").alias("rep"))
+    named = docs.filter("id is not null").select(F.col("row").alias("doc_id"), "text")
+    grouped = _grouped(named, size, f"{folder}/groups", 3).withColumnRenamed("doc_id", "row")
+    grouped = _written(grouped, f"{folder}/grouped")
+    classes = grouped.filter("n > 0").groupBy("n", "a", "b").agg(
+        F.min("row").alias("class_id"), F.count("*").alias("size"), F.min("component_id").alias("component")
+    )
     classes = _written(classes, f"{folder}/classes")
-    members = own.join(classes, ["n", "a", "b"], "left")
-    members = members.select("row", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id")
-    members = _written(members, f"{folder}/members")
-
-    counted = signed.filter("token is not null").groupBy("token").agg(F.sum("count").alias("n"))
-    long = counted.filter(F.col("n") >= LEAST_LONG).orderBy(F.desc("n"), "token").limit(MOST_LONG).toArrow()
-    tokens = long.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    short = short_lists(texts, size, tokens[order], long.column("n").to_numpy()[order])
-    # lists of one member link nothing; the rest, far fewer, meets the copies
-    several = Window.partitionBy("token")
-    lists = short.withColumn("token", F.coalesce("token", "list")).drop("list")
-    lists = lists.withColumn("other", F.min("doc_id").over(several) != F.max("doc_id").over(several)).filter("other")
-    # a task leaves out what it meets again, so any row may stand for its class
-    copies = members.filter("row <> class_id").select(F.col("row").alias("doc_id"), "class_id")
-    lists = lists.join(copies, "doc_id", "left").select(
-        "token",
-        F.coalesce("class_id", "doc_id").alias("doc_id"),
-        F.shiftright("place", 32).cast("int").alias("n"),
-        F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"),
-    ).dropDuplicates(["token", "doc_id"])
-    lists = _written(lists, f"{folder}/lists")
-    tokens_of = _written(short_of(lists), f"{folder}/short")
-    pairs = links(_dealt_pairs(lists), tokens_of, texts, size, f"{folder}/links")
-    return Join(pairs, members, classes.select("class_id", "rep"), folder)
+    nameless = signatures(docs.filter("id is null").select(F.col("row").alias("doc_id"), "text"), size)
+    nameless = nameless.filter("n is not null").select(F.col("doc_id").alias("row"), "n", "a", "b")
+    own = grouped.select("row", "n", "a", "b", F.col("component_id").alias("alone")).unionByName(
+        nameless.withColumn("alone", F.lit(None).cast("long"))
+    )
+    rows = own.join(classes.drop("size"), ["n", "a", "b"], "left").join(docs.select("row", "id"), "row")
+    rows = rows.select(
+        "row", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id",
+        F.coalesce("component", "alone").alias("component"),
+    )
+    rows = _written(rows, f"{folder}/members")
+    texts = docs.select(F.col("row").alias("class_id"), "text")
+    return Join(rows, classes.select("class_id", "component", "n", "size"), texts, size, folder)
 
 
 def components(
@@ -397,7 +479,7 @@ def components(
 ) -> DataFrame:
     """One row per document row: ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
-    This mode gives components only, without all links: those are :func:`join`'s.
+    This mode gives components only, without counting links: those are :func:`join`'s.
 
     Documents link if their sets of ``size``-word shingles have a Jaccard
     similarity of 3/4 or more; a text with fewer words has one shingle. Whole
@@ -410,10 +492,14 @@ def components(
     nothing, and its component is that of an equal text, if there is one. Other
     columns are left out, whatever their names. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    folder = new_dir(spark, "jaccard")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = _grouped(docs, size, new_dir(docs.sparkSession, "jaccard"), hub_rounds)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, size: int, folder: str, hub_rounds: int) -> DataFrame:
+    """(doc_id, n, a, b, component_id) of the rows (doc_id, text): size and identity of its set, and its component."""
     signed = _written(signatures(docs, size), f"{folder}/signed")
     own = signed.filter("n is not null").select("doc_id", "n", "a", "b")
     classes = own.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -477,8 +563,7 @@ def components(
         own.join(of_class, ["n", "a", "b"], "left")
         .join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
+            *("doc_id", "n", "a", "b"),
             F.coalesce(F.least("of_copies", "root"), "doc_id").alias("component_id"),
         )
     )

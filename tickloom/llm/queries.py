@@ -76,7 +76,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(read(spark, sf_dir, "documents")).components()
+    return jaccard.join(read(spark, sf_dir, "documents")).documents().drop("class_id")
 
 
 @query
@@ -214,7 +214,8 @@ link AS (
   SELECT a, b FROM overlap JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
   WHERE 100 * o >= 75 * (na.n + nb.n - o)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = d.doc_id) AS component_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = d.doc_id) AS component_id,
+  (SELECT count(*) FROM link WHERE link.a = d.doc_id) AS n_links
 FROM d LEFT JOIN n USING (doc_id)
 """
 
