@@ -52,3 +52,17 @@ def test_no_rows(spark):
     found = jaccard.join(spark.createDataFrame([], "doc_id long, text string"))
     assert found.linked().collect() == found.components().collect() == found.pairs().collect() == []
     assert found.documents().collect() == []
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_ids_that_no_two_rows_share(spark, monkeypatch, kind):
+    monkeypatch.setattr(jaccard, "LEAST_LONG", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    texts = [t for i, t in rows() if i is not None]
+    data = [(k - 50 if kind != "string" else f"{k:04}", t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(data, f"doc_id {kind}, text string").repartition(4)
+    found = jaccard.join(df)
+    assert found.rows.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    all_ = found.documents().collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in all_), key=repr) == degrees(data)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in all_), key=repr) == brute_force(data)

@@ -25,12 +25,14 @@ of blocks and not one per link; :meth:`Join.pairs` gives the links themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from tickloom.sources.workdir import new_dir
 
@@ -238,20 +240,31 @@ def merged(pairs: DataFrame, short: DataFrame) -> DataFrame:
     return met.filter(F.col("met") >= F.greatest(need - unmerged, F.lit(1))).select("a", "b")
 
 
-def links(pairs: DataFrame, short: DataFrame, docs: DataFrame, size: int, folder: str) -> DataFrame:
+def links(
+    pairs: DataFrame, short: DataFrame, docs: DataFrame, size: int, folder: str, known: list[DataFrame]
+) -> DataFrame:
     """The pairs (a, b) that are similar enough, of candidates (a, b, a_n, b_n).
 
     Pairs of one ``a`` come in a row and are searched as a block. Sets are made
     anew from the texts of the documents that are left after the merge: all
-    documents' sets would be larger than their texts.
+    documents' sets would be larger than their texts. ``known`` are the tables of
+    sets of earlier calls; that of this call is added.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     candidates = _written(merged(pairs, short), f"{folder}/candidates")
+    if candidates.isEmpty():
+        return candidates
     ids = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
     ids = _written(ids, f"{folder}/ids")
+    new = ids
+    for earlier in known:
+        new = new.join(earlier.select("doc_id"), "doc_id", "left_anti")
+    if known:
+        new = _written(new, f"{folder}/new-ids")
     packed = lambda t: [pa.array([s.tobytes() for s in sets_of(t, size)], pa.binary())]
-    sets = append_columns(docs.join(ids, "doc_id", "left_semi"), "text", ["doc_id"], packed, "own binary")
-    sets = _written(sets, f"{folder}/sets")
+    sets = append_columns(docs.join(new, "doc_id", "left_semi"), "text", ["doc_id"], packed, "own binary")
+    known.append(_written(sets, f"{folder}/sets"))
+    sets = reduce(DataFrame.unionByName, known).join(ids, "doc_id", "left_semi")
     left = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("own").alias("right"))
 
@@ -385,8 +398,12 @@ class Join(NamedTuple):
             meetings(upto("above"), here, True, F.col("own"), 0),
             meetings(upto("below"), here - 1, True, None, 1),
         )
+        folder = new_dir(cells.sparkSession, "jaccard-blocks")
+        # the ids as a table of its own: as long as it is small, other texts go before any shuffle
+        wanted = _written(dealt.select("class_id"), f"{folder}/classes")
         dealt = dealt.select("component", "class_id", "size", F.explode(met).alias("met"))
-        return dealt.select("component", "met.*", "class_id", "size").join(self.texts, "class_id")
+        dealt = _written(dealt.select("component", "met.*", "class_id", "size"), f"{folder}/dealt")
+        return dealt.join(self.texts.join(wanted, "class_id", "left_semi"), "class_id")
 
 
 def _searched(blocks: DataFrame, size: int, pairs: bool) -> DataFrame:
@@ -441,17 +458,22 @@ def _searched(blocks: DataFrame, size: int, pairs: bool) -> DataFrame:
 def join(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> Join:
     """All links between different sets of shingles, and which rows have which set.
 
-    Texts and sets are taken as :func:`components` does. Rows are numbered once,
-    so that rows which share an id are told apart: each has its links, while in
-    ``component_id`` they are one document. A row without an id links with nothing;
+    Texts and sets are taken as :func:`components` does. Rows which share an id are
+    told apart: each has its links, while in ``component_id`` they are one document.
+    So rows are numbered and written once, but where every row has a whole number
+    of its own as its id; that number serves, and ``docs`` is read where it lies. A row without an id links with nothing;
     it is in the class and component of an equal text, if there is one. Other
     columns are left out, whatever their names. An empty table gives empty ones.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = new_dir(spark, "jaccard-join")
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    docs = _written(docs, f"{folder}/rows")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own_numbers = _own_numbers(docs)
+    if own_numbers:
+        docs = docs.withColumn("row", F.col("id").cast("long"))
+    else:
+        docs = _written(docs.withColumn("row", F.monotonically_increasing_id()), f"{folder}/rows")
     named = docs.filter("id is not null").select(F.col("row").alias("doc_id"), "text")
     grouped = _grouped(named, size, f"{folder}/groups", 3).withColumnRenamed("doc_id", "row")
     grouped = _written(grouped, f"{folder}/grouped")
@@ -459,12 +481,16 @@ def join(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col:
         F.min("row").alias("class_id"), F.count("*").alias("size"), F.min("component_id").alias("component")
     )
     classes = _written(classes, f"{folder}/classes")
-    nameless = signatures(docs.filter("id is null").select(F.col("row").alias("doc_id"), "text"), size)
-    nameless = nameless.filter("n is not null").select(F.col("doc_id").alias("row"), "n", "a", "b")
-    own = grouped.select("row", "n", "a", "b", F.col("component_id").alias("alone")).unionByName(
-        nameless.withColumn("alone", F.lit(None).cast("long"))
-    )
-    rows = own.join(classes.drop("size"), ["n", "a", "b"], "left").join(docs.select("row", "id"), "row")
+    own = grouped.select("row", "n", "a", "b", F.col("component_id").alias("alone"))
+    if not own_numbers:
+        nameless = signatures(docs.filter("id is null").select(F.col("row").alias("doc_id"), "text"), size)
+        nameless = nameless.filter("n is not null").select(F.col("doc_id").alias("row"), "n", "a", "b")
+        own = own.unionByName(nameless.withColumn("alone", F.lit(None).cast("long")))
+    rows = own.join(classes.drop("size"), ["n", "a", "b"], "left")
+    if own_numbers:
+        rows = rows.withColumn("id", F.col("row").cast(docs.schema["id"].dataType))
+    else:
+        rows = rows.join(docs.select("row", "id"), "row")
     rows = rows.select(
         "row", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id",
         F.coalesce("component", "alone").alias("component"),
@@ -474,6 +500,13 @@ def join(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col:
     return Join(rows, classes.select("class_id", "component", "n", "size"), texts, size, folder)
 
 
+def _own_numbers(docs: DataFrame) -> bool:
+    """Whether every row has an id, a whole number, that no other has."""
+    if not isinstance(docs.schema["id"].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        return False
+    return docs.groupBy("id").count().filter("id is null or count > 1").isEmpty()
+
+
 def components(
     docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 3
 ) -> DataFrame:
@@ -536,10 +569,14 @@ def _grouped(docs: DataFrame, size: int, folder: str, hub_rounds: int) -> DataFr
     hubs = split.select("token", "hub").distinct().join(tops, "token")
     hubs = hubs.select(F.col("hub.doc_id").alias("doc_id"), F.col("hub.n").alias("n"), F.col("top").alias("hub"))
     pairs = _hub_pairs(lists.select("doc_id", "n", "hub").unionByName(hubs))
-    found = links(pairs, tokens_of, docs, size, f"{folder}/0")
+    known: list[DataFrame] = []
+    found = links(pairs, tokens_of, docs, size, f"{folder}/0", known)
     roots = _roots(found, copies, f"{folder}/0/components")
+    reps = lists.join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    rest = reps.select("token", "doc_id", "rep", "n", "place")
     for number in range(1, hub_rounds + 1):
-        rest = _written(_open_lists(lists, copies, roots), f"{folder}/{number}/open")
+        # a list whose members are in one component stays so
+        rest = _written(_open_lists(rest, roots), f"{folder}/{number}/open")
         if rest.isEmpty():
             break
         if number < hub_rounds:
@@ -549,7 +586,7 @@ def _grouped(docs: DataFrame, size: int, folder: str, hub_rounds: int) -> DataFr
             pairs = _hub_pairs(rest.join(chosen, "token").filter("label <> hub.label"))
         else:
             pairs = _remaining_pairs(rest)
-        more = links(pairs, tokens_of, docs, size, f"{folder}/{number}")
+        more = links(pairs, tokens_of, docs, size, f"{folder}/{number}", known)
         if more.isEmpty():
             continue
         found = found.unionByName(more)
@@ -576,11 +613,10 @@ def _roots(found: DataFrame, copies: DataFrame, folder: str) -> DataFrame:
     return connected(ends.select(F.coalesce("a_rep", "a").alias("a"), F.coalesce("b_rep", "b").alias("b")), folder)
 
 
-def _open_lists(lists: DataFrame, copies: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members, with their component, of lists that hold more than one component."""
-    reps = lists.join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    labelled = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = labelled.select("token", "doc_id", "n", "place", F.coalesce("root", "rep").alias("label"))
+def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members (token, doc_id, rep, n, place), with their component, of lists that hold more than one component."""
+    labelled = lists.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = labelled.select("token", "doc_id", "rep", "n", "place", F.coalesce("root", "rep").alias("label"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     return labelled.join(mixed.filter("low <> high").select("token"), "token")
 
