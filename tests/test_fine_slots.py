@@ -35,3 +35,12 @@ def test_window_of_several_slots(spark):
     assert sum(r.slots for r in rows) == (high - low) // 5 + 1
     reported = sum(r.slots for r in rows if r.reporting)
     assert reported and sum(r.slots for r in rows if r.expected) > 1.5 * reported
+
+
+def test_window_gives_every_slot(spark):
+    """The slot 10 s after a report expects it, and so does the one after 15 s; no slot is summed up with others."""
+    rows = QUERIES["t11_expected_window"](spark, SF_DIR).collect()
+    by_slot = {r.slot: r for r in rows}
+    assert sorted(by_slot) == list(range(min(by_slot), max(by_slot) + 1, 5)) and len(rows) == len(by_slot)
+    told = [k for k, r in by_slot.items() if r.reporting and k + 15 in by_slot]
+    assert told and all(by_slot[k + d].expected >= by_slot[k].reporting for k in told for d in (10, 15))

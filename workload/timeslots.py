@@ -164,16 +164,17 @@ counts AS (
 
 
 @query("t11_expected_window", with_p("""
-SELECT c.slot - c.slot % 86400 AS day, c.reporting, greatest(coalesce(a.reporting, 0), coalesce(b.reporting, 0)) AS expected,
-  count(*) AS slots, min(c.slot) AS first_slot, max(c.slot) AS last_slot
-FROM counts c LEFT JOIN counts a ON a.slot = c.slot - 15 LEFT JOIN counts b ON b.slot = c.slot - 10 GROUP BY 1, 2, 3""", WINDOWED))
+SELECT c.slot, c.reporting, greatest(coalesce(a.reporting, 0), coalesce(b.reporting, 0)) AS expected,
+  c.slot - c.slot % 86400 AS day, CAST(1 AS BIGINT) AS slots, c.slot AS first_slot, c.slot AS last_slot
+FROM counts c LEFT JOIN counts a ON a.slot = c.slot - 15 LEFT JOIN counts b ON b.slot = c.slot - 10""", WINDOWED))
 def t11_window(t):
-    """All events in slots of five seconds: the settled window holds two slots. All slots, summed up by day."""
+    """All events in slots of five seconds: the settled window holds two slots. A row per slot, with its day and the slots it stands for."""
     counts = s.reporting(t.points.select((F.col("t") - F.col("t") % 5).alias("slot"), "source"))
-    by = [(F.col("slot") - F.col("slot") % DAY).alias("day"), "reporting", "expected"]
-    return s.expected(counts, 5).groupBy(*by).agg(
-        F.count("*").alias("slots"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot")
-    )
+    slot = F.col("slot")
+    return s.expected(counts, 5).select(
+        slot, "reporting", "expected", (slot - slot % DAY).alias("day"), F.lit(1).cast("bigint").alias("slots"),
+        slot.alias("first_slot"), slot.alias("last_slot"),
+    )
 
 
 NOW = 1705276800  # mid January
