@@ -55,6 +55,18 @@ def asked(spark, *requests, g=1):
     return v.data_points(v.infer_interval(req, NOW, 1, g), g)
 
 
+def test_data_points_check_a_request_once(spark):
+    """No condition is pushed below the layout of the points, where all checks would be written out in it again and again."""
+    rows = [(i, i % 3 and i, i % 4 and 1 + i % 9, i % 5 and 40 + i, i % 3) for i in range(1, 60)]
+    rows = [tuple(x or None for x in r[:4]) + (r[4] or None,) for r in rows]
+    asked = spark.createDataFrame(rows, "request_id long, start_time long, duration long, end_time long, ndatapoints long")
+    points = v.data_points(v.checked(asked.withColumn("inst_id", F.lit("a")), NOW, 1, 5), 5)
+    joined = v.intervals(points).join(points, list(v.INTERVAL))
+    assert joined.count() == points.count() > 0 == points.filter("start is null or width is null").count()
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "CASE" in line for line in plan.splitlines())
+
+
 def test_unaligned_data_points(spark):
     rows = reports(spark, [("a", 12340, 5), ("a", 12350, 7)], g=10)
     points = asked(spark, (12331, 10, None, 3), (12351, 8, None, None), g=10)

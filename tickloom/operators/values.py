@@ -81,15 +81,18 @@ def data_points(requests: DataFrame, g: int | Column) -> DataFrame:
     """
     gc = g if isinstance(g, Column) else F.lit(g)
     n = F.coalesce(F.col("ndatapoints"), F.lit(1))
-    rows = requests.filter(F.col("start_time").isNotNull() & (n >= 1)).withColumn(
-        "point", F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
-    )
-    width = up(F.col("duration"), gc)
+    valid = F.col("start_time").isNotNull() & F.col("duration").isNotNull() & gc.isNotNull() & (n >= 1)
+    asked = F.when(valid, F.sequence(F.lit(0), (n - 1).cast("int")))
+    # What is refused goes after its row is laid out, and the interval is said to be never NULL: conditions on
+    # either would be pushed below, with all of the expressions that check a request written out in them.
+    rows = requests.withColumn("point", F.explode_outer(asked)).filter("point is not null")
+    set_ = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    width = set_(up(F.col("duration"), gc))
     return rows.select(
         "request_id",
         "inst_id",
         "point",
-        (down(F.col("start_time"), gc) + F.col("point") * width).alias("start"),
+        set_(down(F.col("start_time"), gc) + F.col("point") * width).alias("start"),
         width.alias("width"),
         (F.col("start_time") + F.col("point") * F.col("duration")).alias("requested_start"),
         F.col("duration").alias("requested_duration"),
