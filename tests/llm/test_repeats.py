@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import repeats
 from tickloom.llm.automaton import SuffixAutomaton
@@ -100,3 +101,19 @@ def test_matching_statistics():
             assert length == longest
             if length:
                 assert least == holds[tuple(asked[n + 1 - length : n + 1])]
+
+
+def test_windows_carry_the_shard_of_their_anchor(spark):
+    """Not the anchor itself, which takes eight bytes a word in the shuffle; a window's shard is its stretch's."""
+    docs = [(i, i, t) for i, t in corpus() if i is not None and t]
+    frame = spark.createDataFrame(docs, "doc_id long, key long, text string")
+    marks = repeats.described(frame, 8, 3).withColumnRenamed("anchors", "marks").drop("n_words", "digest")
+    candidates = frame.dropDuplicates(["doc_id", "key"]).join(marks.dropDuplicates(["doc_id", "key"]), ["doc_id", "key"])
+    found = repeats.windows_of(candidates, 7, 8, 3)
+    assert dict(found.dtypes) == {"hash": "bigint", "shard": "int", "doc_id": "bigint", "key": "bigint", "at": "int"}
+    windows = {(r.doc_id, r.key, r.at): r.shard for r in found.collect()}
+    assert set(windows.values()) == set(range(7))
+    pieces = repeats.stretches(candidates.withColumn("firsts", F.lit(None).cast("array<int>")), 7, 8, 3)
+    for r in pieces.collect():
+        for n in range(len(bytes(r.words).split()) - 7):
+            assert windows[(r.doc_id, r.key, r.at + n)] == r.shard

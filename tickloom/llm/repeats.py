@@ -102,8 +102,12 @@ def marked(hashes: np.ndarray, firsts: np.ndarray, marks: pa.ListArray, window:
         yield row, own[low:high][places].view(np.int64), places
 
 
-def windows_of(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(hash, anchor, doc_id, key, at): every window whose anchor is marked."""
+def windows_of(candidates: DataFrame, shards: int, window: int, anchor: int) -> DataFrame:
+    """(hash, shard, doc_id, key, at): every window whose anchor is marked, with its anchor's shard.
+
+    There are about as many rows as words, which are shuffled: the small number of
+    the shard takes less room than the anchor.
+    """
     kind = candidates.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +121,11 @@ def windows_of(candidates: DataFrame, window: int, anchor: int) -> DataFrame:
             own = all_windows[first[row] + at].view(np.int64)
             taken = pa.array(row)
             ids, keys = batch.column("doc_id").take(taken), batch.column("key").take(taken)
-            columns = [pa.array(own), pa.array(np.concatenate(found)), ids, keys, pa.array(at.astype(np.int32))]
-            yield pa.record_batch(columns, names=["hash", "anchor", "doc_id", "key", "at"])
+            shard = np.mod(np.concatenate(found), shards).astype(np.int32)
+            columns = [pa.array(own), pa.array(shard), ids, keys, pa.array(at.astype(np.int32))]
+            yield pa.record_batch(columns, names=["hash", "shard", "doc_id", "key", "at"])
 
-    return candidates.mapInArrow(cut, f"hash long, anchor long, doc_id {kind}, key long, at int")
+    return candidates.mapInArrow(cut, f"hash long, shard int, doc_id {kind}, key long, at int")
 
 
 def runs(places: np.ndarray, groups: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -305,13 +310,13 @@ def remove(
     marks = own.join(shared, "anchor", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("marks"))
     candidates = _written(docs.join(marks, ["doc_id", "key"]), f"{folder}/candidates")
 
-    found = windows_of(candidates, window, anchor).groupBy("hash").agg(
-        F.min(F.struct("doc_id", "key", "at")).alias("first"), F.max("doc_id").alias("last"), F.first("anchor").alias("anchor")
+    found = windows_of(candidates, shards, window, anchor).groupBy("hash").agg(
+        F.min(F.struct("doc_id", "key", "at")).alias("first"), F.max("doc_id").alias("last"), F.first("shard").alias("shard")
     )
-    found = found.filter(F.col("first.doc_id") < F.col("last")).select("first.*", "anchor")
+    found = found.filter(F.col("first.doc_id") < F.col("last")).select("first.*", F.col("shard").cast("long").alias("shard"))
     found = _written(found, f"{folder}/firsts")
     shard = F.pmod("anchor", F.lit(shards)).alias("shard")
-    parts = found.groupBy(shard).agg(F.ceil(F.count("*") * 4 / shard_words).cast("int").alias("parts"))
+    parts = found.groupBy("shard").agg(F.ceil(F.count("*") * 4 / shard_words).cast("int").alias("parts"))
     copies = shared.groupBy(shard).agg(F.ceil(F.sum("n") * usual / stream_words).cast("int").alias("copies"))
     loads = _written(parts.join(copies, "shard"), f"{folder}/loads")
 
