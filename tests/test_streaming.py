@@ -254,3 +254,23 @@ def test_work_folder(spark):
     assert one != two and one.startswith(shared_dir(spark))
     setting = spark.conf.get(SETTING, None)
     assert setting is None or shared_dir(spark) == setting
+
+
+def test_steps_land_from_one_table(spark, tmp_path):
+    """What is streamed in several steps is worked out once, and each step holds its rows."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    from workload import streams
+
+    worked = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            worked.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(90).mapInArrow(count, "id long")
+    stream = streams.landed(SimpleNamespace(spark=spark), rows, "steps-in", ["id"], *[F.col("id") % 3 == n for n in range(3)])
+    assert stream.isStreaming and worked.value == 90

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import slots as s
 from tickloom.sources.snapshots import load
-from tickloom.sources.workdir import new_dir
+from tickloom.sources.workdir import new_dir, written
 from tickloom.streaming import sinks
 from tickloom.streaming import slots as st
 from tickloom.streaming.stateful import delta_stream, emitted, pair_stream
@@ -34,6 +34,8 @@ def landed(t, df, name, keys, *steps):
     in one file and its rows of different steps come in order.
     """
     path = new_dir(t.spark, name)
+    if len(steps) > 1:  # worked out once for all steps
+        df = written(df, f"{name}-rows")
     for step in steps:
         df.filter(step).repartition(FILES, *keys).write.mode("append").parquet(path)
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
