@@ -106,3 +106,24 @@ def test_connected(spark):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert {x: roots.get(x, x) for x in label} == label
+
+
+def test_near_copies_and_a_passage_make_few_pairs(spark, monkeypatch):
+    """What hubs leave to be compared pair by pair follows the rows of a group, not their square."""
+    random.seed(8)
+    say = lambda n: [f"w{random.randrange(5000)}" for _ in range(n)]
+    base, passage, docs = say(150), say(60), []
+    for _ in range(150):  # few are near enough to a copy that is chosen blindly
+        words = list(base)
+        for k in random.sample(range(150), random.randint(0, 8)):
+            words[k] = say(1)[0]
+        docs.append(" ".join(words))
+    docs += [" ".join([*passage, *say(random.randint(40, 120))]) for _ in range(20)]
+    data = list(enumerate(docs))
+    random.shuffle(data)
+    made, remaining = [], jaccard._remaining_pairs
+    monkeypatch.setattr(jaccard, "_remaining_pairs", lambda rest: made.append(remaining(rest)) or made[-1])
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, jaccard.components(df).collect()), key=repr) == brute_force(data)
+    many = sum(pairs.count() for pairs in made)
+    assert many <= 2 * len(data), many

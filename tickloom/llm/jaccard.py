@@ -11,9 +11,11 @@ searched in blocks: the block's short lists are merged and counted, its long one
 are probed by binary search.
 
 :func:`components` needs links up to their transitive closure only. So the members
-of a list are first compared with one of them, the hub. Lists whose members then
-are in one component are done. The pairs of members of different components of
-the other lists are all compared within bounds on lengths and positions.
+of a list are first compared with one of them, the hub: the one that has the fewest
+rarer shingles, so of a group of near copies the one closest to what they share.
+Lists whose members then are in one component are done. The pairs of members of
+different components of the other lists are all compared within bounds on lengths
+and positions.
 
 :func:`join` finds all links between different sets. They lie within components,
 so each component's sets are dealt into blocks, and pairs of blocks are searched:
@@ -42,8 +44,11 @@ from .words import BLANK_SEPARATED, append_columns, mix, shingles, slices, small
 SHINGLE = 5
 #: Jaccard 3/4, i.e. overlap o of sets of a and b with 4 o >= 3 (a + b - o).
 NEED_OVERLAP, NEED_SIZES = 7, 3
-#: Lists from this length on are long for all documents, the longest so many of them at most.
-LEAST_LONG, MOST_LONG = 24, 1 << 20
+#: Lists counted with this length or more are ordered by it, the longest so many of them at most:
+#: a passage of some documents otherwise comes first in many of them, and all their pairs meet on it.
+LEAST_LONG, MOST_LONG = 2, 1 << 20
+#: A round of hubs that leaves more than this part of the members on open lists is the last.
+FEWER = 0.9
 #: Members of a long list, and the sets of a component, are dealt into blocks of about
 #: this many, of sets with about so many shingles.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
@@ -292,9 +297,16 @@ def _lengths_fit(n: str | Column, m: str | Column) -> Column:
     return F.least(n, m) * 4 >= F.greatest(n, m) * 3
 
 
+def _rest_fits(n: str, place: str, m: str, at: str) -> Column:
+    """Whether two sets may overlap enough if what they meet on is the first that they share."""
+    overlap = F.least(F.col(n) - F.col(place), F.col(m) - F.col(at))
+    return overlap * NEED_OVERLAP >= (F.col(n) + F.col(m)) * NEED_SIZES
+
+
 def _hub_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of members and the hub of their list, in different components, whose lengths fit."""
+    """Pairs of members and the hub of their list within the bounds on lengths and places."""
     fits = (F.col("doc_id") != F.col("hub.doc_id")) & _lengths_fit("n", "hub.n")
+    fits &= _rest_fits("n", "place", "hub.n", "hub.place")
     return members.filter(fits).select(
         F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("hub.n").alias("a_n"), F.col("n").alias("b_n")
     ).distinct()
@@ -547,18 +559,20 @@ def _grouped(docs: DataFrame, size: int, folder: str, hub_rounds: int) -> DataFr
     short = short_lists(docs, size, tokens[order], long.column("n").to_numpy()[order])
     of_list = Window.partitionBy("list")
     short = (
-        short.withColumn("hub", F.min(F.struct("doc_id", "place")).over(of_list))
+        short.withColumn("hub", F.min(F.struct(F.col("place").bitwiseAND(0xFFFFFFFF).alias("at"), "doc_id", "place")).over(of_list))
+        .withColumn("first", F.min("doc_id").over(of_list))
         .withColumn("last", F.max("doc_id").over(of_list))
-        .filter((F.col("last") != F.col("hub.doc_id")) | F.col("token").isNotNull())
+        .filter((F.col("first") != F.col("last")) | F.col("token").isNotNull())
     )
     n = lambda place: F.shiftright(place, 32).cast("int")
+    at = lambda place: F.col(place).bitwiseAND(0xFFFFFFFF).cast("int")
     lists = short.select(
         F.coalesce("token", "list").alias("token"),
         F.col("token").isNotNull().alias("split"),
         "doc_id",
         n(F.col("place")).alias("n"),
-        F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"),
-        F.struct(F.col("hub.doc_id").alias("doc_id"), n(F.col("hub.place")).alias("n")).alias("hub"),
+        at("place").alias("place"),
+        F.struct(at("hub.place").alias("place"), F.col("hub.doc_id").alias("doc_id"), n(F.col("hub.place")).alias("n")).alias("hub"),
     )
     lists = _written(lists, f"{folder}/lists")
     tokens_of = _written(short_of(lists), f"{folder}/short")
@@ -567,30 +581,41 @@ def _grouped(docs: DataFrame, size: int, folder: str, hub_rounds: int) -> DataFr
     split = lists.filter("split")
     tops = split.groupBy("token").agg(F.min("hub").alias("top"))
     hubs = split.select("token", "hub").distinct().join(tops, "token")
-    hubs = hubs.select(F.col("hub.doc_id").alias("doc_id"), F.col("hub.n").alias("n"), F.col("top").alias("hub"))
-    pairs = _hub_pairs(lists.select("doc_id", "n", "hub").unionByName(hubs))
+    hubs = hubs.select("hub.doc_id", "hub.n", "hub.place", F.col("top").alias("hub"))
+    pairs = _hub_pairs(lists.select("doc_id", "n", "place", "hub").unionByName(hubs))
     known: list[DataFrame] = []
     found = links(pairs, tokens_of, docs, size, f"{folder}/0", known)
     roots = _roots(found, copies, f"{folder}/0/components")
     reps = lists.join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     rest = reps.select("token", "doc_id", "rep", "n", "place")
+    before = None
     for number in range(1, hub_rounds + 1):
         # a list whose members are in one component stays so
-        rest = _written(_open_lists(rest, roots), f"{folder}/{number}/open")
-        if rest.isEmpty():
+        rest = _open_lists(rest, roots)
+        if before is None and own.groupBy("doc_id").count().filter("count > 1").isEmpty():
+            # copies of different tasks are on the same lists, at the same places: one of them does
+            some = [F.min(c).alias(c) for c in ("doc_id", "n", "place", "label")]
+            rest = rest.groupBy("token", "rep").agg(*some)
+        rest = _written(rest, f"{folder}/{number}/open")
+        members = rest.count()
+        if not members:
             break
-        if number < hub_rounds:
+        # rounds of hubs end when one has closed few lists
+        last = number == hub_rounds or before is not None and members > FEWER * before
+        before = members
+        if last:
+            pairs = _remaining_pairs(rest)
+        else:
             # another hub each time; only who is not in its component is compared with it
-            by = F.struct(F.xxhash64("doc_id", F.lit(number)).alias("hash"), "doc_id", "n", "label")
+            by = F.struct(F.xxhash64("doc_id", F.lit(number)).alias("hash"), "place", "doc_id", "n", "label")
             chosen = rest.groupBy("token").agg(F.max(by).alias("hub"))
             pairs = _hub_pairs(rest.join(chosen, "token").filter("label <> hub.label"))
-        else:
-            pairs = _remaining_pairs(rest)
         more = links(pairs, tokens_of, docs, size, f"{folder}/{number}", known)
-        if more.isEmpty():
-            continue
-        found = found.unionByName(more)
-        roots = _roots(found, copies, f"{folder}/{number}/components")
+        if not more.isEmpty():
+            stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = _roots(more.unionByName(stars), copies, f"{folder}/{number}/components")
+        if last:
+            break
 
     of_class = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "a", "b", F.coalesce("root", "rep").alias("of_copies")
@@ -629,8 +654,7 @@ def _remaining_pairs(rest: DataFrame) -> DataFrame:
     """
     left = rest.select("token", *[F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "place", "label")])
     right = rest.select("token", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "place", "label")])
-    overlap = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))
-    enough = overlap * NEED_OVERLAP >= (F.col("n1") + F.col("n2")) * NEED_SIZES
+    enough = _rest_fits("n1", "place1", "n2", "place2")
     apart = (F.col("doc_id1") < F.col("doc_id2")) & (F.col("label1") != F.col("label2"))
     met = left.join(right, "token").filter(apart & enough & _lengths_fit("n1", "n2"))
     return met.select(
